@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("requests",)
+_MODULES = ("requests", "matrix", "intake")
 
 
 def load_queries() -> None:

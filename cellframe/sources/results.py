@@ -62,12 +62,6 @@ def read_expression_result(spark: SparkSession, manifest: DataFrame) -> DataFram
     return spark.read.schema(EXPRESSION_RESULT).option("sep", "|").csv(list(row["part_urls"]))
 
 
-def whole_cells(values: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The values partitioned so that all of a cell's rows are in one task, next to each other."""
-    spread = values.repartition(partitions, "cellkey") if partitions else values.repartition("cellkey")
-    return spread.sortWithinPartitions("cellkey")
-
-
 def read_staged(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Staged ``|``-separated rows of a warehouse table, plain or gzip; empty text and ``t``/``f`` as stored."""
     schema = WAREHOUSE[table]
