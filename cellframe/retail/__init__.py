@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("requests", "matrix", "intake")
+_MODULES = ("requests", "matrix", "intake", "lifecycle")
 
 
 def load_queries() -> None:
