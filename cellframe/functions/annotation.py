@@ -10,7 +10,13 @@ def column(line: Column, position: int) -> Column:
     return F.get(F.split(F.rtrim(line), "\t"), F.lit(position))
 
 
-def attribute(attributes: Column, record: Column, suffix: str) -> Column:
-    """Value of ``<record>_<suffix>`` among the attributes, empty when absent."""
-    pattern = F.concat(F.lit('(?:^|;)\\s*'), record, F.lit(f'_{suffix} "([^"]*)"'))
-    return F.regexp_extract(attributes, pattern, 1)
+def attribute(attributes: Column, name: str) -> Column:
+    """Value of one attribute, empty when absent."""
+    return F.regexp_extract(attributes, rf'(?:^|;)\s*{name} "([^"]*)"', 1)
+
+
+def own_attribute(attributes: Column, record: Column, suffix: str) -> Column:
+    """``gene_<suffix>`` of a gene record, ``transcript_<suffix>`` of a transcript record."""
+    return F.when(record == "gene", attribute(attributes, f"gene_{suffix}")).otherwise(
+        attribute(attributes, f"transcript_{suffix}")
+    )

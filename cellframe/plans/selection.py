@@ -22,12 +22,17 @@ def version_gate(major: Column, minor: Column, bounds: tuple[int, int, int, int]
 
 
 def _gate(kind: str, bounds: tuple[int, int, int, int]) -> Column:
-    """No version of the kind is refused; a bundle without documents of the kind passes."""
-    return F.coalesce(F.forall(kind, lambda v: version_gate(v["major"], v["minor"], bounds)), F.lit(True))
+    """No document of the kind has a version, or one of them has an accepted one."""
+
+    def accepted(v: Column) -> Column:
+        return v["major"].isNotNull() & version_gate(v["major"], v["minor"], bounds)
+
+    versioned = F.exists(kind, lambda v: v["major"].isNotNull())
+    return F.coalesce(~versioned | F.exists(kind, accepted), F.lit(True))
 
 
 def all_gates(summary: DataFrame, versions: dict[str, tuple[int, int, int, int]] = fixed.SCHEMA_VERSIONS) -> Column:
-    """Every entity kind of the summary passes; a kind is a column of ``(major, minor)`` pairs."""
+    """Every entity kind of the summary passes; a kind is a column of ``(major, minor)`` pairs, null without documents."""
     tests = [_gate(kind, bounds) for kind, bounds in versions.items() if kind in summary.columns]
     return reduce(and_, tests) if tests else F.lit(True)
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellframe.functions.annotation import attribute, column
+from cellframe.functions.annotation import column, own_attribute
 from cellframe.functions.identifiers import feature_id
 from cellframe.operators.keyed import concat
 
@@ -35,9 +35,9 @@ def features(lines: DataFrame) -> DataFrame:
         )
         .filter(record.isin("gene", "transcript"))
         .select(
-            feature_id(attribute(attributes, record, "id")).alias("featurekey"),
-            attribute(attributes, record, "name").alias("featurename"),
-            attribute(attributes, record, "type").alias("featuretype"),
+            feature_id(own_attribute(attributes, record, "id")).alias("featurekey"),
+            own_attribute(attributes, record, "name").alias("featurename"),
+            own_attribute(attributes, record, "type").alias("featuretype"),
             column(line, 0).alias("chromosome"),
             column(line, 3).cast("int").alias("featurestart"),
             column(line, 4).cast("int").alias("featureend"),

@@ -21,21 +21,29 @@ def bundle_name(path: Column) -> Column:
 
 def document_number(path: Column) -> Column:
     """The number in ``<kind>_<n>.json``."""
-    return F.regexp_extract(path, r"_(\d+)\.json$", 1).cast("int")
+    return F.regexp_extract(path, r"_(\d+)\.json$", 1).try_cast("int")
 
 
 def read_json(spark: SparkSession, root: str, pattern: str, schema: T.StructType) -> DataFrame:
-    """Files named by ``pattern`` anywhere under ``root``; unreadable ones keep their text in ``_corrupt_record``."""
+    """Files named by ``pattern`` anywhere under ``root``; unreadable ones keep their text in ``_corrupt_record``.
+
+    The files are small and many; :func:`compact` turns them into tables once, so that later steps do not parse
+    them again.
+    """
     path = F.col("_metadata.file_path")
+    document = F.from_json(
+        "value",
+        T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]),
+        {"columnNameOfCorruptRecord": CORRUPT},
+    )
     return (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .json(root)
-        .withColumn("bundle_fqid", bundle_name(path))
-        .withColumn("ordinal", document_number(path))
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+        .select(
+            bundle_name(path).alias("bundle_fqid"),
+            document_number(path).alias("ordinal"),
+            document.alias("document"),
+        )
+        .select("bundle_fqid", "ordinal", "document.*")
     )
 
 
