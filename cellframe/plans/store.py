@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellframe import fixed
 from cellframe.functions.text import format_timestamp
-from cellframe.operators.keyed import remove, upsert
+from cellframe.operators.keyed import concat, remove, upsert
 from cellframe.plans import audits
 from cellframe.plans.ingest import empty_tables
 from cellframe.schemas import WAREHOUSE, table
-from cellframe.session import durable
+from cellframe.session import durable, together
 
 _LISTING = table("table!", "bucket int!", "written int!")
 _POINTER = table("seq long!", "version int!", "source", "batch long")
@@ -61,7 +61,7 @@ class Store:
         return self._log("data_version", _VERSIONS)
 
     def project_cells(self) -> DataFrame:
-        """``(version, projectkey, cells)`` of every published version."""
+        """``(version, projectkey, cells)`` of every version that was loaded whole or bumped."""
         return self._log("project_cells", _PROJECTS)
 
     def read(self, name: str, version: int | None = None, buckets: Collection[int] | None = None) -> DataFrame:
@@ -89,11 +89,11 @@ class Store:
     def reload(self, tables: Mapping[str, DataFrame]) -> int:
         """Publish exactly these tables; tables not given are empty."""
         version = self._next()
-        written = []
-        for name in WAREHOUSE:
-            if name in tables:
-                written += [(name, b, version) for b in self._write(name, tables[name], version)]
-        return self._publish(version, written)
+        written = together(
+            self.spark,
+            [lambda n=name: [(n, b, version) for b in self._write(n, tables[n], version)] for name in WAREHOUSE if name in tables],
+        )
+        return self._publish(version, sum(written, []), count_cells=True)
 
     def upsert(self, tables: Mapping[str, DataFrame]) -> int:
         """Replace rows by key in every given table except ``feature``."""
@@ -113,39 +113,25 @@ class Store:
         """Remove, then upsert, and publish both as one version."""
         base, version = self.current(), self._next()
         doomed = self._doomed(base, removals) if removals is not None else {}
-        staged = {
-            name: durable(frame, f"staged-{name}") for name, frame in (tables or {}).items() if name != "feature"
-        }
-        written = []
-        replaced: set[tuple[str, int]] = set()
-        for name in WAREHOUSE:
-            key = fixed.UPSERT_KEYS[name]
-            gone, new = doomed.get(name), staged.get(name)
-            changes = [f.select(self._bucket(name, key).alias("b")) for f in (gone, new) if f is not None]
-            if not changes:
-                continue
-            # At most as many rows as the table has buckets.
-            touched = {row["b"] for change in changes for row in change.distinct().collect()}
-            if not touched:
-                continue
-            rows = self.read(name, base, touched)
-            if gone is not None:
-                rows = self._without(name, rows, gone)
-            if new is not None:
-                rows = upsert(rows, new, key)
-            replaced |= {(name, bucket) for bucket in touched}
-            written += [(name, b, version) for b in self._write(name, rows, version)]
+        staged = {name: frame for name, frame in (tables or {}).items() if name != "feature"}
+
+        def change(name: str) -> tuple[set[int], list[int]]:
+            return self._rewrite(name, base, version, doomed.get(name), staged.get(name))
+
+        names = [name for name in WAREHOUSE if name in doomed or name in staged]
+        changes = dict(zip(names, together(self.spark, [lambda n=name: change(n) for name in names])))
         kept = [
             (row["table"], row["bucket"], row["written"])
             for row in self._listing(base).collect()
-            if (row["table"], row["bucket"]) not in replaced
+            if row["bucket"] not in changes.get(row["table"], (set(), []))[0]
         ]
+        written = [(name, bucket, version) for name, (_, buckets) in changes.items() for bucket in buckets]
         return self._publish(version, kept + written, source, batch)
 
     def bump(self) -> int:
         """Publish the current tables again under the next version."""
         rows = [tuple(row) for row in self._listing(self.current()).collect()]
-        return self._publish(self._next(), rows)
+        return self._publish(self._next(), rows, count_cells=True)
 
     def set_version(self, version: int) -> None:
         """Let readers see an earlier version."""
@@ -170,6 +156,25 @@ class Store:
         cells = durable(cells.select("cellkey", "analysiskey"), "doomed-cell")
         return {"expression": cells, "cell": cells, "analysis": analyses}
 
+    def _rewrite(
+        self, name: str, base: int, version: int, gone: DataFrame | None, new: DataFrame | None
+    ) -> tuple[set[int], list[int]]:
+        """Apply removals and new rows to a table; returns the touched buckets and those that still have rows."""
+        key = fixed.UPSERT_KEYS[name]
+        if new is not None:
+            new = durable(new, f"staged-{name}")
+        changes = [f.select(self._bucket(name, key).alias("b")) for f in (gone, new) if f is not None]
+        # At most as many rows as the table has buckets.
+        touched = {row["b"] for row in concat(*changes).distinct().collect()}
+        if not touched:
+            return touched, []
+        rows = self.read(name, base, touched)
+        if gone is not None:
+            rows = self._without(name, rows, gone)
+        if new is not None:
+            rows = upsert(rows, new, key)
+        return touched, self._write(name, rows, version)
+
     def _without(self, name: str, rows: DataFrame, gone: DataFrame) -> DataFrame:
         # A cell goes with its analysis, an analysis with its bundle, a value with its cell.
         key = {"expression": "cellkey", "cell": "analysiskey", "analysis": "bundle_fqid"}[name]
@@ -209,12 +214,18 @@ class Store:
         return self.spark.read.schema(_LISTING).parquet(os.path.join(self.root, "snapshots", f"v={version}"))
 
     def _publish(
-        self, version: int, rows: list[tuple[str, int, int]], source: str | None = None, batch: int | None = None
+        self,
+        version: int,
+        rows: list[tuple[str, int, int]],
+        source: str | None = None,
+        batch: int | None = None,
+        count_cells: bool = False,
     ) -> int:
         listing = self.spark.createDataFrame(rows, _LISTING)
         listing.write.mode("overwrite").parquet(os.path.join(self.root, "snapshots", f"v={version}"))
-        per_project = self.read("cell", version).groupBy("projectkey").agg(F.count(F.lit(1)).alias("cells"))
-        self._append("project_cells", per_project.select(F.lit(version).alias("version"), "projectkey", "cells"))
+        if count_cells:
+            per_project = self.read("cell", version).groupBy("projectkey").agg(F.count(F.lit(1)).alias("cells"))
+            self._append("project_cells", per_project.select(F.lit(version).alias("version"), "projectkey", "cells"))
         ranges = ", ".join(f"{k} {a}.{b}-{c}.{d}" for k, (a, b, c, d) in fixed.SCHEMA_VERSIONS.items())
         one = self.spark.range(1).select(
             F.lit(version).alias("version"),

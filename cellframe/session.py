@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+_T = TypeVar("_T")
+
 
 def build_session(app: str = "cellframe", master: str | None = None, **settings: str) -> SparkSession:
     """A session with adaptive execution on; cluster settings given by ``spark-submit`` win where set there."""
@@ -48,3 +54,9 @@ def durable(frame: DataFrame, name: str = "step") -> DataFrame:
     path = os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def together(spark: SparkSession, tasks: Iterable[Callable[[], _T]], threads: int = 8) -> list[_T]:
+    """Run independent Spark actions at the same time, so that small ones do not wait for large ones."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [job.result() for job in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cellframe.schemas import DOCUMENTS, MANIFEST
+from cellframe.session import durable, together
 
 CORRUPT = "_corrupt_record"
 
@@ -24,34 +25,29 @@ def document_number(path: Column) -> Column:
     return F.regexp_extract(path, r"_(\d+)\.json$", 1).try_cast("int")
 
 
-def read_json(spark: SparkSession, root: str, pattern: str, schema: T.StructType) -> DataFrame:
-    """Files named by ``pattern`` anywhere under ``root``; unreadable ones keep their text in ``_corrupt_record``.
-
-    The files are small and many; :func:`compact` turns them into tables once, so that later steps do not parse
-    them again.
-    """
+def read_texts(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """``(bundle_fqid, kind, ordinal, value)``: every file named by ``pattern`` under ``root`` as one text."""
     path = F.col("_metadata.file_path")
+    return spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(
+        bundle_name(path).alias("bundle_fqid"),
+        F.regexp_extract(path, r"([^/]+?)(?:_\d+)?\.json$", 1).alias("kind"),
+        document_number(path).alias("ordinal"),
+        "value",
+    )
+
+
+def parse(texts: DataFrame, schema: T.StructType) -> DataFrame:
+    """Texts as documents; an unreadable one keeps its text in ``_corrupt_record``."""
     document = F.from_json(
         "value",
         T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]),
         {"columnNameOfCorruptRecord": CORRUPT},
     )
-    return (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-        .select(
-            bundle_name(path).alias("bundle_fqid"),
-            document_number(path).alias("ordinal"),
-            document.alias("document"),
-        )
-        .select("bundle_fqid", "ordinal", "document.*")
+    return texts.select("bundle_fqid", "ordinal", document.alias("document")).select(
+        "bundle_fqid", "ordinal", "document.*"
     )
 
 
-def read_documents(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """Every document of one entity kind with its bundle and number."""
-    return read_json(spark, root, f"{kind}_[0-9]*.json", DOCUMENTS[kind])
-
-
 def manifest_file(files: Column, suffix: str) -> Column:
     """The first manifest entry whose name ends with ``suffix``; null when there is none."""
     return F.get(F.filter(files, lambda f: f["name"].endswith(suffix)), F.lit(0))
@@ -132,18 +128,30 @@ _PARTS = ("manifests", "genes", "isoforms", "calls", "chunks", "axis")
 
 
 def read_bundles(spark: SparkSession, root: str) -> Landing:
-    """Read bundle directories. Dense rows lie in ``chunks.parquet`` and ``axis.parquet`` below them, if any."""
+    """Read bundle directories as they are.
+
+    Dense rows lie in ``chunks*.parquet`` and ``axis*.parquet``, file lists in ``manifest.json``. Every use of a
+    kind parses its files again; :func:`compact` a large landing zone first.
+    """
     return Landing(
-        documents={kind: read_documents(spark, root, kind) for kind in DOCUMENTS},
-        manifests=read_json(spark, root, "manifest.json", MANIFEST),
-        genes=read_counts(spark, root, "genes"),
-        isoforms=read_counts(spark, root, "isoforms"),
-        calls=read_calls(spark, root),
-        chunks=_dense(spark, root, "chunks*.parquet", CHUNKS),
-        axis=_dense(spark, root, "axis*.parquet", AXIS),
+        documents={
+            kind: parse(read_texts(spark, root, f"{kind}_[0-9]*.json"), schema) for kind, schema in DOCUMENTS.items()
+        },
+        manifests=parse(read_texts(spark, root, "manifest.json"), MANIFEST),
+        **_count_files(spark, root),
     )
 
 
+def _count_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {
+        "genes": read_counts(spark, root, "genes"),
+        "isoforms": read_counts(spark, root, "isoforms"),
+        "calls": read_calls(spark, root),
+        "chunks": _dense(spark, root, "chunks*.parquet", CHUNKS),
+        "axis": _dense(spark, root, "axis*.parquet", AXIS),
+    }
+
+
 def _dense(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
     return (
         spark.read.schema(schema)
@@ -153,12 +161,21 @@ def _dense(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFra
     )
 
 
-def compact(landing: Landing, out: str) -> None:
-    """Write a landing zone of many small files as one Parquet table per kind."""
-    for kind, frame in landing.documents.items():
-        frame.write.mode("overwrite").parquet(os.path.join(out, "documents", kind))
-    for part in _PARTS:
-        getattr(landing, part).write.mode("overwrite").parquet(os.path.join(out, part))
+def compact(spark: SparkSession, root: str, out: str) -> None:
+    """Write a landing zone of many small files as one Parquet table per kind.
+
+    All JSON files are listed and read once, then split by kind.
+    """
+    texts = durable(read_texts(spark, root), "texts")
+    tables = {
+        f"documents/{kind}": parse(texts.filter(F.col("kind") == kind), schema) for kind, schema in DOCUMENTS.items()
+    }
+    tables["manifests"] = parse(texts.filter("kind = 'manifest'"), MANIFEST)
+    tables |= _count_files(spark, root)
+    together(
+        spark,
+        [lambda n=name, f=frame: f.write.mode("overwrite").parquet(os.path.join(out, n)) for name, frame in tables.items()],
+    )
 
 
 def read_compacted(spark: SparkSession, out: str) -> Landing:

@@ -83,7 +83,6 @@ class NotificationHandler:
         tables = None
         if not updates.isEmpty():
             tables, quarantined = ingest_bundles(self.landing().restrict(updates), self.labels)
-            tables = {name: durable(frame, name) for name, frame in tables.items()}
             arrived = tables["analysis"].select("bundle_fqid").distinct()
             absent = updates.join(arrived, "bundle_fqid", "left_anti").select(
                 F.col("bundle_fqid").alias("entity"), F.lit("not in the landing zone").alias("reason")

@@ -151,7 +151,7 @@ def test_bad_bundles_are_set_aside_not_raised(spark, labels, tmp_path):
 
 
 def test_a_compacted_landing_zone_gives_the_same_tables(spark, root, labels, ingested, tmp_path):
-    compact(read_bundles(spark, root), str(tmp_path))
+    compact(spark, root, str(tmp_path))
     tables, _ = ingest_bundles(read_compacted(spark, str(tmp_path)), labels)
     for name, frame in tables.items():
         assert sorted(map(str, (tuple(r) for r in frame.collect()))) == sorted(map(str, ingested[0][name]))
