@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cellframe.session import durable
+from cellframe.session import durable, together
 
 _ROW_BITS = 33  # monotonically_increasing_id puts the partition above this bit and the row below it
 
@@ -40,10 +40,17 @@ def ordinals(frame: DataFrame, key: str) -> DataFrame:
         .select("block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     )
     return numbered.join(F.broadcast(offsets), "block").select(
-        key, (F.col("offset") + F.col("row") + 1).cast("int").alias("ordinal")
+        key, (F.col("offset") + F.col("row") + 1).alias("ordinal")
     )
 
 
+def axes(features: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ordinals of ``featurekey`` and of ``cellkey``, numbered at the same time."""
+    pairs = ((features, "featurekey"), (cells, "cellkey"))
+    found = together(features.sparkSession, [lambda f=frame, k=key: ordinals(f, k) for frame, key in pairs])
+    return found[0], found[1]
+
+
 def cells_with_values(cells: DataFrame, values: DataFrame, key: str = "cellkey") -> DataFrame:
     """Cells that have at least one value; the others do not appear in an exported matrix."""
     return cells.join(values.select(key).distinct(), key, "left_semi")
@@ -89,10 +96,10 @@ def coordinates(
     )
 
 
-def _entries(values: DataFrame, features: DataFrame, on_duplicate: str) -> DataFrame:
+def cell_entries(values: DataFrame, features: DataFrame, on_duplicate: str) -> DataFrame:
     """Per cell its listed features, sorted: one array no longer than the feature axis."""
     listed = one_per_pair(values, on_duplicate).join(
-        features.withColumnRenamed("ordinal", "row"), "featurekey", "left"
+        features.select("featurekey", F.col("ordinal").cast("int").alias("row")), "featurekey", "left"
     )
     entry = F.when(F.col("row").isNotNull(), F.struct("row", F.col("exprvalue").alias("value")))
     return listed.groupBy("cellkey").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
@@ -101,7 +108,7 @@ def _entries(values: DataFrame, features: DataFrame, on_duplicate: str) -> DataF
 def sparse_rows(values: DataFrame, features: DataFrame, on_duplicate: str = "error") -> DataFrame:
     """Per cell the ordinals and values of its non-zero features, in ascending order."""
     kept = F.filter("entries", lambda e: e["value"] != 0)
-    return _entries(values, features, on_duplicate).select(
+    return cell_entries(values, features, on_duplicate).select(
         "cellkey",
         F.transform(kept, lambda e: e["row"]).alias("indices"),
         F.transform(kept, lambda e: e["value"]).alias("values"),
@@ -134,30 +141,35 @@ def dense_rows(
             lambda e, i: F.concat(F.array_repeat(zero, _gap(entries, i)), F.array(e["value"].cast("double"))),
         )
     )
-    return _entries(values, features, on_duplicate).select(
+    return cell_entries(values, features, on_duplicate).select(
         "cellkey", F.concat(filled, F.array_repeat(zero, _tail(entries, width))).alias("values")
     )
 
 
-def dense_lines(
-    values: DataFrame, features: DataFrame, width: int, separator: str = ",", on_duplicate: str = "error"
-) -> DataFrame:
-    """Per cell one text line: the key and ``width`` values, ``0`` where absent."""
-    entries = F.col("entries")
+def dense_line(width: int, separator: str = ",") -> Column:
+    """Text of a cell's entries (see :func:`cell_entries`): its key and ``width`` values, ``0`` where absent.
+
+    A cell without entries is all zeros.
+    """
     zero = F.lit(f"{separator}0")
     body = F.array_join(
         F.transform(
-            entries,
+            F.col("entries"),
             lambda e, i: F.concat(
-                F.repeat(zero, _gap(entries, i)), F.lit(separator), e["value"].cast("string")
+                F.repeat(zero, _gap(F.col("entries"), i)), F.lit(separator), e["value"].cast("string")
             ),
         ),
         "",
     )
-    return _entries(values, features, on_duplicate).select(
-        "cellkey",
-        F.concat(F.col("cellkey").cast("string"), body, F.repeat(zero, _tail(entries, width))).alias("line"),
-    )
+    tail = F.repeat(zero, _tail(F.col("entries"), width))
+    return F.concat(F.col("cellkey").cast("string"), F.coalesce(body, F.lit("")), tail)
+
+
+def dense_lines(
+    values: DataFrame, features: DataFrame, width: int, separator: str = ",", on_duplicate: str = "error"
+) -> DataFrame:
+    """``(cellkey, line)``: per cell one text line of its dense row."""
+    return cell_entries(values, features, on_duplicate).select("cellkey", dense_line(width, separator).alias("line"))
 
 
 def dense_to_long(rows: DataFrame, axis: DataFrame, by: tuple[str, ...] = (), values: str = "values") -> DataFrame:

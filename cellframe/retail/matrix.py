@@ -31,20 +31,20 @@ def _by_brand(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _gene_axis(spark: SparkSession, folder: str) -> DataFrame:
+def _axes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Ordinals of the gene parts, and of the orders that have line items."""
     parts = retail_tables(spark, folder)["part"].filter("isgene")
-    return reshape.ordinals(parts.select(F.col("p_partkey").alias("featurekey")), "featurekey")
-
-
-def _cell_axis(spark: SparkSession, folder: str) -> DataFrame:
     cells = read(spark, folder, "orders").select(F.col("o_orderkey").alias("cellkey"))
-    return reshape.ordinals(reshape.cells_with_values(cells, _values(spark, folder)), "cellkey")
+    return reshape.axes(
+        parts.select(F.col("p_partkey").alias("featurekey")),
+        reshape.cells_with_values(cells, _values(spark, folder)),
+    )
 
 
 GENES_SQL = "(select p_partkey, row_number() over (order by p_partkey) as r from part where p_size > 25)"
 CELLS_SQL = """(select o_orderkey, row_number() over (order by o_orderkey) as c from orders
   where o_orderkey in (select l_orderkey from lineitem))"""
-COORDS_SQL = f"""select r::integer as "row", c::integer as col, sum(l_quantity) as "value"
+COORDS_SQL = f"""select r as "row", c as col, sum(l_quantity) as "value"
   from lineitem join {GENES_SQL} g on l_partkey = p_partkey join {CELLS_SQL} k on l_orderkey = o_orderkey
   group by 1, 2 having sum(l_quantity) <> 0"""
 BRANDS_SQL = "(select p_brand as b, row_number() over (order by p_brand) as r from (select distinct p_brand from part))"
@@ -52,16 +52,14 @@ ENTRIES_SQL = f"""(select l_orderkey as k, r, sum(l_quantity) as v
   from lineitem join part on l_partkey = p_partkey join {BRANDS_SQL} x on p_brand = b group by 1, 2)"""
 
 
-@query("select o_orderkey as cellkey, (row_number() over (order by o_orderkey))::integer as ordinal from orders")
+@query("select o_orderkey as cellkey, row_number() over (order by o_orderkey) as ordinal from orders")
 def cell_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     return reshape.ordinals(read(spark, folder, "orders").select(F.col("o_orderkey").alias("cellkey")), "cellkey")
 
 
 @query(COORDS_SQL)
 def coords(spark: SparkSession, folder: str) -> DataFrame:
-    return reshape.coordinates(
-        _values(spark, folder), _gene_axis(spark, folder), _cell_axis(spark, folder), "sum"
-    )
+    return reshape.coordinates(_values(spark, folder), *_axes(spark, folder), "sum")
 
 
 @query(
@@ -69,7 +67,7 @@ def coords(spark: SparkSession, folder: str) -> DataFrame:
     (select count(*) from ({COORDS_SQL}))::bigint as nonzero"""
 )
 def coords_header(spark: SparkSession, folder: str) -> DataFrame:
-    features, cells = _gene_axis(spark, folder), _cell_axis(spark, folder)
+    features, cells = _axes(spark, folder)
     return matrix_size(features, cells, reshape.coordinates(_values(spark, folder), features, cells, "sum"))
 
 

@@ -9,28 +9,37 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from cellframe.functions.text import long_boolean
 
 
-def write_lines(lines: DataFrame, path: str, order: Sequence[str], header: DataFrame | None = None, compression: str = "none") -> None:
-    """Write the ``line`` column in the given order, after the lines of ``header`` (``place``, ``line``).
+def write_lines(
+    rows: DataFrame,
+    path: str,
+    order: Sequence[str],
+    line: Column,
+    header: DataFrame | None = None,
+    compression: str = "none",
+) -> None:
+    """Write ``line`` of every row in the given order, after the header lines (``place``, ``title``).
 
-    Rows are range-partitioned by all order columns, so no task holds more than its share and part names follow
-    the order.
+    Rows are range-partitioned by the order columns, so no task holds more than its share and part names follow
+    the order. The text is built after that shuffle: only the row's columns travel.
     """
-    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
-    body = lines.select(F.lit(1).alias("_section"), *keys, "line")
-    if header is not None:
-        types = body.schema
-        blank = [F.lit(None).cast(types[f"_k{i}"].dataType).alias(f"_k{i}") for i in range(1, len(order))]
-        first = F.col("place").cast(types["_k0"].dataType).alias("_k0")
-        body = body.union(header.select(F.lit(0), first, *blank, "line"))
-    names = ["_section", *(f"_k{i}" for i in range(len(order)))]
-    body.repartitionByRange(*names).sortWithinPartitions(*names).select("line").write.option(
-        "compression", compression
-    ).text(path)
+    if header is None:
+        header = rows.sparkSession.createDataFrame([], "place int, title string")
+    titles = header.select(F.lit(0).alias("_section"), F.col("place").alias("_place"), F.col("title").alias("_title"))
+    body = rows.withColumns({"_section": F.lit(1), "_place": F.lit(0), "_title": F.lit(None).cast("string")})
+    keys = ["_section", "_place", *order]
+    (
+        body.unionByName(titles, allowMissingColumns=True)
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .select(F.when(F.col("_section") == 0, F.col("_title")).otherwise(line).alias("line"))
+        .write.option("compression", compression)
+        .text(path)
+    )
 
 
 def one_line(frame: DataFrame, *lines: str) -> DataFrame:
     """A header of fixed lines."""
-    return frame.sparkSession.createDataFrame(list(enumerate(lines)), "place int, line string")
+    return frame.sparkSession.createDataFrame(list(enumerate(lines)), "place int, title string")
 
 
 def render(column: str, data_type: T.DataType) -> Column:
@@ -52,4 +61,5 @@ def write_table(
     options = {"sep": separator, "nullValue": "", "emptyValue": ""}
     row = F.to_csv(F.struct(*(render(c, frame.schema[c].dataType) for c in columns)), options)
     titles = one_line(frame, separator.join(columns)) if header else None
-    write_lines(frame.select(*order, row.alias("line")), path, order, titles, compression)
+    needed = list(dict.fromkeys([*columns, *order]))
+    write_lines(frame.select(*(F.col(f"`{c}`") for c in needed)), path, order, row, titles, compression)

@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, functions as F
 
 from cellframe import fixed
-from cellframe.operators.reshape import cells_with_values, coordinates, dense_lines, ordinals, sparse_rows
-from cellframe.session import durable
+from cellframe.operators.reshape import axes, cell_entries, cells_with_values, coordinates, dense_line, sparse_rows
+from cellframe.session import durable, together
 from cellframe.sinks.delimited import one_line, write_lines, write_table
 
 
@@ -28,13 +28,14 @@ class MatrixExport:
         include_empty_cells: bool = False,
     ) -> None:
         self.on_duplicate = on_duplicate
-        self.values = durable(values, "values")
-        self.features = durable(features, "features")
-        self.is_empty = cells.isEmpty()
+        self.include_empty_cells = include_empty_cells
+        self.values, self.features, self.is_empty = together(
+            values.sparkSession,
+            [lambda: durable(values, "values"), lambda: durable(features, "features"), cells.isEmpty],
+        )
         kept = cells if include_empty_cells else cells_with_values(cells, self.values)
         self.cells = durable(kept, "cells")
-        self.feature_ordinals = ordinals(self.features, "featurekey")
-        self.cell_ordinals = ordinals(self.cells, "cellkey")
+        self.feature_ordinals, self.cell_ordinals = axes(self.features, self.cells)
 
     @classmethod
     def of(cls, request, **options) -> MatrixExport:
@@ -63,15 +64,14 @@ class MatrixExport:
         if self.is_empty:
             return self._write_empty(os.path.join(path, "expression.csv"))
         width = self.feature_ordinals.count()
-        lines = dense_lines(self.values, self.feature_ordinals, width, ",", self.on_duplicate).join(
-            self.cell_ordinals, "cellkey"
-        )
+        entries = cell_entries(self.values, self.feature_ordinals, self.on_duplicate)
+        rows = self.cell_ordinals.join(entries, "cellkey", "left" if self.include_empty_cells else "inner")
         # The title line names every feature, so it is as long as the format makes it.
         listed = F.array_sort(F.collect_list(F.struct("ordinal", F.col("featurekey").cast("string").alias("k"))))
         title = self.feature_ordinals.agg(
-            F.concat_ws(",", F.lit("cellkey"), F.transform(listed, lambda e: e["k"])).alias("line")
-        ).select(F.lit(0).alias("place"), "line")
-        write_lines(lines, os.path.join(path, "expression.csv"), ["ordinal"], title)
+            F.concat_ws(",", F.lit("cellkey"), F.transform(listed, lambda e: e["k"])).alias("title")
+        ).select(F.lit(0).alias("place"), "title")
+        write_lines(rows, os.path.join(path, "expression.csv"), ["ordinal"], dense_line(width), title)
         self._write_features(os.path.join(path, "genes.csv"), ",", "none")
         self._write_cells(os.path.join(path, "cells.csv"), ",", "none")
 
@@ -83,9 +83,9 @@ class MatrixExport:
             coordinates(self.values, self.feature_ordinals, self.cell_ordinals, self.on_duplicate), "coordinates"
         )
         size = f"{self.feature_ordinals.count()} {self.cell_ordinals.count()} {entries.count()}"
-        lines = entries.withColumn("line", F.concat_ws(" ", "row", "col", F.col("value").cast("string")))
+        line = F.concat_ws(" ", "row", "col", F.col("value").cast("string"))
         header = one_line(entries, fixed.MTX_BANNER, size)
-        write_lines(lines, os.path.join(path, "matrix.mtx.gz"), ["col", "row"], header, "gzip")
+        write_lines(entries, os.path.join(path, "matrix.mtx.gz"), ["col", "row"], line, header, "gzip")
         tenx = features_10x(self._feature_rows())
         columns = [c for c in tenx.columns if c != "ordinal"]
         write_table(tenx, os.path.join(path, "features.tsv.gz"), columns, ["ordinal"], "\t", False, "gzip")

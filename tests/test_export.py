@@ -166,3 +166,13 @@ def test_rows_per_bundle(snowflake, tmp_path):
 def test_stored_result(snowflake, tmp_path):
     manifest = staged.store_result(snowflake["expression"].repartition(3), f"{tmp_path}/r")
     assert sum(r["record_count"] for r in manifest.collect()) == 11
+
+
+def test_csv_with_empty_cells(spark, tmp_path):
+    cells = spark.createDataFrame([("a",), ("b",), ("c",)], "cellkey string")
+    values = spark.createDataFrame([("b", "G2", 1.5)], "cellkey string, featurekey string, exprvalue float")
+    features = spark.createDataFrame([("G1",), ("G2",), ("G3",)], "featurekey string")
+    MatrixExport(cells, values, features, include_empty_cells=True).write_csv(f"{tmp_path}/all")
+    assert joined(f"{tmp_path}/all/expression.csv").splitlines() == ["cellkey,G1,G2,G3", "a,0,0,0", "b,0,1.5,0", "c,0,0,0"]
+    MatrixExport(cells, values, features).write_csv(f"{tmp_path}/some")
+    assert joined(f"{tmp_path}/some/expression.csv").splitlines() == ["cellkey,G1,G2,G3", "b,0,1.5,0"]
