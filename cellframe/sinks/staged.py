@@ -29,8 +29,9 @@ def append_staged(frame: DataFrame, path: str, compression: str = "none") -> Non
 
 
 def write_per_bundle(frame: DataFrame, path: str) -> None:
-    """Gzip parts in one folder per ``bundle_fqid``."""
-    as_text(frame).write.mode("append").partitionBy("bundle_fqid").option("sep", "|").option("emptyValue", "").option(
+    """Gzip parts in one folder per ``bundle_fqid``; a large bundle is spread over several parts."""
+    order = ["bundle_fqid", *(c for c in frame.columns if c != "bundle_fqid")]
+    as_text(frame).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("bundle_fqid").option("sep", "|").option("emptyValue", "").option(
         "compression", "gzip"
     ).csv(path)
 

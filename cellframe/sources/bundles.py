@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from cellframe.schemas import DOCUMENTS, MANIFEST
 from cellframe.session import durable, together
 
 CORRUPT = "_corrupt_record"
+_SAFE_NAME = re.compile(r"[\w.:-]+")
 
 
 def bundle_name(path: Column) -> Column:
@@ -25,15 +27,37 @@ def document_number(path: Column) -> Column:
     return F.regexp_extract(path, r"_(\d+)\.json$", 1).try_cast("int")
 
 
-def read_texts(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """``(bundle_fqid, kind, ordinal, value)``: every file named by ``pattern`` under ``root`` as one text."""
-    path = F.col("_metadata.file_path")
-    return spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(
-        bundle_name(path).alias("bundle_fqid"),
-        F.regexp_extract(path, r"([^/]+?)(?:_\d+)?\.json$", 1).alias("kind"),
-        document_number(path).alias("ordinal"),
-        "value",
-    )
+def bundle_paths(root: str, only: Collection[str] | None = None) -> str:
+    """The landing zone, or one pattern that matches the named bundle directories of it."""
+    if only is None:
+        return root
+    names = [name for name in sorted(set(only)) if _SAFE_NAME.fullmatch(name)]
+    return os.path.join(root, "{" + ",".join(names or ["-"]) + "}")
+
+
+def _or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """What ``read`` gives, or no rows when no file or directory matches its path."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """``(bundle_fqid, kind, ordinal, value)``: every file named by ``pattern`` below the path as one text."""
+
+    def read() -> DataFrame:
+        file = F.col("_metadata.file_path")
+        return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(
+            bundle_name(file).alias("bundle_fqid"),
+            F.regexp_extract(file, r"([^/]+?)(?:_\d+)?\.json$", 1).alias("kind"),
+            document_number(file).alias("ordinal"),
+            "value",
+        )
+
+    return _or_empty(read, spark, "bundle_fqid string, kind string, ordinal int, value string")
 
 
 def parse(texts: DataFrame, schema: T.StructType) -> DataFrame:
@@ -53,44 +77,48 @@ def manifest_file(files: Column, suffix: str) -> Column:
     return F.get(F.filter(files, lambda f: f["name"].endswith(suffix)), F.lit(0))
 
 
-def read_counts(spark: SparkSession, root: str, kind: str) -> DataFrame:
+def read_counts(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """``(bundle_fqid, id, tpm, expected_count)`` of the ``*.genes.results`` or ``*.isoforms.results`` files."""
     key = {"genes": "gene_id", "isoforms": "transcript_id"}[kind]
-    try:
-        frame = (
+
+    def read() -> DataFrame:
+        return (
             spark.read.option("header", True)
             .option("sep", "\t")
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", f"*.{kind}.results")
-            .csv(root)
+            .csv(path)
+            .select(
+                bundle_name(F.col("_metadata.file_path")).alias("bundle_fqid"),
+                F.col(key).alias("id"),
+                F.col("TPM").try_cast("double").alias("tpm"),
+                F.col("expected_count").try_cast("double").alias("expected_count"),
+            )
         )
-    except AnalysisException:  # no such file
-        return spark.createDataFrame([], "bundle_fqid string, id string, tpm double, expected_count double")
-    return frame.select(
-        bundle_name(F.col("_metadata.file_path")).alias("bundle_fqid"),
-        F.col(key).alias("id"),
-        F.col("TPM").try_cast("double").alias("tpm"),
-        F.col("expected_count").try_cast("double").alias("expected_count"),
-    )
 
+    return _or_empty(read, spark, "bundle_fqid string, id string, tpm double, expected_count double")
 
-def read_calls(spark: SparkSession, root: str) -> DataFrame:
+
+def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """``(bundle_fqid, cell_id, total, is_cell)`` of the empty-droplet calls."""
-    schema = "CellId string, Total int, LogProb double, PValue double, Limited string, FDR double, IsCell string"
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("nanValue", "NA")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "empty_drops_result.csv")
-        .csv(root)
-        .select(
-            bundle_name(F.col("_metadata.file_path")).alias("bundle_fqid"),
-            F.col("CellId").alias("cell_id"),
-            F.col("Total").alias("total"),
-            (F.col("IsCell") == "TRUE").alias("is_cell"),
+    schema = "CellId string, Total int, LogProb string, PValue string, Limited string, FDR string, IsCell string"
+
+    def read() -> DataFrame:
+        return (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "empty_drops_result.csv")
+            .csv(path)
+            .select(
+                bundle_name(F.col("_metadata.file_path")).alias("bundle_fqid"),
+                F.col("CellId").alias("cell_id"),
+                F.col("Total").alias("total"),
+                (F.col("IsCell") == "TRUE").alias("is_cell"),
+            )
         )
-    )
+
+    return _or_empty(read, spark, "bundle_fqid string, cell_id string, total int, is_cell boolean")
 
 
 @dataclass(frozen=True)
@@ -127,38 +155,42 @@ AXIS = "bundle_fqid string, gene_ids array<string>"
 _PARTS = ("manifests", "genes", "isoforms", "calls", "chunks", "axis")
 
 
-def read_bundles(spark: SparkSession, root: str) -> Landing:
-    """Read bundle directories as they are.
+def read_bundles(spark: SparkSession, root: str, only: Collection[str] | None = None) -> Landing:
+    """Read bundle directories as they are: all of them, or only the named ones that have arrived.
 
     Dense rows lie in ``chunks*.parquet`` and ``axis*.parquet``, file lists in ``manifest.json``. Every use of a
     kind parses its files again; :func:`compact` a large landing zone first.
     """
+    path = bundle_paths(root, only)
     return Landing(
         documents={
-            kind: parse(read_texts(spark, root, f"{kind}_[0-9]*.json"), schema) for kind, schema in DOCUMENTS.items()
+            kind: parse(read_texts(spark, path, f"{kind}_[0-9]*.json"), schema) for kind, schema in DOCUMENTS.items()
         },
-        manifests=parse(read_texts(spark, root, "manifest.json"), MANIFEST),
-        **_count_files(spark, root),
+        manifests=parse(read_texts(spark, path, "manifest.json"), MANIFEST),
+        **_count_files(spark, path),
     )
 
 
-def _count_files(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def _count_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {
-        "genes": read_counts(spark, root, "genes"),
-        "isoforms": read_counts(spark, root, "isoforms"),
-        "calls": read_calls(spark, root),
-        "chunks": _dense(spark, root, "chunks*.parquet", CHUNKS),
-        "axis": _dense(spark, root, "axis*.parquet", AXIS),
+        "genes": read_counts(spark, path, "genes"),
+        "isoforms": read_counts(spark, path, "isoforms"),
+        "calls": read_calls(spark, path),
+        "chunks": _dense(spark, path, "chunks*.parquet", CHUNKS),
+        "axis": _dense(spark, path, "axis*.parquet", AXIS),
     }
 
 
-def _dense(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .parquet(root)
-    )
+def _dense(spark: SparkSession, path: str, pattern: str, schema: str) -> DataFrame:
+    def read() -> DataFrame:
+        return (
+            spark.read.schema(schema)
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", pattern)
+            .parquet(path)
+        )
+
+    return _or_empty(read, spark, schema)
 
 
 def compact(spark: SparkSession, root: str, out: str) -> None:

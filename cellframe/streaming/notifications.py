@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,12 +16,9 @@ from cellframe.session import durable
 from cellframe.sources.bundles import Landing
 
 
-def read_notifications(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Notifications dropped as JSON files into a folder."""
-    reader = spark.readStream.schema(NOTIFICATION)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(folder)
+def read_notifications(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Notifications dropped as JSON files into a folder, at most so many files at a time."""
+    return spark.readStream.schema(NOTIFICATION).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
 def action(event_type: Column) -> Column:
@@ -51,14 +48,15 @@ def decide(routed: DataFrame) -> DataFrame:
 class NotificationHandler:
     """Applies batches of notifications to a store.
 
-    ``landing`` gives the bundle directories at the time of a batch. A batch that was published before is
+    ``landing`` gives what has arrived for the named bundles (see ``sources.bundles.read_bundles``), so a batch
+    costs as much as its own bundles. A batch that was published before is
     skipped, so a restart repeats nothing; applying one again would give the same tables anyway.
     """
 
     def __init__(
         self,
         store: Store,
-        landing: Callable[[], Landing],
+        landing: Callable[[Collection[str]], Landing],
         labels: DataFrame,
         quarantine: str,
         name: str = "notifications",
@@ -82,7 +80,9 @@ class NotificationHandler:
         )
         tables = None
         if not updates.isEmpty():
-            tables, quarantined = ingest_bundles(self.landing().restrict(updates), self.labels)
+            # One name per updated bundle of the batch, which the source bounds.
+            names = [row["bundle_fqid"] for row in updates.collect()]
+            tables, quarantined = ingest_bundles(self.landing(names), self.labels)
             arrived = tables["analysis"].select("bundle_fqid").distinct()
             absent = updates.join(arrived, "bundle_fqid", "left_anti").select(
                 F.col("bundle_fqid").alias("entity"), F.lit("not in the landing zone").alias("reason")

@@ -163,6 +163,14 @@ def test_restricting_to_bundles(spark, root, labels):
     assert [r[0] for r in tables["cell"].collect()] == ["susp-plate"] and quarantine.isEmpty()
 
 
+def test_reading_only_named_bundles(spark, root):
+    found = read_bundles(spark, root, [files.PLATE, "missing.1", "odd{name}"])
+    assert {r[0] for r in found.documents["analysis_protocol"].select("bundle_fqid").collect()} == {files.PLATE}
+    assert found.genes.count() == 4 and found.calls.isEmpty() and found.chunks.isEmpty()
+    nothing = read_bundles(spark, root, ["missing.1"])
+    assert nothing.manifests.isEmpty() and nothing.genes.isEmpty() and nothing.axis.isEmpty()
+
+
 def test_empty_tables(spark):
     assert {name: frame.schema for name, frame in empty_tables(spark).items()} == WAREHOUSE
 

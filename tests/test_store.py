@@ -132,7 +132,7 @@ def test_round_trip_of_notifications(spark, labels, tmp_path):
     plate, droplet = files.PLATE.split(".")[0], files.DROPLET.split(".")[0]
     full = {plate: (1, 1, 6), droplet: (1, 2, 4)}
     assert bundle_counts(store) == full
-    handler = NotificationHandler(store, lambda: read_bundles(spark, str(landing)), labels, str(tmp_path / "quarantine"))
+    handler = NotificationHandler(store, lambda names: read_bundles(spark, str(landing), names), labels, str(tmp_path / "quarantine"))
 
     def deliver():
         stream = read_notifications(spark, str(inbox))
