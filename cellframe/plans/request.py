@@ -196,15 +196,12 @@ def fan_out(request: MatrixRequest) -> dict[str, MatrixRequest]:
 def fan_out_cells(request: MatrixRequest) -> DataFrame:
     """The cells of every fanned-out request in one pass, told apart by a ``species`` column."""
     catalog = request.catalog
-    table, column = catalog.locate(catalog.species_field)
-    wanted = fan_out(request)
-    tagged = replace(request, fields=(*request.asked_fields, catalog.species_field))
+    _, column = catalog.locate(catalog.species_field)
     output = catalog.public_names[column]
-    return (
-        tagged.cells()
-        .withColumn("species", F.col(f"`{output}`"))
-        .filter(F.col("species").isin(*wanted))
-    )
+    asked = catalog.select(request.asked_fields)
+    cells = replace(request, fields=(*request.asked_fields, catalog.species_field)).cells()
+    tagged = cells.withColumn("species", F.col(f"`{output}`")).filter(F.col("species").isin(*fan_out(request)))
+    return tagged if any(s.output == output for s in asked) else tagged.drop(output)
 
 
 def bundle_request(

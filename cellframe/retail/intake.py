@@ -117,14 +117,14 @@ def cell_key_md5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """select page_id, split_part(url, '.', 1) as uuid,
-    case when position('.' in url) > 0 then substr(url, position('.' in url) + 1) end as version from pages"""
+    case when position('.' in url) > 0 then substr(url, position('.' in url) + 1) else '' end as version from pages"""
 )
 def split_first_dot(spark: SparkSession, folder: str) -> DataFrame:
     url = F.col("url")
     return read(spark, folder, "pages").select(
         "page_id",
         identifiers.bundle_uuid(url).alias("uuid"),
-        identifiers.bundle_version(url).alias("version"),
+        text.or_blank(identifiers.bundle_version(url)).alias("version"),
     )
 
 
@@ -134,8 +134,8 @@ def split_first_dot(spark: SparkSession, folder: str) -> DataFrame:
     select p_partkey as analysiskey, protocol,
     case when starts_with(protocol, 'smartseq2') or starts_with(protocol, 'optimus') then 'blessed' else 'community' end
       as awg_disposition,
-    case when starts_with(protocol, 'smartseq2') then 'plate' when starts_with(protocol, 'optimus') then 'droplet' end
-      as assay from protocols"""
+    case when starts_with(protocol, 'smartseq2') then 'plate' when starts_with(protocol, 'optimus') then 'droplet'
+      else 'unsupported' end as assay from protocols"""
 )
 def disposition(spark: SparkSession, folder: str) -> DataFrame:
     start = (
@@ -146,7 +146,7 @@ def disposition(spark: SparkSession, folder: str) -> DataFrame:
         read(spark, folder, "part")
         .select(F.col("p_partkey").alias("analysiskey"), F.concat(start, "p_brand").alias("protocol"))
         .withColumn("awg_disposition", identifiers.disposition(protocol))
-        .withColumn("assay", identifiers.assay(protocol))
+        .withColumn("assay", F.coalesce(identifiers.assay(protocol), F.lit("unsupported")))
     )
 
 
@@ -209,8 +209,8 @@ def single_role(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Ontology labels: regions 0 to 3 under two spellings of their term."""
-    regions = read(spark, folder, "region").filter("r_regionkey < 4")
+    """Ontology labels: every region but one, which stays without a label."""
+    regions = read(spark, folder, "region").filter("r_name <> 'MIDDLE EAST'")
     return regions.select(F.concat(F.lit("REG:"), "r_regionkey").alias("term"), F.col("r_name").alias("label"))
 
 
@@ -222,7 +222,7 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
     select c_custkey as entity, term, case when n_nationkey >= 20 or r_name is null then '' when n_nationkey >= 15
       then r_name || ' (cell line)' else r_name end as label
     from customer join terms on c_nationkey = n_nationkey
-    left join (select * from region where r_regionkey < 4) on n_regionkey = r_regionkey"""
+    left join (select * from region where r_name <> 'MIDDLE EAST') on n_regionkey = r_regionkey"""
 )
 def label_lookup(spark: SparkSession, folder: str) -> DataFrame:
     number, region = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
@@ -314,7 +314,7 @@ def distinct_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """select distinct 'REG:' || n_regionkey::varchar as term from nation
-    where n_regionkey not in (select r_regionkey from region where r_regionkey < 4)"""
+    where n_regionkey not in (select r_regionkey from region where r_name <> 'MIDDLE EAST')"""
 )
 def unresolved_terms(spark: SparkSession, folder: str) -> DataFrame:
     nations = read(spark, folder, "nation").select(F.concat(F.lit("REG:"), "n_regionkey").alias("organ_ontology"))
@@ -417,7 +417,7 @@ def bool_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """select p_partkey as bundle, list_filter(string_split(p_name, ' '), lambda w: ends_with(w, 't'))[1] as uuid
+    """select p_partkey as bundle, coalesce(list_filter(string_split(p_name, ' '), lambda w: ends_with(w, 't'))[1], '') as uuid
     from part"""
 )
 def manifest_entry(spark: SparkSession, folder: str) -> DataFrame:
@@ -427,5 +427,5 @@ def manifest_entry(spark: SparkSession, folder: str) -> DataFrame:
     return (
         read(spark, folder, "part")
         .select("p_partkey", files.alias("files"))
-        .select(F.col("p_partkey").alias("bundle"), entry["uuid"].alias("uuid"))
+        .select(F.col("p_partkey").alias("bundle"), text.or_blank(entry["uuid"]).alias("uuid"))
     )

@@ -74,10 +74,14 @@ LATEST_SQL = """(select * from (select *, row_number() over (partition by user_i
   from events) where n = 1)"""
 
 
-@query(f"select user_id, event_id, ts, event_type, value from {LATEST_SQL}")
+@query(
+    f"""select user_id, event_id, strftime(ts, '%Y-%m-%dT%H%M%S.%fZ') as creation_date, event_type, value
+    from {LATEST_SQL}"""
+)
 def latest_event(spark: SparkSession, folder: str) -> DataFrame:
     events = read(spark, folder, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    return keyed.latest(events, "user_id", "ts", "event_id")
+    newest = keyed.latest(events, "user_id", "ts", "event_id")
+    return newest.withColumn("creation_date", text.format_timestamp(F.col("ts"))).drop("ts")
 
 
 EVENT_TYPE_SQL = """case event_type when 'signup' then 'CREATE' when 'purchase' then 'UPDATE' when 'click' then 'DELETE'
@@ -259,11 +263,13 @@ def invalidate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""select request_id, coalesce(case when k > 90 then 'deleted' end, error) as error from {LOG_SQL}"""
+    f"""select request_id, coalesce(case when k > 90 then 'deleted' end, error, '') as error from {LOG_SQL}"""
 )
 def invalidate_marks(spark: SparkSession, folder: str) -> DataFrame:
     log = _log(spark, folder)
-    return requestlog.mark_invalidated(log, log.filter("k > 90"), "deleted").select("request_id", "error")
+    return requestlog.mark_invalidated(log, log.filter("k > 90"), "deleted").select(
+        "request_id", text.or_blank(F.col("error")).alias("error")
+    )
 
 
 @query(f"select request_id from {LOG_SQL} where data_version = 1 and format = 'mtx' and error is null")
@@ -275,16 +281,17 @@ def log_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""with finished as (select (num_bundles // 500 * 500)::varchar || '-' || (num_bundles // 500 * 500 + 499)::varchar
       as bundles, format, duration from {LOG_SQL} where format is not null)
-    select bundles, format, case when grouping(format) = 1 then 1 else 0 end as level, count(*)::bigint as requests,
-    round(avg(duration), 4) as mean_duration from finished group by grouping sets ((bundles, format), (bundles))"""
+    select bundles, coalesce(format, '(all)') as format, case when grouping(format) = 1 then 1 else 0 end as level, count(*)::bigint as requests,
+    round(avg(duration) * count(*), 2) as total_duration from finished group by grouping sets ((bundles, format), (bundles))"""
 )
 def duration_rollup(spark: SparkSession, folder: str) -> DataFrame:
     rolled = requestlog.duration_rollup(_log(spark, folder).filter("format IS NOT NULL"))
-    return rolled.withColumn("mean_duration", F.round("mean_duration", 4))
+    total = F.round(F.col("mean_duration") * F.col("requests"), 2)
+    return rolled.select("bundles", F.coalesce("format", F.lit("(all)")).alias("format"), "level", "requests", total.alias("total_duration"))
 
 
 @query(
-    """select event_id, strftime(ts, '%Y-%m-%dT%H%M%S.%fZ') as written, ts as parsed,
+    """select event_id, strftime(ts, '%Y-%m-%dT%H%M%S.%fZ') as written, epoch_us(ts) as parsed_micros,
     ((epoch_us(timestamp '2024-01-31 12:00:00') - epoch_us(ts)) // 1000000)::bigint as age from events"""
 )
 def parse_timestamp(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,5 +300,10 @@ def parse_timestamp(spark: SparkSession, folder: str) -> DataFrame:
         read(spark, folder, "events")
         .select("event_id", written.alias("written"))
         .withColumn("parsed", text.parse_timestamp(F.col("written")))
-        .withColumn("age", F.floor(text.seconds_between(F.col("parsed"), F.lit(NOW).cast("timestamp"))))
+        .select(
+            "event_id",
+            "written",
+            F.unix_micros("parsed").alias("parsed_micros"),
+            F.floor(text.seconds_between(F.col("parsed"), F.lit(NOW).cast("timestamp"))).alias("age"),
+        )
     )

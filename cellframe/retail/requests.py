@@ -235,32 +235,34 @@ def cells_fixed_projection(spark: SparkSession, folder: str) -> DataFrame:
     return _request(spark, folder, {"op": "=", "field": "order_priority", "value": "1-URGENT"}, fields=fields).cells()
 
 
-DESCRIPTION = "null::double as minimum, null::double as maximum"
+def _filled(description: DataFrame) -> DataFrame:
+    """Descriptions with blanks and zeros where a kind has no value, so that every column compares plainly."""
+    return description.fillna("", ["value"]).fillna(0, ["cells", "minimum", "maximum"])
 
 
 def _category_sql(field: str, column: str) -> str:
     return f"""select '{field}' as field, 'categorical' as kind, coalesce({column}::varchar, '') as value,
-    count(o_orderkey)::bigint as cells, {DESCRIPTION} from {LEFT_SNOW} group by 3"""
+    count(o_orderkey)::bigint as cells, 0.0::double as minimum, 0.0::double as maximum from {LEFT_SNOW} group by 3"""
 
 
 def _range_sql(field: str, column: str) -> str:
-    return f"""select '{field}' as field, 'numeric' as kind, null::varchar as value, null::bigint as cells,
+    return f"""select '{field}' as field, 'numeric' as kind, '' as value, 0::bigint as cells,
     min({column}) as minimum, max({column}) as maximum from {LEFT_SNOW}"""
 
 
 @query(_category_sql("order_status", "o_orderstatus"))
 def detail_categorical(spark: SparkSession, folder: str) -> DataFrame:
-    return describe_field(RETAIL_CATALOG, retail_tables(spark, folder), "order_status")
+    return _filled(describe_field(RETAIL_CATALOG, retail_tables(spark, folder), "order_status"))
 
 
 @query(_category_sql("region", "r_name"))
 def detail_categorical_dim(spark: SparkSession, folder: str) -> DataFrame:
-    return describe_field(RETAIL_CATALOG, retail_tables(spark, folder), "region")
+    return _filled(describe_field(RETAIL_CATALOG, retail_tables(spark, folder), "region"))
 
 
 @query(_range_sql("order_total", "o_totalprice"))
 def detail_numeric(spark: SparkSession, folder: str) -> DataFrame:
-    return describe_field(RETAIL_CATALOG, retail_tables(spark, folder), "order_total")
+    return _filled(describe_field(RETAIL_CATALOG, retail_tables(spark, folder), "order_total"))
 
 
 @query(
@@ -289,7 +291,7 @@ def detail_boolean(spark: SparkSession, folder: str) -> DataFrame:
 )
 def detail_all(spark: SparkSession, folder: str) -> DataFrame:
     dimensions = ("customer", "nation", "region")
-    return describe_all(RETAIL_CATALOG, retail_tables(spark, folder), dimensions)
+    return _filled(describe_all(RETAIL_CATALOG, retail_tables(spark, folder), dimensions))
 
 
 @query(

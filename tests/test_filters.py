@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cellframe.catalog import CELL_CATALOG, UnknownField
@@ -132,3 +134,56 @@ def test_catalogue_projection():
         CELL_CATALOG.select(["nonsense"])
     with pytest.raises(UnknownField):
         CELL_CATALOG.select(["expression.*"])
+
+
+def _random_filter(rng, depth):
+    if depth and rng.random() < 0.6:
+        op = rng.choice(["and", "or", "not"])
+        count = 1 if op == "not" else rng.randint(2, 3)
+        return {"op": op, "value": [_random_filter(rng, depth - 1) for _ in range(count)]}
+    field, values = rng.choice(
+        [
+            ("genes_detected", [10, 20, 40, 60.5, 70]),
+            ("total_umis", [7, 99, 100, 142]),
+            ("barcode", ["AAA", "CCC", "zzz"]),
+            ("donor_organism.sex", ["female", "male"]),
+        ]
+    )
+    op = rng.choice(["=", "!=", ">", "<", ">=", "<=", "in"])
+    return eq(field, rng.sample(values, 2) if op == "in" else rng.choice(values), op)
+
+
+def _truth(filter_, row):
+    """Three-valued truth of a filter over one row."""
+    op, value = filter_["op"], filter_["value"]
+    if op in ("and", "or", "not"):
+        found = [_truth(f, row) for f in value]
+        if op == "not":
+            return None if found[0] is None else not found[0]
+        decisive = op == "or"
+        return decisive if decisive in found else None if None in found else not decisive
+    actual = row[filter_["field"]]
+    if actual is None:
+        return None
+    return {
+        "=": lambda: actual == value,
+        "!=": lambda: actual != value,
+        ">": lambda: actual > value,
+        "<": lambda: actual < value,
+        ">=": lambda: actual >= value,
+        "<=": lambda: actual <= value,
+        "in": lambda: actual in value,
+    }[op]()
+
+
+def test_random_filters_against_brute_force(snowflake):
+    rng = random.Random(11)
+    filters = [_random_filter(rng, 3) for _ in range(60)]
+    fields = ["genes_detected", "total_umis", "barcode", "donor_organism.sex"]
+    columns = [F.col(s.path).alias(s.output) for s in CELL_CATALOG.select(fields)]
+    answers = [to_column(f, CELL_CATALOG).alias(f"answer{i}") for i, f in enumerate(filters)]
+    rows = left_chain(CELL_CATALOG, snowflake).select(*columns, *answers).collect()
+    assert len(rows) == 6
+    for row in rows:
+        for i, filter_ in enumerate(filters):
+            assert row[f"answer{i}"] == _truth(filter_, row.asDict()), filter_
