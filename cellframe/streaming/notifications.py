@@ -67,8 +67,9 @@ class NotificationHandler:
         self.quarantine = quarantine
         self.name = name
 
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if self.store.has_batch(self.name, batch_id):
+    def __call__(self, batch: DataFrame, batch_id: int, stream: str = "") -> None:
+        source = f"{self.name}/{stream}"
+        if self.store.has_batch(source, batch_id):
             return
         routed = durable(route(batch), "notifications")
         decided = durable(decide(routed), "decided")
@@ -88,17 +89,24 @@ class NotificationHandler:
                 F.col("bundle_fqid").alias("entity"), F.lit("not in the landing zone").alias("reason")
             )
             rejected = rejected.unionByName(quarantined).unionByName(absent)
-        # Written per batch number, so that a repeated batch overwrites its own rows.
-        rejected.write.mode("overwrite").json(f"{self.quarantine}/batch={batch_id}")
+        # Written per stream and batch, so that a repeated batch overwrites its own rows.
+        rejected.write.mode("overwrite").json(f"{self.quarantine}/stream={stream}/batch={batch_id}")
         if tables is not None or not removals.isEmpty():
-            self.store.apply(tables, removals, self.name, batch_id)
+            self.store.apply(tables, removals, source, batch_id)
 
 
 def start_notifications(
     notifications: DataFrame, handler: NotificationHandler, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
     """Start applying a stream of notifications; ``available_now`` stops when what is there has been applied."""
+    spark = handler.store.spark
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        # Batches are counted per checkpoint: a stream that starts afresh has another id and is not skipped.
+        stream = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        handler(batch, batch_id, stream)
+
     writer = notifications.writeStream.queryName(handler.name).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.foreachBatch(handler).start()
+    return writer.foreachBatch(apply).start()

@@ -157,12 +157,14 @@ def test_round_trip_of_notifications(spark, labels, tmp_path):
     deliver()
     assert bundle_counts(store) == {droplet: full[droplet]}
 
-    # A batch that comes again is skipped.
+    # A batch that comes again is skipped; the same number of another stream is not.
     version = store.current()
     batch = spark.createDataFrame([(droplet, files.DROPLET.split(".", 1)[1], "DELETE", 9)], "bundle_uuid string, bundle_version string, event_type string, seq long")
-    handler(batch, 3)
+    with open(tmp_path / "checkpoint" / "metadata") as file:
+        stream = json.load(file)["id"]
+    handler(batch, 3, stream)
     assert store.current() == version
-    handler(batch, 4)
+    handler(batch, 3, "another")
     assert bundle_counts(store) == {}
 
 
