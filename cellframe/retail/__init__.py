@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("requests", "matrix", "intake", "lifecycle")
+_MODULES = ("requests", "matrix", "intake", "lifecycle", "files")
 
 
 def load_queries() -> None:

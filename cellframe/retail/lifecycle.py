@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellframe.functions import text
 from cellframe.operators import keyed
@@ -84,6 +84,13 @@ def latest_event(spark: SparkSession, folder: str) -> DataFrame:
     return newest.withColumn("creation_date", text.format_timestamp(F.col("ts"))).drop("ts")
 
 
+def event_kind(event_type: Column) -> Column:
+    """Events as notification types; the others keep their name."""
+    names = {"signup": "CREATE", "purchase": "UPDATE", "click": "DELETE", "error": "TOMBSTONE"}
+    kinds = F.create_map(*(F.lit(word) for pair in names.items() for word in pair))
+    return F.coalesce(F.element_at(kinds, event_type), event_type)
+
+
 EVENT_TYPE_SQL = """case event_type when 'signup' then 'CREATE' when 'purchase' then 'UPDATE' when 'click' then 'DELETE'
   when 'error' then 'TOMBSTONE' else event_type end"""
 
@@ -94,11 +101,9 @@ EVENT_TYPE_SQL = """case event_type when 'signup' then 'CREATE' when 'purchase'
     else 'invalid' end as action from events"""
 )
 def route_events(spark: SparkSession, folder: str) -> DataFrame:
-    names = {"signup": "CREATE", "purchase": "UPDATE", "click": "DELETE", "error": "TOMBSTONE"}
-    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("event_type")), "event_type")
     return (
         read(spark, folder, "events")
-        .select("event_id", F.col("user_id").alias("bundle"), kind.alias("event_type"))
+        .select("event_id", F.col("user_id").alias("bundle"), event_kind(F.col("event_type")).alias("event_type"))
         .withColumn("action", action(F.col("event_type")))
     )
 
