@@ -1 +1 @@
-"""Part of cellframe."""
+"""DataFrame operators."""

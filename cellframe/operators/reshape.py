@@ -6,7 +6,9 @@ are ordinal frames made by :func:`ordinals`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cellframe.session import durable, together
 
@@ -32,16 +34,13 @@ def ordinals(frame: DataFrame, key: str) -> DataFrame:
         F.shiftright("place", _ROW_BITS).alias("block"),
         F.col("place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("row"),
     )
-    # One row per range partition: the window and the broadcast below are bounded by the partition count.
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        numbered.groupBy("block")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    )
-    return numbered.join(F.broadcast(offsets), "block").select(
-        key, (F.col("offset") + F.col("row") + 1).alias("ordinal")
-    )
+    # At most one count per range partition comes back to the driver. As a literal it leaves the frame's size
+    # estimate alone, so that a small axis is still broadcast by the joins that use it.
+    counts = {row["block"]: row["count"] for row in numbered.groupBy("block").count().collect()}
+    blocks = range(max(counts, default=0) + 1)
+    before = list(accumulate((counts.get(block, 0) for block in blocks), initial=0))
+    offset = F.get(F.lit(before), F.col("block").cast("int"))
+    return numbered.select(key, (offset + F.col("row") + 1).cast("long").alias("ordinal"))
 
 
 def axes(features: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:

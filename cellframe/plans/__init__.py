@@ -1 +1 @@
-"""Part of cellframe."""
+"""What is composed from them: requests, intake, store, request log."""

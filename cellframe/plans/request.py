@@ -18,6 +18,7 @@ from cellframe.functions.predicates import (
     with_species,
 )
 from cellframe.operators.star import Tables, inner_chain, left_chain
+from cellframe.session import durable
 
 
 class EmptyManifest(ValueError):
@@ -121,12 +122,14 @@ class MatrixRequest:
         """``(cellkey, featurekey, exprvalue)`` of the selected cells and feature kind.
 
         Unlike in ``cells()`` every dimension joins inner, so a cell that misses one has no values.
+
+        The keys of the selected cells are written first. Their size is then known when the join with the values
+        is planned: a small selection is broadcast and the values, by far the largest table, are not shuffled.
         """
         catalog = self.catalog
         dimensions = None if self.bundles is None else catalog.bundle_dimensions
-        selected = self._narrow(inner_chain(catalog, self.tables, dimensions)).select(
-            F.col(f"{catalog.root}.{catalog.root_key}").alias("cellkey")
-        )
+        chain = self._narrow(inner_chain(catalog, self.tables, dimensions))
+        selected = durable(chain.select(F.col(f"{catalog.root}.{catalog.root_key}").alias("cellkey")), "selected")
         kept = (
             self.tables[catalog.features]
             .alias(catalog.features)
@@ -214,6 +217,7 @@ def bundle_request(
     names = F.split_part(F.col(bundles.columns[0]).cast("string"), F.lit("."), F.lit(1))
     table, column = catalog.locate(catalog.bundle_column)
     wanted = bundles.select(names.cast(catalog.data_type(table, column)).alias("bundle_uuid")).distinct()
+    wanted = durable(wanted, "bundles")
     if check and wanted.isEmpty():
         raise EmptyManifest("no bundles in the request")
     requests = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,6 +42,13 @@ class MatrixExport:
     def of(cls, request, **options) -> MatrixExport:
         return cls(request.cells(), request.expression(), request.features(), **options)
 
+    def _at_once(self, *actions: Callable[[], object]) -> list:
+        return together(self.values.sparkSession, actions)
+
+    def _by_cell(self, rows: DataFrame) -> DataFrame:
+        """Rows per cell with the cell's ordinal; cells without a row stay only where empty cells are wanted."""
+        return self.cell_ordinals.join(rows, "cellkey", "left" if self.include_empty_cells else "inner")
+
     def _feature_rows(self) -> DataFrame:
         return self.features.join(self.feature_ordinals, "featurekey")
 
@@ -65,15 +73,17 @@ class MatrixExport:
             return self._write_empty(os.path.join(path, "expression.csv"))
         width = self.feature_ordinals.count()
         entries = cell_entries(self.values, self.feature_ordinals, self.on_duplicate)
-        rows = self.cell_ordinals.join(entries, "cellkey", "left" if self.include_empty_cells else "inner")
+        rows = self._by_cell(entries)
         # The title line names every feature, so it is as long as the format makes it.
         listed = F.array_sort(F.collect_list(F.struct("ordinal", F.col("featurekey").cast("string").alias("k"))))
         title = self.feature_ordinals.agg(
             F.concat_ws(",", F.lit("cellkey"), F.transform(listed, lambda e: e["k"])).alias("title")
         ).select(F.lit(0).alias("place"), "title")
-        write_lines(rows, os.path.join(path, "expression.csv"), ["ordinal"], dense_line(width), title)
-        self._write_features(os.path.join(path, "genes.csv"), ",", "none")
-        self._write_cells(os.path.join(path, "cells.csv"), ",", "none")
+        self._at_once(
+            lambda: write_lines(rows, os.path.join(path, "expression.csv"), ["ordinal"], dense_line(width), title),
+            lambda: self._write_features(os.path.join(path, "genes.csv"), ",", "none"),
+            lambda: self._write_cells(os.path.join(path, "cells.csv"), ",", "none"),
+        )
 
     def write_mtx(self, path: str) -> None:
         """``matrix.mtx.gz`` (features by cells) with ``features``, ``genes``, ``cells`` and ``barcodes`` tables."""
@@ -82,43 +92,53 @@ class MatrixExport:
         entries = durable(
             coordinates(self.values, self.feature_ordinals, self.cell_ordinals, self.on_duplicate), "coordinates"
         )
-        size = f"{self.feature_ordinals.count()} {self.cell_ordinals.count()} {entries.count()}"
+        sizes = self._at_once(self.feature_ordinals.count, self.cell_ordinals.count, entries.count)
+        header = one_line(entries, fixed.MTX_BANNER, " ".join(map(str, sizes)))
         line = F.concat_ws(" ", "row", "col", F.col("value").cast("string"))
-        header = one_line(entries, fixed.MTX_BANNER, size)
-        write_lines(entries, os.path.join(path, "matrix.mtx.gz"), ["col", "row"], line, header, "gzip")
         tenx = features_10x(self._feature_rows())
         columns = [c for c in tenx.columns if c != "ordinal"]
-        write_table(tenx, os.path.join(path, "features.tsv.gz"), columns, ["ordinal"], "\t", False, "gzip")
-        self._write_features(os.path.join(path, "genes.tsv.gz"), "\t", "gzip")
-        self._write_cells(os.path.join(path, "cells.tsv.gz"), "\t", "gzip")
-        write_table(
-            self._cell_rows(), os.path.join(path, "barcodes.tsv.gz"), ["barcode"], ["ordinal"], "\t", False, "gzip"
+        cells = self._cell_rows()
+        place = {name: os.path.join(path, f"{name}.gz") for name in ("matrix.mtx", "features.tsv", "genes.tsv", "cells.tsv", "barcodes.tsv")}
+        self._at_once(
+            lambda: write_lines(entries, place["matrix.mtx"], ["col", "row"], line, header, "gzip"),
+            lambda: write_table(tenx, place["features.tsv"], columns, ["ordinal"], "\t", False, "gzip"),
+            lambda: self._write_features(place["genes.tsv"], "\t", "gzip"),
+            lambda: self._write_cells(place["cells.tsv"], "\t", "gzip"),
+            lambda: write_table(cells, place["barcodes.tsv"], ["barcode"], ["ordinal"], "\t", False, "gzip"),
         )
 
     def write_loom_layout(self, path: str) -> None:
         """Parquet tables ``matrix`` (one sparse column per cell), ``col_attrs``, ``row_attrs`` and ``attrs``."""
         if self.is_empty:
             return self._write_empty(os.path.join(path, "matrix"))
-        matrix = sparse_rows(self.values, self.feature_ordinals, self.on_duplicate).join(
-            self.cell_ordinals, "cellkey"
+        sparse = sparse_rows(self.values, self.feature_ordinals, self.on_duplicate)
+        matrix = self._by_cell(sparse).select(
+            "ordinal",
+            F.coalesce("indices", F.array().cast("array<int>")).alias("indices"),
+            F.coalesce(F.col("values").cast("array<float>"), F.array().cast("array<float>")).alias("values"),
         )
-        matrix.select(
-            "ordinal", "indices", F.col("values").cast("array<float>").alias("values")
-        ).repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.parquet(os.path.join(path, "matrix"))
-        by_ordinal = self._cell_rows().withColumnRenamed("cellkey", "CellID").repartitionByRange("ordinal")
-        by_ordinal.sortWithinPartitions("ordinal").write.parquet(os.path.join(path, "col_attrs"))
+        columns = self._cell_rows().withColumnRenamed("cellkey", "CellID")
         rows = self._feature_rows()
         others = [c for c in rows.columns if c not in ("featurename", "ordinal")]
-        rows.select(
+        rows = rows.select(
             "ordinal", F.col("featurekey").alias("Accession"), F.col("featurename").alias("Gene"), *others
-        ).repartitionByRange("ordinal").sortWithinPartitions("ordinal").write.parquet(os.path.join(path, "row_attrs"))
-        now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), fixed.LOOM_TIMESTAMP)
-        shape = self.values.sparkSession.createDataFrame(
-            [(self.feature_ordinals.count(), self.cell_ordinals.count())], "rows long, columns long"
         )
-        shape.select(
+        now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), fixed.LOOM_TIMESTAMP)
+        shape = self._at_once(self.feature_ordinals.count, self.cell_ordinals.count)
+        attributes = matrix.sparkSession.createDataFrame([tuple(shape)], "rows long, columns long").select(
             now.alias("CreationDate"), F.lit(fixed.LOOM_SPEC_VERSION).alias("LOOM_SPEC_VERSION"), "rows", "columns"
-        ).write.parquet(os.path.join(path, "attrs"))
+        )
+
+        def in_order(frame: DataFrame, name: str) -> None:
+            ordered = frame.repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+            ordered.write.parquet(os.path.join(path, name))
+
+        self._at_once(
+            lambda: in_order(matrix, "matrix"),
+            lambda: in_order(columns, "col_attrs"),
+            lambda: in_order(rows, "row_attrs"),
+            lambda: attributes.write.parquet(os.path.join(path, "attrs")),
+        )
 
     def write(self, path: str, format_: str) -> None:
         """Write one of the served formats."""

@@ -1 +1 @@
-"""Part of cellframe."""
+"""Readers."""

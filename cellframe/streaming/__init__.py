@@ -1 +1 @@
-"""Part of cellframe."""
+"""Notification streams."""

@@ -4,6 +4,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellframe.catalog import CELL_CATALOG
 from cellframe.operators.metrics import matrix_metrics, metrics_agree
@@ -174,5 +175,8 @@ def test_csv_with_empty_cells(spark, tmp_path):
     features = spark.createDataFrame([("G1",), ("G2",), ("G3",)], "featurekey string")
     MatrixExport(cells, values, features, include_empty_cells=True).write_csv(f"{tmp_path}/all")
     assert joined(f"{tmp_path}/all/expression.csv").splitlines() == ["cellkey,G1,G2,G3", "a,0,0,0", "b,0,1.5,0", "c,0,0,0"]
+    MatrixExport(cells, values, features.withColumn("featurename", F.lit("n")), include_empty_cells=True).write_loom_layout(f"{tmp_path}/loom")
+    columns = {r["ordinal"]: (r["indices"], r["values"]) for r in spark.read.parquet(f"{tmp_path}/loom/matrix").collect()}
+    assert columns == {1: ([], []), 2: ([2], [1.5]), 3: ([], [])}
     MatrixExport(cells, values, features).write_csv(f"{tmp_path}/some")
     assert joined(f"{tmp_path}/some/expression.csv").splitlines() == ["cellkey,G1,G2,G3", "b,0,1.5,0"]

@@ -29,11 +29,14 @@ def test_ordinals_are_places_in_ascending_order(spark):
     assert reshape.ordinals(frame.limit(0), "key").count() == 0
 
 
-def test_ordinals_use_no_single_task_sort(spark):
-    frame = spark.range(10000).select(F.col("id").cast("string").alias("key"))
-    plan = reshape.ordinals(frame, "key")._jdf.queryExecution().optimizedPlan().toString()
-    # The only window runs over the counts of the partitions.
-    assert plan.count("Window [") == 1 and "row_number" not in plan
+def test_a_small_axis_is_broadcast_and_nothing_is_sorted_in_one_task(spark):
+    frame = spark.range(10000).select(F.col("id").cast("string").alias("featurekey"))
+    axis = reshape.ordinals(frame, "featurekey")
+    plan = axis._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    values = spark.range(1000).select(F.col("id").cast("string").alias("featurekey"))
+    joined = values.join(axis, "featurekey")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined and "Exchange hashpartitioning" not in joined
 
 
 def test_coordinates_against_brute_force(spark):
