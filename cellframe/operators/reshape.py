@@ -171,18 +171,24 @@ def dense_lines(
     return cell_entries(values, features, on_duplicate).select("cellkey", dense_line(width, separator).alias("line"))
 
 
-def dense_to_long(rows: DataFrame, axis: DataFrame, by: tuple[str, ...] = (), values: str = "values") -> DataFrame:
-    """Dense rows to one row per non-zero value.
+def nonzero_entries(values: Column) -> Column:
+    """The ``(position, exprvalue)`` pairs of a dense row that are not zero."""
+    pairs = F.transform(values, lambda v, i: F.struct(i.cast("int").alias("position"), v.alias("exprvalue")))
+    return F.filter(pairs, lambda e: e["exprvalue"] != 0)
+
+
+def entries_to_long(rows: DataFrame, axis: DataFrame, by: tuple[str, ...] = (), entries: str = "entries") -> DataFrame:
+    """One row per entry, with the feature ``axis`` names at its ``position``.
 
-    ``axis`` names the feature at each 0-based ``position``, per value of the ``by`` columns where every
-    source has an axis of its own. Zeros are dropped before the join.
+    ``axis`` is per value of the ``by`` columns where sources have axes of their own.
     """
-    kept = [c for c in rows.columns if c != values]
-    return (
-        rows.select(*kept, F.posexplode(values).alias("position", "exprvalue"))
-        .filter(F.col("exprvalue") != 0)
-        .join(axis, [*by, "position"])
-    )
+    kept = [c for c in rows.columns if c != entries]
+    return rows.select(*kept, F.inline(entries)).join(axis, [*by, "position"])
+
+
+def dense_to_long(rows: DataFrame, axis: DataFrame, by: tuple[str, ...] = (), values: str = "values") -> DataFrame:
+    """Dense rows to one row per non-zero value; zeros are dropped before anything else."""
+    return entries_to_long(rows.withColumn(values, nonzero_entries(F.col(values))), axis, by, values)
 
 
 def nonzero_count(values: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from cellframe import fixed
 from cellframe.functions.identifiers import assay, droplet_cell_key, strip_version
 from cellframe.operators.consensus import representative
-from cellframe.operators.reshape import dense_to_long, nonzero_count
+from cellframe.operators.reshape import entries_to_long, nonzero_entries
+from cellframe.session import durable
 from cellframe.sources.bundles import Landing, manifest_file
 
 
@@ -112,7 +113,9 @@ def droplet_tables(landing: Landing, keys: DataFrame) -> tuple[DataFrame, DataFr
     Ids that become equal without their version stay separate rows.
     """
     droplet = keys.filter("assay = 'droplet'")
-    kept, uncalled = split_droplets(landing.chunks, landing.calls)
+    # Dense rows are made sparse before the first join, so that no shuffle carries their zeros.
+    sparse = landing.chunks.select("bundle_fqid", "cell_id", nonzero_entries(F.col("values")).alias("entries"))
+    kept, uncalled = split_droplets(sparse, landing.calls)
     kept = kept.join(droplet, "bundle_fqid").withColumn(
         "cellkey", droplet_cell_key(F.col("bundle_fqid"), F.col("cell_id"))
     )
@@ -120,12 +123,16 @@ def droplet_tables(landing: Landing, keys: DataFrame) -> tuple[DataFrame, DataFr
         "cellkey",
         *_KEYS,
         F.col("cell_id").alias("barcode"),
-        nonzero_count(F.col("values")).alias("genes_detected"),
+        F.size("entries").alias("genes_detected"),
         F.col("total").alias("total_umis"),
         F.col("is_cell").alias("emptydrops_is_cell"),
     ).distinct()
-    axis = landing.axis.select("bundle_fqid", F.posexplode("gene_ids").alias("position", "gene_id"))
-    values = dense_to_long(kept.select("bundle_fqid", "cellkey", "values"), axis, ("bundle_fqid",)).select(
+    # Bundles of one genome share an axis: it is kept once, small enough to broadcast, whatever their number.
+    owners = landing.axis.select("bundle_fqid", F.md5(F.array_join("gene_ids", "\n")).alias("axis_id"), "gene_ids")
+    axis = owners.groupBy("axis_id").agg(F.first("gene_ids").alias("gene_ids"))
+    axis = durable(axis.select("axis_id", F.posexplode("gene_ids").alias("position", "gene_id")), "axis")
+    placed = kept.select("bundle_fqid", "cellkey", "entries").join(owners.select("bundle_fqid", "axis_id"), "bundle_fqid")
+    values = entries_to_long(placed.drop("bundle_fqid"), axis, ("axis_id",)).select(
         "cellkey",
         strip_version(F.col("gene_id")).alias("featurekey"),
         F.lit(fixed.COUNT).alias("exprtype"),

@@ -8,6 +8,7 @@ from cellframe.fixed import SCHEMA_VERSIONS
 from cellframe.operators.keyed import concat
 from cellframe.plans import counts, metadata
 from cellframe.schemas import WAREHOUSE
+from cellframe.session import durable
 from cellframe.sources.bundles import CORRUPT, Landing
 
 def corrupt_documents(landing: Landing) -> DataFrame:
@@ -38,7 +39,7 @@ def conform(frame: DataFrame, table: str) -> DataFrame:
 
 def count_tables(landing: Landing) -> tuple[dict[str, DataFrame], DataFrame]:
     """``cell`` and ``expression`` of every bundle of a supported assay."""
-    keys = counts.bundle_keys(landing)
+    keys = durable(counts.bundle_keys(landing), "bundle-keys")
     sound = counts.complete(keys)
     plate_cells, plate_values = counts.plate_tables(landing, sound)
     droplet_cells, droplet_values, lost = counts.droplet_tables(landing, sound)
@@ -51,7 +52,8 @@ def count_tables(landing: Landing) -> tuple[dict[str, DataFrame], DataFrame]:
 def ingest_bundles(landing: Landing, labels: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """All tables except ``feature``, and a quarantine frame ``(entity, reason)``.
 
-    Nothing fails because of one bad bundle: what cannot be transformed is listed instead.
+    Nothing fails because of one bad bundle: what cannot be transformed is listed instead. The small per-bundle
+    facts are written on the way, so that the tables do not parse the documents again and again.
     """
     unreadable = corrupt_documents(landing)
     landing = readable(landing)

@@ -11,6 +11,7 @@ from cellframe.functions import ontology, text
 from cellframe.functions.identifiers import bundle_uuid, bundle_version, disposition
 from cellframe.operators.consensus import consensus, representative, single_or_blank
 from cellframe.operators.keyed import concat
+from cellframe.session import durable, together
 
 def _terms(path: str) -> Column:
     """Ontology terms of a list attribute, empty list when absent."""
@@ -210,10 +211,17 @@ def specimen_tables(
 
     A bundle counts when it has a donor; it is set aside when one of the other kinds is missing or unreadable.
     """
-    donors = donor_facts(documents["donor_organism"])
-    specimens = specimen_facts(documents["specimen_from_organism"])
-    suspensions = suspension_facts(documents["cell_suspension"])
-    libraries = library_facts(documents["library_preparation_protocol"])
+    facts = {
+        "donor": donor_facts(documents["donor_organism"]),
+        "specimen": specimen_facts(documents["specimen_from_organism"]),
+        "suspension": suspension_facts(documents["cell_suspension"]),
+        "library": library_facts(documents["library_preparation_protocol"]),
+        "organ": derived_organs(documents["organoid"], documents["cell_line"]),
+    }
+    # One row per bundle each: parsed once, read several times.
+    donors, specimens, suspensions, libraries, organs = together(
+        labels.sparkSession, [lambda n=name, f=frame: durable(f, f"{n}-facts") for name, frame in facts.items()]
+    )
     bundles = (
         donors.select("bundle_fqid", "donorkey")
         .join(specimens.select("bundle_fqid", "specimenkey"), "bundle_fqid", "left")
@@ -235,7 +243,6 @@ def specimen_tables(
     specimen = (
         specimens.drop("specimenkey").join(kept, "bundle_fqid").drop("bundle_fqid").distinct()
     )
-    organs = derived_organs(documents["organoid"], documents["cell_line"])
     suspension = (
         suspensions.join(kept.select("bundle_fqid", "specimenkey"), "bundle_fqid")
         .join(specimens.select("bundle_fqid", "organ_ontology", "organ_parts"), "bundle_fqid")
