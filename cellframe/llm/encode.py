@@ -26,7 +26,7 @@ class Encoder:
     So a text is cut there, and the ids of a piece are kept in a memo of bounded size for the next time. Other tokenizers, and texts with the string of an added token, are encoded whole.
     """
 
-    def __init__(self, path: str, memo_entries: int = 500_000) -> None:
+    def __init__(self, path: str, memo_entries: int = 300_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from cellframe.session import scratch_dir
 
@@ -67,3 +70,35 @@ def running_total(totals: DataFrame, by: Sequence[str], order: str, value: str,
 
 def _upto() -> tuple[int, int]:
     return Window.unboundedPreceding, -1
+
+
+def annotated(
+    docs: DataFrame,
+    text: str,
+    columns: str,
+    describe: Callable[[list[str | None]], Mapping[str, Sequence]],
+    keep: Sequence[str] | None = None,
+    only: str | None = None,
+    rows_at_once: int = 512,
+) -> DataFrame:
+    """``docs`` with ``columns`` (DDL) that ``describe`` makes from a list of texts, in one pass and without a shuffle.
+
+    ``keep`` names the columns of ``docs`` to hand on, all by default; those with a name among ``columns`` are
+    replaced. With ``only``, rows go whose value in that boolean column is false.
+    """
+    made = StructType.fromDDL(columns)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in made.names]
+    rows = docs.select(*kept, F.col(text).alias("text!"))
+    schema = StructType([*(rows.schema[c] for c in kept), *made.fields])
+    types = [to_arrow_type(f.dataType) for f in made.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(start, rows_at_once)
+                found = describe(batch.column(len(kept)).to_pylist())
+                arrays = [*batch.columns[: len(kept)], *(pa.array(found[n], t) for n, t in zip(made.names, types))]
+                out = pa.RecordBatch.from_arrays(arrays, names=[*kept, *made.names])
+                yield out.filter(out.column(out.schema.get_field_index(only))) if only else out
+
+    return rows.mapInArrow(run, schema)
