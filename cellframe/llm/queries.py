@@ -6,7 +6,7 @@ import importlib
 
 from cellframe.llm.registry import QUERIES, SQL, Query
 
-_MODULES = ("token_files", "mixing", "langid", "quality", "sharding")
+_MODULES = ("token_files", "mixing", "langid", "quality", "simhash", "sharding", "warc")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
