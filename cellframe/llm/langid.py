@@ -124,22 +124,28 @@ def fit_profiles(
 
 
 def with_language(
-    docs: DataFrame, profiles: Profiles, text: str = "text", keep: Sequence[str] | None = None, reject_below: float | None = None
+    docs: DataFrame,
+    profiles: Profiles,
+    text: str = "text",
+    keep: Sequence[str] | None = None,
+    reject_below: float | None = None,
+    prefix: str = "",
 ) -> DataFrame:
     """``docs`` with ``lang_pred`` (a language of the profiles, or ``und`` for a null text or one without letters) and
     ``score`` (0 to 1, 1 for equal profiles, 0 for ``und``).
 
     Only the text is looked at, so repeated rows agree. With ``reject_below``, rows of ``und`` and rows with a smaller
-    score go. Columns of ``docs`` with the names of the results are replaced, the others handed on (or those in ``keep``).
+    score go. Columns of ``docs`` with the names of the results, before which ``prefix`` is put, are replaced, the
+    others handed on (or those in ``keep``).
     """
 
     def describe(texts: list[str | None]) -> dict[str, Sequence]:
         found = [profiles.nearest(t) for t in texts]
         good = [name != UNKNOWN and (reject_below is None or score >= reject_below) for name, score in found]
-        return {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found], "known": good}
+        return {f"{prefix}lang_pred": [f[0] for f in found], f"{prefix}score": [f[1] for f in found], "known!": good}
 
-    ddl = "lang_pred string, score double, known boolean"
-    return annotated(docs, text, ddl, describe, keep, only=None if reject_below is None else "known").drop("known")
+    ddl = f"`{prefix}lang_pred` string, `{prefix}score` double, `known!` boolean"
+    return annotated(docs, text, ddl, describe, keep, only=None if reject_below is None else "known!").drop("known!")
 
 
 def held_out(id: Column, folds: int = 5) -> Column:

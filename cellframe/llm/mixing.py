@@ -78,23 +78,27 @@ def mix(
     seed: int = 0,
     block_words: int = 16,
     shard_words: int = 1 << 20,
+    prefix: str = "",
 ) -> DataFrame:
     """``rows`` with ``source_size``, ``target``, ``copies`` (whole times taken), ``part`` (words taken once more, from
     the document's start) and ``taken`` (words in all).
 
     ``size`` is a column of whole numbers; null counts as 0. A null source is a source of its own, null ids share one
     place in the seeded order, and repeated rows are taken one after the other. Rows of size 0 are never taken. Columns
-    of ``rows`` with the names of the results are replaced, all others are kept; an empty table gives an empty one.
+    of ``rows`` with the names of the results, before which ``prefix`` is put, are replaced, all others are kept; an
+    empty table gives an empty one.
     """
-    rows = rows.drop("source_size", "target", "copies", "part", "taken")
-    kept = rows.columns
+    results = ("source_size", "target", "copies", "part", "taken")
+    rows = rows.drop(*(prefix + name for name in results))
+    kept = [F.col(f"`{c}`") for c in rows.columns]
     words = F.coalesce(F.col(size), F.lit(0)).cast("long")
     sizes = rows.groupBy(source).agg(F.sum(words).alias("source_size"))
     sources = source_targets(sizes, source, weights, share).withColumn("blocks!", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
     sources = sources.withColumn("cap!", F.ceil(F.col("source_size") * _MAX_REPEATS / block_words))
     quotas = apportion(sources, [], "src!", "target", "blocks!", "cap!", "quota!")
     quotas = quotas.select(
-        F.col(source).alias("source!"), "src!", "source_size", "target", F.col("quota!").alias("source_quota!"),
+        F.col(source).alias("source!"), "src!", F.col("source_size").alias("source_size!"), F.col("target").alias("target!"),
+        F.col("quota!").alias("source_quota!"),
         F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("shards!"),
     )
     quotas = durable(quotas, "source-quotas")
@@ -114,18 +118,17 @@ def mix(
     started = placed.withColumn("start!", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(shards, ["src!", "shard!"])
     part = F.least(F.greatest(F.col("rest!") - F.col("start!"), F.lit(0)), words)
     copies = F.when(words > 0, F.col("copies!")).otherwise(0)
-    return started.select(
-        *kept, "source_size", "target", copies.alias("copies"), part.alias("part"), (copies * words + part).alias("taken")
-    )
+    found = (F.col("source_size!"), F.col("target!"), copies, part, copies * words + part)
+    return started.select(*kept, *(c.alias(prefix + name) for c, name in zip(found, results)))
 
 
-def mixed_documents(mixed: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
+def mixed_documents(mixed: DataFrame, text: str = "text", size: str = "size", prefix: str = "") -> DataFrame:
     """A row for each time that a document of :func:`mix` is taken, its text cut after the last word taken."""
-    prefix = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("part").cast("int")), "")
-    whole = F.array_repeat(F.col(text), F.col("copies").cast("int"))
-    cut = F.when(F.col("part") <= 0, F.array().cast("array<string>")).when(F.col("part") >= F.col(size), F.array(F.col(text))).otherwise(F.array(prefix))
-    texts = mixed.withColumn("texts!", F.concat(whole, cut))
-    return texts.withColumn(text, F.explode("texts!")).drop("texts!")
+    copies, part = F.col(prefix + "copies").cast("int"), F.col(prefix + "part")
+    begun = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    none = F.array().cast("array<string>")
+    last = F.when(part <= 0, none).when(part >= F.col(size), F.array(text)).otherwise(F.array(F.array_join(F.slice(begun, 1, part.cast("int")), "")))
+    return mixed.withColumn(text, F.explode(F.concat(F.array_repeat(F.col(text), copies), last)))
 
 
 _TARGETS_SQL = """with sized as (

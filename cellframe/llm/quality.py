@@ -204,13 +204,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
 
 
 def with_quality(
-    docs: DataFrame, trees: Trees, text: str = "text", threshold: float = 0.5, keep: Sequence[str] | None = None, only_kept: bool = False
+    docs: DataFrame,
+    trees: Trees,
+    text: str = "text",
+    threshold: float = 0.5,
+    keep: Sequence[str] | None = None,
+    only_kept: bool = False,
+    prefix: str = "",
 ) -> DataFrame:
     """``docs`` with ``STATISTICS``, ``score``, ``base_failed`` (fewer than 50 words, or over half of them in repeated
     windows of three) and ``kept``: not failed, and a score of at least ``threshold``.
 
     Null and empty texts fail. Rows are judged one by one, so repeated rows agree; other columns are handed on (those
-    named in ``keep``, or all), and columns of ``docs`` with the names of the results are replaced.
+    named in ``keep``, or all), and columns of ``docs`` with the names of the results, before which ``prefix`` is put,
+    are replaced.
     """
 
     def describe(texts: list[str | None]) -> dict[str, Sequence]:
@@ -219,10 +226,12 @@ def with_quality(
         score = trees.scores(np.array([f[1] for f in found]).reshape(-1, len(FEATURES)))
         failed = (counted[:, 0] < 50) | (100 * counted[:, 4] > 50 * counted[:, 0])
         columns = dict(zip(STATISTICS, counted.T))
-        return {**columns, "score": score, "base_failed": failed, "kept": ~failed & (score >= threshold)}
+        columns |= {"score": score, "base_failed": failed, "kept": ~failed & (score >= threshold)}
+        return {prefix + name: column for name, column in columns.items()}
 
-    ddl = ", ".join(f"{s} long" for s in STATISTICS) + ", score double, base_failed boolean, kept boolean"
-    return annotated(docs, text, ddl, describe, keep, only="kept" if only_kept else None)
+    kinds = dict.fromkeys(STATISTICS, "long") | {"score": "double", "base_failed": "boolean", "kept": "boolean"}
+    ddl = ", ".join(f"`{prefix}{name}` {kind}" for name, kind in kinds.items())
+    return annotated(docs, text, ddl, describe, keep, only=f"{prefix}kept" if only_kept else None)
 
 
 @query("op7_quality_trees")
