@@ -22,6 +22,8 @@ from cellframe.session import durable
 
 UNKNOWN = "und"
 _LETTER_BITS = np.uint64(21)
+#: A word's end in the codes; no letter has this code point.
+_END = np.uint64(1)
 
 
 @functools.cache
@@ -37,14 +39,14 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     holds up to three code points of 21 bits.
     """
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    points = np.where(_letters()[points.astype(np.int64)], points, np.uint64(0))
-    points = np.concatenate([np.zeros(1, np.uint64), points, np.zeros(1, np.uint64)])
-    points = points[np.concatenate([[True], (points[1:] != 0) | (points[:-1] != 0)])]
+    points = np.where(_letters()[points.astype(np.int64)], points, _END)
+    points = np.concatenate([[_END], points, [_END]])
+    points = points[np.concatenate([[True], (points[1:] != _END) | (points[:-1] != _END)])]
     if len(points) < 3:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     pairs = points[:-1] << _LETTER_BITS | points[1:]
     triples = pairs[:-1] << _LETTER_BITS | points[2:]
-    codes = np.concatenate([points[points != 0], pairs, triples[points[1:-1] != 0]])
+    codes = np.concatenate([points[points != _END], pairs, triples[points[1:-1] != _END]])
     codes.sort()
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     return codes[first], np.diff(np.concatenate([first, [len(codes)]]))

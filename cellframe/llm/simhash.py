@@ -70,7 +70,12 @@ def _ball(bits: int, radius: int) -> list[int]:
 
 
 def _part(fp: Column, low: int, bits: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1))
+    shifted = F.shiftrightunsigned(fp, low)
+    return shifted if bits == 64 else shifted.bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def links(fingerprints: DataFrame, radius: int = 4, segments: int | None = None) -> DataFrame:
@@ -88,7 +93,7 @@ def links(fingerprints: DataFrame, radius: int = 4, segments: int | None = None)
     for k, (low, bits, reach) in enumerate(parts):
         part = _part(fp, low, bits)
         entries.append(F.struct(F.lit(k).alias("k"), part.alias("key")))
-        probes.extend(F.struct(F.lit(k).alias("k"), part.bitwiseXOR(F.lit(m)).alias("key")) for m in _ball(bits, reach))
+        probes.extend(F.struct(F.lit(k).alias("k"), part.bitwiseXOR(F.lit(_signed(m))).alias("key")) for m in _ball(bits, reach))
         near = F.bit_count(_part(apart, low, bits)) <= reach
         earlier = F.lit(False)
         for low2, bits2, reach2 in parts[:k]:
