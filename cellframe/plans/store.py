@@ -1,8 +1,10 @@
 """Versioned warehouse tables on Parquet.
 
-A table's rows are spread over buckets of its upsert key. A new version rewrites only the buckets it touches and
-lists where every bucket of every table lies; readers first resolve the current version, so they always see
-tables that belong together. One writer at a time is assumed.
+Cells lie in buckets of the analysis that owns them, and values in the bucket of their cell, parted by kind of value;
+the other tables have one bucket. So a bundle's cells and values lie together: a new version rewrites only the buckets
+of the bundles that it changes, and a reader of some bundles reads theirs. The number of buckets is written with the
+first version and read from there. A version lists where every bucket of every table lies; readers first resolve the
+current version, so they always see tables that belong together. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -25,9 +27,17 @@ _LISTING = table("table!", "bucket int!", "written int!")
 _POINTER = table("seq long!", "version int!", "source", "batch long")
 _VERSIONS = table("version int!", "creation_date", "schema_versions")
 _PROJECTS = table("version int!", "projectkey", "cells long")
+_LAYOUT = table("buckets int!")
 
-# Columns behind the upsert key by which a bucket's files are split and sorted.
-_ORDER = {"expression": ["exprtype", "featurekey"]}
+# Columns by which a bucket is parted into folders, and those behind the upsert key by which its files are sorted.
+_FOLDERS = {"expression": ["exprtype"]}
+_ORDER = {"expression": ["featurekey"]}
+# The bucket of values whose cell isn't there.
+_NO_OWNER = -1
+
+
+class ContradictingLayout(ValueError):
+    """The store is laid out in another way than asked for."""
 
 
 class UnknownVersion(ValueError):
@@ -42,12 +52,23 @@ def cascade(analysis: DataFrame, cell: DataFrame, bundles: DataFrame) -> tuple[D
 
 
 class Store:
-    """Warehouse tables under ``root``; ``buckets`` is the number of buckets of the two tables that grow."""
+    """Warehouse tables under ``root``.
+
+    ``buckets`` is the number of buckets of the two tables that grow, 64 unless the store has another already; a number
+    that contradicts the stored one is refused.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
         self.spark = spark
         self.root = root
-        self.buckets = {name: buckets if name in ("cell", "expression") else 1 for name in WAREHOUSE}
+        self._asked = buckets
+
+    @property
+    def buckets(self) -> int:
+        stored = self._log("layout", _LAYOUT).agg(F.max("buckets")).first()[0]
+        if stored is not None and self._asked not in (None, stored):
+            raise ContradictingLayout(f"the store has {stored} buckets, not {self._asked}")
+        return stored or self._asked or 64
 
     # -- reading
 
@@ -67,18 +88,18 @@ class Store:
     def read(self, name: str, version: int | None = None, buckets: Collection[int] | None = None) -> DataFrame:
         """A table at a version, or only some of its buckets."""
         version = self.current() if version is None else version
-        paths = [
-            self._bucket_path(name, row["written"], row["bucket"])
-            for row in self._listing(version).filter(F.col("table") == name).collect()
-            if buckets is None or row["bucket"] in buckets
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], WAREHOUSE[name])
-        return self.spark.read.schema(WAREHOUSE[name]).parquet(*paths)
+        return self._listed(name, self._places(version), buckets)
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
         version = self.current() if version is None else version
-        return {name: self.read(name, version) for name in WAREHOUSE}
+        places = self._places(version)
+        return {name: self._listed(name, places) for name in WAREHOUSE}
+
+    def tables_of(self, cells: DataFrame, version: int | None = None) -> dict[str, DataFrame]:
+        """The tables, but of cells and values only the buckets in which ``cells`` (``analysiskey``) lie."""
+        places = self._places(self.current() if version is None else version)
+        lie = {row["b"] for row in cells.select(self._owner_bucket(self.buckets).alias("b")).distinct().collect()}
+        return {name: self._listed(name, places, lie if name in ("cell", "expression") else None) for name in WAREHOUSE}
 
     # -- writing
 
@@ -88,12 +109,16 @@ class Store:
 
     def reload(self, tables: Mapping[str, DataFrame]) -> int:
         """Publish exactly these tables; tables not given are empty."""
-        version = self._next()
-        written = together(
-            self.spark,
-            [lambda n=name: [(n, b, version) for b in self._write(n, tables[n], version)] for name in WAREHOUSE if name in tables],
-        )
-        return self._publish(version, sum(written, []), count_cells=True)
+        version, buckets = self._next(), self.buckets
+        given = [name for name in WAREHOUSE if name in tables and name != "expression"]
+
+        def load(name: str, owners: DataFrame | None = None) -> list[tuple[str, int, int]]:
+            return [(name, b, version) for b in self._write(name, tables[name], version, buckets, owners)]
+
+        places = sum(together(self.spark, [lambda n=name: load(n) for name in given]), [])
+        if "expression" in tables:
+            places += load("expression", self._owners(places, buckets))
+        return self._publish(version, places, count_cells=True)
 
     def upsert(self, tables: Mapping[str, DataFrame]) -> int:
         """Replace rows by key in every given table except ``feature``."""
@@ -111,27 +136,54 @@ class Store:
         batch: int | None = None,
     ) -> int:
         """Remove, then upsert, and publish both as one version."""
-        base, version = self.current(), self._next()
+        base, version, buckets = self.current(), self._next(), self.buckets
         doomed = self._doomed(base, removals) if removals is not None else {}
-        staged = {name: frame for name, frame in (tables or {}).items() if name != "feature"}
-
-        def change(name: str) -> tuple[set[int], list[int]]:
-            return self._rewrite(name, base, version, doomed.get(name), staged.get(name))
-
-        names = [name for name in WAREHOUSE if name in doomed or name in staged]
-        changes = dict(zip(names, together(self.spark, [lambda n=name: change(n) for name in names])))
-        kept = [
-            (row["table"], row["bucket"], row["written"])
-            for row in self._listing(base).collect()
-            if row["bucket"] not in changes.get(row["table"], (set(), []))[0]
-        ]
-        written = [(name, bucket, version) for name, (_, buckets) in changes.items() for bucket in buckets]
-        return self._publish(version, kept + written, source, batch)
+        staged = {name: durable(frame, f"staged-{name}") for name, frame in (tables or {}).items() if name != "feature"}
+        places = self._places(base)
+        cells = self._listed("cell", places)
+        owners = self._owners(places, buckets)
+
+        def changed(name: str, touched: set[int], owners: DataFrame | None = None) -> None:
+            """Rewrite the touched buckets of a table and list them in place of the old ones."""
+            nonlocal places
+            if not touched:
+                return
+            rows = self._listed(name, places, touched)
+            if name in doomed:
+                rows = self._without(name, rows, doomed[name])
+            if name in staged:
+                rows = upsert(rows, staged[name], fixed.UPSERT_KEYS[name])
+            written = self._write(name, rows, version, buckets, owners)
+            places = [p for p in places if p[0] != name or p[1] not in touched] + [(name, b, version) for b in written]
+
+        for name in WAREHOUSE:
+            if name not in ("cell", "expression") and (name in doomed or name in staged):
+                changed(name, {0})
+        own, moved = self._owner_bucket(buckets).alias("b"), set()
+        if "cell" in staged:
+            before = cells.join(staged["cell"].select("cellkey"), "cellkey", "left_semi").select("cellkey", own)
+            after = staged["cell"].select("cellkey", self._owner_bucket(buckets).alias("now"))
+            moves = after.join(before, "cellkey").filter("b <> now").select(F.explode(F.array("b", "now")).alias("b"))
+            moved = self._buckets_in(moves)
+            new = self._buckets_in(before.select("b"), after.select(F.col("now").alias("b")))
+            changed("cell", new | (self._buckets_in(doomed["cell"].select(own)) if "cell" in doomed else set()))
+            moved |= {_NO_OWNER} & {b for t, b, _ in places if t == "expression"}
+        elif "cell" in doomed:
+            changed("cell", self._buckets_in(doomed["cell"].select(own)))
+        touched = set(moved)
+        if "expression" in doomed:
+            touched |= self._buckets_in(doomed["expression"].select(own))
+        now = self._owners(places, buckets)
+        if "expression" in staged:
+            keys = staged["expression"].select("cellkey").distinct()
+            lie = F.coalesce("b", F.lit(_NO_OWNER)).alias("b")
+            touched |= self._buckets_in(*(keys.join(o, "cellkey", "left").select(lie) for o in (owners, now)))
+        changed("expression", touched, now)
+        return self._publish(version, places, source, batch)
 
     def bump(self) -> int:
         """Publish the current tables again under the next version."""
-        rows = [tuple(row) for row in self._listing(self.current()).collect()]
-        return self._publish(self._next(), rows, count_cells=True)
+        return self._publish(self._next(), self._places(self.current()), count_cells=True)
 
     def set_version(self, version: int) -> None:
         """Let readers see an earlier version."""
@@ -156,54 +208,53 @@ class Store:
         cells = durable(cells.select("cellkey", "analysiskey"), "doomed-cell")
         return {"expression": cells, "cell": cells, "analysis": analyses}
 
-    def _rewrite(
-        self, name: str, base: int, version: int, gone: DataFrame | None, new: DataFrame | None
-    ) -> tuple[set[int], list[int]]:
-        """Apply removals and new rows to a table; returns the touched buckets and those that still have rows."""
-        key = fixed.UPSERT_KEYS[name]
-        if new is not None:
-            new = durable(new, f"staged-{name}")
-        changes = [f.select(self._bucket(name, key).alias("b")) for f in (gone, new) if f is not None]
-        # At most as many rows as the table has buckets.
-        touched = {row["b"] for row in concat(*changes).distinct().collect()}
-        if not touched:
-            return touched, []
-        rows = self.read(name, base, touched)
-        if gone is not None:
-            rows = self._without(name, rows, gone)
-        if new is not None:
-            rows = upsert(rows, new, key)
-        return touched, self._write(name, rows, version)
-
     def _without(self, name: str, rows: DataFrame, gone: DataFrame) -> DataFrame:
         # A cell goes with its analysis, an analysis with its bundle, a value with its cell.
         key = {"expression": "cellkey", "cell": "analysiskey", "analysis": "bundle_fqid"}[name]
         return remove(rows, gone, key)
 
-    def _bucket(self, name: str, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets[name])).cast("int")
+    @staticmethod
+    def _owner_bucket(buckets: int) -> Column:
+        return F.pmod(F.xxhash64("analysiskey"), F.lit(buckets)).cast("int")
+
+    def _owners(self, places: list[tuple[str, int, int]], buckets: int) -> DataFrame:
+        """``(cellkey, b)``: the bucket of every cell, and so of its values."""
+        return self._listed("cell", places).select("cellkey", self._owner_bucket(buckets).alias("b"))
+
+    @staticmethod
+    def _buckets_in(*frames: DataFrame) -> set[int]:
+        # At most as many rows as there are buckets.
+        return {row["b"] for row in concat(*frames).distinct().collect()}
+
+    def _places(self, version: int) -> list[tuple[str, int, int]]:
+        """``(table, bucket, version that wrote it)`` of everything that belongs to a version."""
+        return [(row["table"], row["bucket"], row["written"]) for row in self._listing(version).collect()]
+
+    def _listed(self, name: str, places: list[tuple[str, int, int]], buckets: Collection[int] | None = None) -> DataFrame:
+        paths = [self._bucket_path(name, v, b) for t, b, v in places if t == name and (buckets is None or b in buckets)]
+        if not paths:
+            return self.spark.createDataFrame([], WAREHOUSE[name])
+        reader = self.spark.read.schema(WAREHOUSE[name]).option("basePath", os.path.join(self.root, "tables", name))
+        return reader.parquet(*paths).select(*WAREHOUSE[name].names)
 
     def _bucket_path(self, name: str, version: int, bucket: int) -> str:
         return os.path.join(self.root, "tables", name, f"v={version}", f"bucket={bucket}")
 
-    def _write(self, name: str, rows: DataFrame, version: int) -> list[int]:
-        """Write rows and return the buckets that got any.
+    def _write(self, name: str, rows: DataFrame, version: int, buckets: int, owners: DataFrame | None = None) -> list[int]:
+        """Write rows and return the buckets that got any; values go to the bucket that ``owners`` give their cell.
 
         Files are cut by ranges of bucket and key, so a large bucket is spread over several tasks.
         """
         path = os.path.join(self.root, "tables", name, f"v={version}")
-        key = fixed.UPSERT_KEYS[name]
-        order = ["bucket", key, *_ORDER.get(name, [])]
-        (
-            rows.withColumn("bucket", self._bucket(name, key))
-            .repartitionByRange(*order)
-            .sortWithinPartitions(*order)
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(path)
-        )
+        if owners is not None:
+            placed = rows.join(owners.withColumnRenamed("b", "bucket"), "cellkey", "left").fillna(_NO_OWNER, ["bucket"])
+        else:
+            placed = rows.withColumn("bucket", self._owner_bucket(buckets) if name == "cell" else F.lit(0))
+        folders = ["bucket", *_FOLDERS.get(name, [])]
+        order = [*folders, fixed.UPSERT_KEYS[name], *_ORDER.get(name, [])]
+        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*folders).parquet(path)
         stored = self.spark.read.schema(table("bucket int")).parquet(path)
-        return [row["bucket"] for row in stored.distinct().collect() if row["bucket"] is not None]
+        return [row["bucket"] for row in stored.select("bucket").distinct().collect() if row["bucket"] is not None]
 
     def _next(self) -> int:
         return (self.data_versions().agg(F.max("version")).first()[0] or 0) + 1
@@ -221,6 +272,8 @@ class Store:
         batch: int | None = None,
         count_cells: bool = False,
     ) -> int:
+        if self._log("layout", _LAYOUT).isEmpty():
+            self._append("layout", self.spark.createDataFrame([(self.buckets,)], _LAYOUT))
         listing = self.spark.createDataFrame(rows, _LISTING)
         listing.write.mode("overwrite").parquet(os.path.join(self.root, "snapshots", f"v={version}"))
         if count_cells:
@@ -246,5 +299,7 @@ class Store:
     def _log(self, log: str, schema) -> DataFrame:
         try:
             return self.spark.read.schema(schema).json(os.path.join(self.root, log))
-        except AnalysisException:  # nothing written yet
-            return self.spark.createDataFrame([], schema)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing written yet
