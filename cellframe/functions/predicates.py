@@ -47,7 +47,7 @@ def to_column(filter_: Mapping[str, Any], catalog: StarCatalog) -> Column:
         if op == "not":
             return ~children[0]
         return reduce(operator.and_ if op == "and" else operator.or_, children)
-    raise MalformedFilter(f"Invalid op: {op}")
+    raise MalformedFilter(f"{op!r} is neither a comparison ({', '.join(fixed.COMPARISONS)}) nor one of {', '.join(fixed.LOGICALS)}")
 
 
 def fields_of(filter_: Mapping[str, Any]) -> set[str]:
@@ -63,14 +63,6 @@ def mentions_species(filter_: Mapping[str, Any], catalog: StarCatalog) -> bool:
     return not fields_of(filter_).isdisjoint(catalog.species_fields)
 
 
-def with_species(filter_: Mapping[str, Any], species: str, catalog: StarCatalog) -> dict[str, Any]:
-    """The filter narrowed to one species."""
-    return {
-        "op": "and",
-        "value": [{"op": "=", "field": catalog.species_field, "value": species}, filter_],
-    }
-
-
 def feature_kind(feature: str, catalog: StarCatalog) -> Column:
     """Genes or transcripts of the feature table."""
     flag = F.col(f"{catalog.features}.{catalog.gene_flag}")
@@ -78,12 +70,12 @@ def feature_kind(feature: str, catalog: StarCatalog) -> Column:
         return flag
     if feature == "transcript":
         return ~flag
-    raise MalformedFeature(f"Unknown feature type {feature}")
+    raise MalformedFeature(f"{feature!r} is not served; ask for 'gene' or 'transcript'")
 
 
 def _part(filter_: Mapping[str, Any], name: str) -> Any:
     if not isinstance(filter_, Mapping) or name not in filter_:
-        raise MalformedFilter(f"Could not retrieve filter {name}")
+        raise MalformedFilter(f"each node of a filter needs {name!r}, and {filter_!r} has none")
     return filter_[name]
 
 
@@ -91,21 +83,21 @@ def _children(op: str, value: Any) -> list[Mapping[str, Any]]:
     if op == "not" and isinstance(value, Mapping):
         return [value]
     if not isinstance(value, (list, tuple)):
-        raise MalformedFilter("Logical operators accept a value array")
+        raise MalformedFilter(f"{op!r} combines a list of filters, not {value!r}")
     if op == "not" and len(value) != 1:
-        raise MalformedFilter("not operator accepts an array of length 1")
+        raise MalformedFilter(f"'not' turns around exactly one filter, here there are {len(value)}")
     if op != "not" and len(value) < 2:
-        raise MalformedFilter("(and, or) operators accept an array of length at least 2")
+        raise MalformedFilter(f"{op!r} needs two filters or more to combine, here it has {len(value)}")
     return list(value)
 
 
 def _comparison(op: str, name: str, value: Any, catalog: StarCatalog) -> Column:
     if op == "in" and not isinstance(value, (list, tuple)):
-        raise MalformedFilter("The 'in' operator requires an array value")
+        raise MalformedFilter(f"'in' on {name} looks through a list of values, not {value!r}")
     try:
         table, name = catalog.locate(name)
     except UnknownField as unknown:
-        raise MalformedFilter(f"Unknown field {name}") from unknown
+        raise MalformedFilter(f"no field of the catalogue is called {name!r}") from unknown
     column, data_type = F.col(f"{table}.{name}"), catalog.data_type(table, name)
     if op == "in":
         fitting = [lit for lit in (_literal_or_none(v, data_type) for v in value) if lit is not None]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Collection, Iterable, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,7 +17,6 @@ from cellframe.functions.predicates import (
     fields_of,
     mentions_species,
     to_column,
-    with_species,
 )
 from cellframe.operators.star import Tables, inner_chain, left_chain
 from cellframe.session import durable
@@ -68,18 +69,12 @@ class MatrixRequest:
         fields = list(self.fields) if self.fields is not None else list(default)
         return append_barcode(self.catalog, fields) if self.format == "mtx" else fields
 
-    def _tree(self) -> Mapping[str, Any] | None:
-        if self.species is None or self.filter is None:
-            return self.filter
-        return with_species(self.filter, self.species, self.catalog)
-
     def _predicate(self) -> Column | None:
-        tree = self._tree()
-        if tree is not None:
-            return to_column(tree, self.catalog)
-        if self.species is not None:
-            return self._is_species()
-        return None
+        """Rows of the species that the filter lets through, where either is given."""
+        parts = [self._is_species()] if self.species is not None else []
+        if self.filter is not None:
+            parts.append(to_column(self.filter, self.catalog))
+        return reduce(and_, parts) if parts else None
 
     def _is_species(self) -> Column:
         table, column = self.catalog.locate(self.catalog.species_field)
@@ -97,10 +92,9 @@ class MatrixRequest:
 
     def _used_dimensions(self) -> set[str]:
         tables = {s.table for s in self.catalog.select(self.asked_fields)}
-        tree = self._tree()
-        if tree is not None:
-            tables |= {self.catalog.locate(name)[0] for name in fields_of(tree)}
-        elif self.species is not None:
+        if self.filter is not None:
+            tables |= {self.catalog.locate(name)[0] for name in fields_of(self.filter)}
+        if self.species is not None:
             tables.add(self.catalog.locate(self.catalog.species_field)[0])
         if self.bundles is not None:
             tables.add(self.catalog.bundle_column.partition(".")[0])
@@ -176,13 +170,17 @@ class MatrixRequest:
 
 
 def fingerprint(keys: DataFrame, feature: str, format_: str, fields: Iterable[str]) -> DataFrame:
-    """MD5 over the parameters, the number of keys and the sum of their 60-bit hashes."""
-    key_hash = F.conv(F.substring(F.md5(F.col(keys.columns[0]).cast("string")), 1, 15), 16, 10)
-    total = F.coalesce(F.sum(key_hash.cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)"))
+    """MD5 over the parameters, the number of keys and the sums of both halves of the keys' 128-bit hashes."""
+    key_hash = F.md5(F.col(keys.columns[0]).cast("string"))
+
+    def total(start: int) -> Column:
+        half = F.conv(F.substring(key_hash, start, 16), 16, 10).cast("decimal(20,0)")
+        return F.coalesce(F.sum(half), F.lit(0).cast("decimal(20,0)")).cast("string")
+
     cells = F.count(F.lit(1))
     parameters = F.lit("|".join([feature, format_, *fields]))
     return keys.agg(
-        F.md5(F.concat_ws("|", parameters, cells.cast("string"), total.cast("string"))).alias("fingerprint"),
+        F.md5(F.concat_ws("|", parameters, cells.cast("string"), total(1), total(17))).alias("fingerprint"),
         cells.alias("cells"),
     )
 

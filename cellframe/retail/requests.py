@@ -362,7 +362,8 @@ def project_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""select md5('gene|loom|order_total|' || count(*)::varchar || '|' ||
-      coalesce(sum(('0x' || substr(md5(o_orderkey::varchar), 1, 15))::bigint), 0)::varchar) as fingerprint,
+      coalesce(sum(('0x' || substr(md5(o_orderkey::varchar), 1, 16))::hugeint), 0)::varchar || '|' ||
+      coalesce(sum(('0x' || substr(md5(o_orderkey::varchar), 17, 16))::hugeint), 0)::varchar) as fingerprint,
       count(*)::bigint as cells from {SNOW} where {NESTED_SQL}"""
 )
 def fingerprint(spark: SparkSession, folder: str) -> DataFrame:

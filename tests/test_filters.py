@@ -11,7 +11,6 @@ from cellframe.functions.predicates import (
     fields_of,
     mentions_species,
     to_column,
-    with_species,
 )
 from cellframe.operators.star import left_chain
 
@@ -109,8 +108,6 @@ def test_fields_and_species():
     assert mentions_species({"op": "and", "value": [other, {"op": "not", "value": [species]}]}, CELL_CATALOG)
     assert mentions_species(eq("cell_suspension.genus_species.ontology", ["x"], "in"), CELL_CATALOG)
     assert not mentions_species({"op": "or", "value": [other, other]}, CELL_CATALOG)
-    narrowed = with_species(other, "Homo sapiens", CELL_CATALOG)
-    assert narrowed["op"] == "and" and narrowed["value"][1] is other
 
 
 def test_unknown_feature_kind(spark):
