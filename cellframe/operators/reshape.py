@@ -66,10 +66,14 @@ def duplicates(values: DataFrame) -> DataFrame:
 
 
 def one_per_pair(values: DataFrame, on_duplicate: str = "error") -> DataFrame:
-    """At most one value per cell and feature: a second one fails the job, or is summed."""
+    """At most one value per cell and feature: a second one fails the job, or is summed.
+
+    Values are dealt out by cell. That serves the pairs and whatever puts a cell's values together afterwards, so the
+    values cross the network once; pairs are nearly unique, so summing them before would not make them fewer.
+    """
     if on_duplicate not in ("error", "sum"):
         raise ValueError(f"on_duplicate is 'error' or 'sum', not {on_duplicate!r}")
-    pairs = values.groupBy("cellkey", "featurekey")
+    pairs = values.repartition("cellkey").groupBy("cellkey", "featurekey")
     if on_duplicate == "sum":
         return pairs.agg(F.sum("exprvalue").alias("exprvalue"))
     message = F.concat(F.lit("more than one value for "), F.col("cellkey"), F.lit(" / "), F.col("featurekey"))
