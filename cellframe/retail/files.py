@@ -54,17 +54,19 @@ def mtx_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""select c as ordinal, string_agg(r::varchar, ' ' order by r) as indices,
-    string_agg(v::integer::varchar, ' ' order by r) as "values" from (
-      select c, r, sum(l_quantity) as v from lineitem join {CELLS_SQL} k on l_orderkey = o_orderkey
-      join {GENES_SQL} g on l_partkey = p_partkey group by 1, 2) group by 1"""
+    f"""select c as ordinal, o_orderkey as cell, coalesce(string_agg(r::varchar, ' ' order by r), '') as indices,
+    coalesce(string_agg(v::integer::varchar, ' ' order by r), '') as "values" from {CELLS_SQL} k left join (
+      select l_orderkey, r, sum(l_quantity) as v from lineitem join {GENES_SQL} g on l_partkey = p_partkey group by 1, 2)
+      on l_orderkey = o_orderkey group by 1, 2"""
 )
 def loom_matrix(spark: SparkSession, folder: str) -> DataFrame:
     path = _place(spark, "loom")
     _export(spark, folder).write_loom_layout(path)
-    columns = spark.read.parquet(os.path.join(path, "matrix")).filter(F.size("indices") > 0)
-    return columns.select(
+    columns = spark.read.parquet(os.path.join(path, "matrix"))
+    attributes = spark.read.parquet(os.path.join(path, "col_attrs")).select("ordinal", F.col("CellID").alias("cell"))
+    return columns.join(attributes, "ordinal").select(
         "ordinal",
+        "cell",
         F.array_join("indices", " ").alias("indices"),
         F.array_join(F.transform("values", lambda v: v.cast("int")), " ").alias("values"),
     )
