@@ -16,8 +16,15 @@ from cellframe.retail.matrix import BRANDS_SQL, CELLS_SQL, COORDS_SQL, DENSE_SQL
 from cellframe.retail.registry import query
 from cellframe.session import scratch_dir
 from cellframe.sinks.matrix import MatrixExport
-from cellframe.sinks.staged import append_staged, store_result
-from cellframe.sources.results import read_staged
+from cellframe.sinks.staged import append_staged, store_result, write_per_bundle
+from cellframe.sources.results import (
+    read_bundle_list,
+    read_cell_result,
+    read_expression_result,
+    read_feature_result,
+    read_manifest,
+    read_staged,
+)
 from cellframe.streaming.notifications import decide, route
 
 
@@ -114,16 +121,94 @@ def staged_rows(spark: SparkSession, folder: str) -> DataFrame:
     return read_staged(spark, path, "feature")
 
 
-@query("select l_returnflag as part, count(*)::bigint as record_count from lineitem group by 1")
+def _stored(rows: DataFrame, spark: SparkSession) -> DataFrame:
+    """The manifest of rows that have been stored."""
+    path = _place(spark, "result")
+    store_result(rows, path)
+    return read_manifest(spark, os.path.join(path, "manifest"))
+
+
+@query(
+    """select l_orderkey::varchar as cellkey, l_partkey::varchar as featurekey, l_quantity::float as exprvalue,
+    (select count(*) from lineitem)::bigint as total from lineitem"""
+)
 def stored_result(spark: SparkSession, folder: str) -> DataFrame:
-    """Record counts of stored results, one result per return flag."""
-    rows = read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
-    manifests = [
-        store_result(rows.filter(F.col("l_returnflag") == flag), _place(spark, "result")).withColumn("part", F.lit(flag))
-        for flag in ("A", "N", "R")
-    ]
-    whole = manifests[0].unionByName(manifests[1]).unionByName(manifests[2])
-    return whole.groupBy("part").agg(F.sum("record_count").alias("record_count"))
+    """Line items stored as a result and read back as values, with the total that the manifest gives."""
+    manifest = _stored(read(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), spark)
+    return read_expression_result(spark, manifest).withColumn("total", F.lit(manifest.first()["record_count"]))
+
+
+@query(
+    """select o_orderkey::varchar as cellkey, o_orderpriority as barcode, o_custkey::bigint as genes_detected,
+    o_totalprice as total_umis from orders"""
+)
+def stored_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders stored as a cell result and read back under stored names and types."""
+    rows = read(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("cellkey"), F.col("o_orderpriority").alias("barcode"),
+        F.col("o_custkey").alias("genes_detected"), F.col("o_totalprice").alias("total_umis"),
+    )
+    found = read_cell_result(spark, _stored(rows, spark))
+    return found.select("cellkey", *(F.col(f"`{a}`").alias(b) for a, b in zip(found.columns[1:], rows.columns[1:])))
+
+
+@query(
+    """select p_partkey::varchar as featurekey, p_name as featurename, p_size::integer as featurestart,
+    p_size > 25 as isgene from part"""
+)
+def stored_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts stored as a feature result and read back with their types."""
+    rows = read(spark, folder, "part").select(
+        F.col("p_partkey").alias("featurekey"), F.col("p_name").alias("featurename"),
+        F.col("p_size").alias("featurestart"), (F.col("p_size") > 25).alias("isgene"),
+    )
+    return read_feature_result(spark, _stored(rows, spark)).select(*rows.columns)
+
+
+@query("select distinct c_custkey::varchar as bundle from customer")
+def bundle_list_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers written as a tab-separated list with a header and read back as bundles."""
+    path = _place(spark, "bundles")
+    customers = read(spark, folder, "customer").select(F.col("c_custkey").alias("bundle_uuid"), "c_name")
+    customers.union(customers).write.option("header", True).option("sep", "\t").csv(path)
+    return read_bundle_list(spark, path)
+
+
+@query("select p_brand as bundle, count(*)::bigint as records from part group by 1")
+def per_bundle_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts written as gzip files in a folder for each brand, counted in the folders."""
+    path = _place(spark, "per-bundle")
+    write_per_bundle(read(spark, folder, "part").select(F.col("p_brand").alias("bundle_fqid"), "p_partkey", "p_name"), path)
+    text = spark.read.schema("p_partkey string, p_name string, bundle_fqid string").option("sep", "|").csv(path)
+    return text.groupBy(F.col("bundle_fqid").alias("bundle")).agg(F.count("p_partkey").alias("records"))
+
+
+@query(
+    f"""select 'genes' as file, p_partkey::varchar as key from part where p_size > 25
+    union all select 'cells', o_orderkey::varchar from {CELLS_SQL}
+    union all select 'barcodes', o_orderpriority from orders where o_orderkey in (select l_orderkey from lineitem)"""
+)
+def mtx_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The first column of the tables beside a MatrixMarket file; two of them have a title line."""
+    path = _place(spark, "mtx")
+    _export(spark, folder).write_mtx(path)
+
+    def first(name: str, titled: bool) -> DataFrame:
+        lines = spark.read.option("sep", "\t").option("header", titled).csv(os.path.join(path, f"{name}.tsv.gz"))
+        return lines.select(F.lit(name).alias("file"), F.col(f"`{lines.columns[0]}`").alias("key"))
+
+    return first("genes", True).union(first("cells", True)).union(first("barcodes", False))
+
+
+@query("select o_orderkey as ordinal, 0 as lines from orders where false union all select count(*), 0 from orders")
+def empty_export(spark: SparkSession, folder: str) -> DataFrame:
+    """An export of no cells leaves an empty matrix: the number of orders, and the lines written for none of them."""
+    whole = _export(spark, folder)
+    path = _place(spark, "empty")
+    MatrixExport(whole.cells.limit(0), whole.values.limit(0), whole.features, on_duplicate="sum").write_csv(path)
+    lines = spark.read.text(os.path.join(path, "expression.csv")).count()
+    orders = read(spark, folder, "orders").agg(F.count(F.lit(1)).alias("ordinal"))
+    return orders.withColumn("lines", F.lit(lines).cast("int"))
 
 
 def _warehouse(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -166,6 +251,55 @@ def store_versions(spark: SparkSession, folder: str) -> DataFrame:
     return store.read("expression").select("cellkey", "featurekey", F.col("exrpvalue").cast("double").alias("exrpvalue"))
 
 
+@query(
+    f"""select l_orderkey::varchar as cellkey, l_partkey::varchar as featurekey, l_quantity * 2 as exrpvalue
+    from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT'
+    union all select l_orderkey::varchar, l_partkey::varchar, l_quantity
+    from lineitem join orders on l_orderkey = o_orderkey where o_orderpriority <> '1-URGENT'"""
+)
+def store_reopened(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables loaded, the store opened anew without saying how it is laid out, the same cells and new values put in."""
+    tables = _warehouse(spark, folder)
+    path = _place(spark, "store")
+    Store(spark, path, buckets=8).reload(tables)
+    urgent = tables["cell"].filter("barcode = '1-URGENT'")
+    values = tables["expression"].join(urgent, "cellkey", "left_semi").select(*tables["expression"].columns)
+    store = Store(spark, path)
+    store.upsert({"cell": urgent, "expression": values.withColumn("exrpvalue", (F.col("exrpvalue") * 2).cast("float"))})
+    return store.read("expression").select("cellkey", "featurekey", F.col("exrpvalue").cast("double").alias("exrpvalue"))
+
+
+@query(
+    """select l_orderkey::varchar as cellkey, l_partkey::varchar as featurekey, l_quantity as exrpvalue
+    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+    where c_mktsegment = 'BUILDING'"""
+)
+def store_request(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of the cells of some bundles, read from the buckets in which these lie."""
+    store = Store(spark, _place(spark, "store"), buckets=64)
+    store.reload(_warehouse(spark, folder))
+    wanted = store.read("analysis").filter("protocol = 'BUILDING'").select("analysiskey")
+    tables = store.tables_of(wanted)
+    cells = tables["cell"].join(wanted, "analysiskey", "left_semi").select("cellkey")
+    values = tables["expression"].filter(F.col("exprtype") == fixed.COUNT).join(cells, "cellkey", "left_semi")
+    return values.select("cellkey", "featurekey", F.col("exrpvalue").cast("double").alias("exrpvalue"))
+
+
+@query(
+    """select v.version, o_orderstatus as projectkey, count(*)::bigint as cells, 2 as readers_see
+    from orders, (select unnest([1, 3]) as version) v group by 1, 2"""
+)
+def version_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of each project at every version loaded whole or bumped, and the version that readers were set back to."""
+    store = Store(spark, _place(spark, "store"), buckets=4)
+    tables = _warehouse(spark, folder)
+    store.reload({name: tables[name] for name in ("analysis", "cell")})
+    store.upsert({"analysis": tables["analysis"]})
+    store.bump()
+    store.set_version(2)
+    return store.project_cells().withColumn("readers_see", F.lit(store.current()))
+
+
 EVENTS = T.StructType(
     [
         T.StructField("event_id", T.LongType()),

@@ -381,16 +381,15 @@ def _bundle_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """select event_id as parent, (props->>'$.k')::integer as child from events
-    where props->>'$.k' is not null"""
+    """select distinct p_partkey as parent, unnest(string_split(p_name, ' ')) as child, 'x' as place from part"""
 )
 def explode_children(spark: SparkSession, folder: str) -> DataFrame:
-    document = F.from_json("props", "k int")
-    return (
-        read(spark, folder, "events")
-        .select(F.col("event_id").alias("parent"), F.explode(F.array(document["k"])).alias("child"))
-        .filter(F.col("child").isNotNull())
-    )
+    """Each part's words as the contributors of a project: one row per child, through the library's own exploding."""
+    person = lambda w: F.struct(w.alias("name"), F.lit(None).cast("string").alias("contact_name"), F.lit("x").alias("institution"))
+    words = F.transform(F.split("p_name", " "), person)
+    projects = read(spark, folder, "part").select(F.col("p_partkey").alias("projectkey"), words.alias("contributors"))
+    found = metadata.contributors(projects)
+    return found.select(F.col("projectkey").alias("parent"), F.col("cont_name").alias("child"), F.col("cont_institution").alias("place"))
 
 
 @query(

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cellframe.functions.text import short_boolean
+from cellframe.schemas import RESULT_MANIFEST
 
 
 def as_text(frame: DataFrame) -> DataFrame:
@@ -37,19 +38,27 @@ def write_per_bundle(frame: DataFrame, path: str) -> None:
 
 
 def store_result(frame: DataFrame, path: str) -> DataFrame:
-    """Store a result as gzip parts under ``parts`` and describe them under ``manifest``.
+    """Store a result as gzip parts under ``parts``, and under ``manifest`` their places, record counts and columns.
 
-    Returns the manifest, one row per part: ``(url, record_count)``.
+    ``sources.results`` reads it back. Returns the manifest, one row per part: ``(url, record_count)``. A record is what
+    the reader takes for one, so a line break inside a field doesn't count twice.
     """
     parts = os.path.join(path, "parts")
     as_text(frame).write.option("sep", "|").option("emptyValue", "").option("compression", "gzip").csv(parts)
     spark = frame.sparkSession
-    counted = (
-        spark.read.text(parts)
-        .groupBy(F.col("_metadata.file_path").alias("url"))
-        .agg(F.count(F.lit(1)).alias("record_count"))
+    text = T.StructType([T.StructField(name, T.StringType()) for name in frame.columns])
+    rows = spark.read.schema(text).option("sep", "|").option("multiLine", True).csv(parts)
+    counted = rows.groupBy(F.col("_metadata.file_path").alias("url")).agg(F.count(F.lit(1)).alias("record_count"))
+    # One entry per part: as many as the result has files.
+    meta = F.struct(F.lit(None).cast("long").alias("content_length"), F.col("record_count"))
+    entries = F.array_sort(F.collect_list(F.struct("url", meta.alias("meta"))))
+    names = F.array(*(F.struct(F.lit(name).alias("name")) for name in frame.columns))
+    total = F.coalesce(F.sum("record_count"), F.lit(0))
+    manifest = counted.agg(
+        entries.alias("entries"),
+        F.struct(names.alias("elements")).alias("schema"),
+        F.struct(F.lit(None).cast("long").alias("content_length"), total.alias("record_count")).alias("meta"),
     )
-    counted.write.json(os.path.join(path, "manifest"))
-    columns = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(frame.schema.fields)]
-    spark.createDataFrame(columns, "place int, name string, type string").write.json(os.path.join(path, "columns"))
-    return spark.read.schema("url string, record_count long").json(os.path.join(path, "manifest"))
+    manifest.write.json(os.path.join(path, "manifest"))
+    stored = spark.read.schema(RESULT_MANIFEST).json(os.path.join(path, "manifest"))
+    return stored.select(F.inline("entries")).select("url", F.col("meta.record_count").alias("record_count"))

@@ -32,7 +32,7 @@ def _parts(spark: SparkSession, manifest: DataFrame, types: Mapping[str, T.DataT
     schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in row["columns"]])
     if not row["part_urls"]:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("sep", "|").csv(list(row["part_urls"]))
+    return spark.read.schema(schema).option("sep", "|").option("multiLine", True).csv(list(row["part_urls"]))
 
 
 def public_names(frame: DataFrame, catalog: StarCatalog = CELL_CATALOG) -> DataFrame:
@@ -59,7 +59,7 @@ def read_expression_result(spark: SparkSession, manifest: DataFrame) -> DataFram
     row = manifest.first()
     if row is None or not row["part_urls"]:
         return spark.createDataFrame([], EXPRESSION_RESULT)
-    return spark.read.schema(EXPRESSION_RESULT).option("sep", "|").csv(list(row["part_urls"]))
+    return spark.read.schema(EXPRESSION_RESULT).option("sep", "|").option("multiLine", True).csv(list(row["part_urls"]))
 
 
 def read_staged(spark: SparkSession, path: str, table: str) -> DataFrame:
