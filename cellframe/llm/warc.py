@@ -5,8 +5,11 @@ and read back as one nested row per capture, joined through the records' concurr
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
@@ -17,11 +20,13 @@ from cellframe.llm.frames import read_blobs, scratch, table, write_blobs
 from cellframe.llm.registry import query
 from cellframe.session import durable
 
-END = "\r\n\r\n"
+#: Behind each file; gzip readers skip zeros at the end.
+END = "\0"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
     "record_id string, kind string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
-    "payload_digest string, content_type string, http_head string, payload binary, fields map<string,string>"
+    "payload_digest string, content_type string, http_head string, payload_bytes long, payload binary, "
+    "fields map<string,string>"
 )
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -36,7 +41,8 @@ def payload_digest(payload: Column) -> Column:
 def _record(kind: str, record_id: str, date: str, headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     lines = [("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Date", date), *headers, ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{name}: {value}\r\n" for name, value in lines if value is not None)
-    return head.encode() + b"\r\n" + block
+    member = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return member.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n") + member.flush()
 
 
 def _name(*parts: object) -> str:
@@ -73,9 +79,9 @@ def write_warc(
     html: str = "html",
     date: str = "1970-01-01T00:00:00Z",
     least_bytes: int = 0,
-    file_bytes: int = 16 << 20,
+    file_bytes: int = 8 << 20,
 ) -> None:
-    """Write the records of every page to files of about ``file_bytes`` under ``path``.
+    """Write the records of every page to files of about ``file_bytes`` under ``path``, each record a gzip member.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, that with the smallest id has the response and the
     others revisit it. A null payload is empty. A null id is larger than any other and leaves no page-id field. Rows
@@ -103,16 +109,18 @@ def write_warc(
                 ready += records
                 size += sum(map(len, records))
                 if size >= file_bytes:
-                    yield pa.RecordBatch.from_pydict({"data": [END.encode().join(ready)]})
+                    yield pa.RecordBatch.from_pydict({"data": [b"".join(ready)]})
                     ready, size = [], 0
         if ready:
-            yield pa.RecordBatch.from_pydict({"data": [END.encode().join(ready)]})
+            yield pa.RecordBatch.from_pydict({"data": [b"".join(ready)]})
 
     write_blobs(ready.mapInArrow(files, "data binary"), path, END)
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of an uncompressed archive, as ``RECORD``; a broken one raises with its place."""
+    """The records of an archive, as ``RECORD``; a broken one raises with its place among the uncompressed bytes."""
+    if data.startswith(b"\x1f\x8b"):
+        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
     at = 0
     while at < len(data):
         stop = data.find(b"\r\n\r\n", at)
@@ -141,7 +149,8 @@ def parse_records(data: bytes) -> Iterator[dict]:
         yield {
             "record_id": one("warc-record-id"), "kind": kind, "concurrent_to": headers.get("warc-concurrent-to", []),
             "refers_to": one("warc-refers-to"), "target_uri": one("warc-target-uri"), "date": one("warc-date"),
-            "payload_digest": digest, "content_type": content, "http_head": head, "payload": payload, "fields": fields,
+            "payload_digest": digest, "content_type": content, "http_head": head, "payload_bytes": len(payload),
+            "payload": payload, "fields": fields,
         }
         at = start + length + 4
 
@@ -149,7 +158,7 @@ def parse_records(data: bytes) -> Iterator[dict]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files under ``path``."""
     kinds = {n: pa.string() for n in ("record_id", "kind", "refers_to", "target_uri", "date", "payload_digest", "content_type", "http_head")}
-    kinds |= {"concurrent_to": pa.list_(pa.string()), "payload": pa.binary(), "fields": pa.map_(pa.string(), pa.string())}
+    kinds |= {"payload_bytes": pa.int64(), "concurrent_to": pa.list_(pa.string()), "payload": pa.binary(), "fields": pa.map_(pa.string(), pa.string())}
     names = [f.split()[0] for f in RECORD.split(", ")]
     schema = pa.schema([(n, kinds[n]) for n in names])
 
@@ -188,18 +197,20 @@ def captures(records: DataFrame) -> DataFrame:
     """One nested row per response or revisit: its own fields, ``request`` and ``metadata`` (structs, null where there is
     none), and how many of each belong to it; of several the one with the smallest record id is shown.
 
-    A record id that occurs twice is two captures, with the same request and metadata.
+    Without a ``payload`` column in ``records`` the rows have none. What is joined is the records without payloads, which
+    are written once. A record id that occurs twice is two captures, with the same request and metadata.
     """
-    pairs = transactions(records)
+    heads = durable(records.drop("payload"), "record-heads")
+    pairs = transactions(heads)
 
     def side(kind: str, *columns: str) -> DataFrame:
-        own = records.filter(F.col("kind") == kind).select("record_id", *columns)
+        own = heads.filter(F.col("kind") == kind).select("record_id", *columns)
         joined = pairs.join(own, "record_id").groupBy("capture_id")
         shown = F.min_by(F.struct("record_id", *columns), "record_id")
         return joined.agg(shown.alias(kind), F.count(F.lit(1)).alias(f"{kind}s")).withColumnRenamed("capture_id", "record_id")
 
-    main = records.filter(F.col("kind").isin("response", "revisit")).drop("concurrent_to", "fields")
-    found = main.join(side("request", "target_uri", "http_head"), "record_id", "left")
+    main = (records if "payload" in records.columns else heads).filter(F.col("kind").isin("response", "revisit"))
+    found = main.drop("concurrent_to", "fields").join(side("request", "target_uri", "http_head"), "record_id", "left")
     found = found.join(side("metadata", "fields"), "record_id", "left")
     return found.withColumnRenamed("record_id", "capture_id").fillna(0, ["requests", "metadatas"])
 
@@ -215,8 +226,8 @@ def op10_warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_warc(table(spark, folder, "pages"), path)
     head = F.regexp_extract("http_head", r"(?im)^Content-Length: *(\d+)", 1)
-    whole = F.when(F.col("kind") == "response", F.octet_length("payload").cast("long")).otherwise(head.try_cast("long"))
-    found = captures(read_warc(spark, path)).select(
+    whole = F.when(F.col("kind") == "response", F.col("payload_bytes")).otherwise(head.try_cast("long"))
+    found = captures(read_warc(spark, path).drop("payload")).select(
         F.col("metadata")["fields"]["page-id"].cast("long").alias("page_id"),
         whole.alias("payload_bytes"),
         "payload_digest",
