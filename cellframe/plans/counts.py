@@ -70,6 +70,44 @@ def bundle_keys(landing: Landing) -> DataFrame:
     )
 
 
+def count_faults(landing: Landing, keys: DataFrame) -> DataFrame:
+    """``(bundle_fqid, reason)`` of bundles whose counts are not all there, or not readable.
+
+    One row per bundle and kind of file is gathered, so what is compared is as small as the list of bundles.
+    """
+    bundle = "bundle_fqid"
+
+    def measured(counts: DataFrame, name: str) -> DataFrame:
+        bad = F.count_if(F.col("id").isNull() | F.col("tpm").isNull() | F.col("expected_count").isNull())
+        return counts.groupBy(bundle).agg(F.lit(True).alias(name), (bad > 0).alias(f"bad_{name}"))
+
+    calls = landing.calls.groupBy(bundle, "cell_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("total").isNull()).alias("bad"))
+    calls = calls.groupBy(bundle).agg((F.max("n") > 1).alias("twice"), (F.sum("bad") > 0).alias("bad_calls"), F.lit(True).alias("calls"))
+    axes = landing.axis.groupBy(bundle).agg(F.count_distinct("gene_ids").alias("axes"), F.max(F.size("gene_ids")).alias("genes_listed"))
+    width = F.size("values")
+    rows = landing.chunks.groupBy(bundle).agg(F.min(width).alias("narrowest"), F.max(width).alias("widest"))
+    found = keys.select(bundle, "assay")
+    for facts in (measured(landing.genes, "genes"), measured(landing.isoforms, "isoforms"), calls, axes, rows):
+        found = found.join(facts, bundle, "left")
+    plate, droplet = F.col("assay") == "plate", F.col("assay") == "droplet"
+    reasons = {
+        "no gene counts": plate & F.col("genes").isNull(),
+        "no isoform counts": plate & F.col("isoforms").isNull(),
+        "unreadable number in gene counts": plate & F.col("bad_genes"),
+        "unreadable number in isoform counts": plate & F.col("bad_isoforms"),
+        "no droplet calls": droplet & F.col("calls").isNull(),
+        "unreadable number in droplet calls": droplet & F.col("bad_calls"),
+        "two droplet calls for one barcode": droplet & F.col("twice"),
+        "no dense rows": droplet & F.col("widest").isNull(),
+        "no gene axis": droplet & F.col("axes").isNull(),
+        "several gene axes": droplet & (F.col("axes") > 1),
+        "rows of another length than the gene axis": droplet
+        & ((F.col("narrowest") != F.col("genes_listed")) | (F.col("widest") != F.col("genes_listed"))),
+    }
+    listed = F.array_compact(F.array(*(F.when(condition, F.lit(reason)) for reason, condition in reasons.items())))
+    return found.select(bundle, F.explode(listed).alias("reason"))
+
+
 _KEYS = ("cellsuspensionkey", "projectkey", "librarykey", "analysiskey", "file_uuid", "file_version")
 
 
@@ -110,7 +148,7 @@ def plate_tables(landing: Landing, keys: DataFrame) -> tuple[DataFrame, DataFram
 def droplet_tables(landing: Landing, keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(cell, expression, quarantine)`` of droplet bundles.
 
-    Ids that become equal without their version stay separate rows.
+    A barcode that no call exists for is set aside by itself; the other barcodes of its bundle are loaded. Ids that become equal without their version stay separate rows.
     """
     droplet = keys.filter("assay = 'droplet'")
     # Dense rows are made sparse before the first join, so that no shuffle carries their zeros.

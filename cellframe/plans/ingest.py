@@ -12,8 +12,12 @@ from cellframe.session import durable
 from cellframe.sources.bundles import CORRUPT, Landing
 
 def corrupt_documents(landing: Landing) -> DataFrame:
-    """``(entity, reason)`` of documents that are not valid JSON."""
+    """``(entity, reason)`` of documents and manifests that are not valid JSON."""
+    manifests = landing.manifests.filter(F.col(CORRUPT).isNotNull()).select(
+        F.concat("bundle_fqid", F.lit("/manifest")).alias("entity"), F.lit("unreadable document").alias("reason")
+    )
     return concat(
+        manifests,
         *(
             frame.filter(F.col(CORRUPT).isNotNull()).select(
                 F.concat(F.col("bundle_fqid"), F.lit(f"/{kind}_"), F.col("ordinal").cast("string")).alias("entity"),
@@ -24,12 +28,28 @@ def corrupt_documents(landing: Landing) -> DataFrame:
     )
 
 
-def readable(landing: Landing) -> Landing:
-    """The landing zone without unreadable documents."""
-    sound = {kind: frame.filter(F.col(CORRUPT).isNull()) for kind, frame in landing.documents.items()}
-    return Landing(
-        sound, landing.manifests, landing.genes, landing.isoforms, landing.calls, landing.chunks, landing.axis
-    )
+def seen_bundles(landing: Landing) -> DataFrame:
+    """Every bundle of which anything has arrived."""
+    parts = (*landing.documents.values(), landing.manifests, landing.genes, landing.isoforms, landing.calls, landing.chunks, landing.axis)
+    return concat(*(frame.select("bundle_fqid") for frame in parts)).distinct()
+
+
+def sound_part(landing: Landing) -> tuple[Landing, DataFrame, DataFrame]:
+    """``(landing, keys, quarantine)``: what is left when every bundle with a fault goes as a whole.
+
+    Faults are an unreadable document, no analysis protocol, a key that cells need and that is missing, and counts that
+    are absent, incomplete or unreadable. A bundle of an assay that isn't served stays: it has no cells, but its
+    documents are loaded. ``keys`` are the per-bundle facts of the bundles that stay.
+    """
+    unreadable = durable(corrupt_documents(landing), "unreadable")
+    keys = durable(counts.bundle_keys(landing), "bundle-keys")
+    without = seen_bundles(landing).join(keys, "bundle_fqid", "left_anti").select("bundle_fqid", F.lit("no analysis protocol").alias("reason"))
+    lacking = counts.rejected(keys.filter("assay IS NOT NULL")).withColumnRenamed("entity", "bundle_fqid")
+    faults = durable(concat(without, lacking, counts.count_faults(landing, keys)), "faults")
+    broken = unreadable.select(F.element_at(F.split("entity", "/"), 1).alias("bundle_fqid"))
+    gone = durable(concat(faults.select("bundle_fqid"), broken).distinct(), "set-aside")
+    listed = faults.join(broken, "bundle_fqid", "left_anti").withColumnRenamed("bundle_fqid", "entity")
+    return landing.without(gone), keys.join(gone, "bundle_fqid", "left_anti"), concat(unreadable, listed)
 
 
 def conform(frame: DataFrame, table: str) -> DataFrame:
@@ -37,9 +57,8 @@ def conform(frame: DataFrame, table: str) -> DataFrame:
     return frame.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in WAREHOUSE[table].fields))
 
 
-def count_tables(landing: Landing) -> tuple[dict[str, DataFrame], DataFrame]:
+def count_tables(landing: Landing, keys: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """``cell`` and ``expression`` of every bundle of a supported assay."""
-    keys = durable(counts.bundle_keys(landing), "bundle-keys")
     sound = counts.complete(keys)
     plate_cells, plate_values = counts.plate_tables(landing, sound)
     droplet_cells, droplet_values, lost = counts.droplet_tables(landing, sound)
@@ -50,16 +69,19 @@ def count_tables(landing: Landing) -> tuple[dict[str, DataFrame], DataFrame]:
 
 
 def ingest_bundles(landing: Landing, labels: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All tables except ``feature``, and a quarantine frame ``(entity, reason)``.
+    """All tables except ``feature``, and a quarantine frame ``(entity, reason, logged_at)``.
 
-    Nothing fails because of one bad bundle: what cannot be transformed is listed instead. The small per-bundle
-    facts are written on the way, so that the tables do not parse the documents again and again.
+    Nothing fails because of one bad bundle: a bundle is loaded as a whole or listed, with no row in any table. The
+    small per-bundle facts are written on the way, so that the tables do not parse the documents again and again.
     """
-    unreadable = corrupt_documents(landing)
-    landing = readable(landing)
+    landing, keys, unfit = sound_part(landing)
+    facts = metadata.bundle_facts(landing.documents, labels.sparkSession)
+    bad_dimensions = durable(metadata.unfit_specimens(facts), "unfit-specimens")
+    unfit_bundles = bad_dimensions.select(F.col("entity").alias("bundle_fqid"))
+    landing, keys = landing.without(unfit_bundles), keys.join(unfit_bundles, "bundle_fqid", "left_anti")
     documents = landing.documents
-    tables, bad_counts = count_tables(landing)
-    dimensions, bad_dimensions = metadata.specimen_tables(documents, labels)
+    tables, bad_counts = count_tables(landing, keys)
+    dimensions = metadata.specimen_tables(facts, labels)
     project, contributor, publication = metadata.projects(documents["project"])
     tables |= dimensions
     tables |= {
@@ -68,7 +90,7 @@ def ingest_bundles(landing: Landing, labels: DataFrame) -> tuple[dict[str, DataF
         "contributor": contributor,
         "publication": publication,
     }
-    quarantine = concat(unreadable, bad_counts, bad_dimensions)
+    quarantine = concat(unfit, bad_counts, bad_dimensions).withColumn("logged_at", F.current_timestamp())
     return {name: conform(frame, name) for name, frame in tables.items()}, quarantine
 
 

@@ -204,13 +204,8 @@ def library_facts(documents: DataFrame) -> DataFrame:
     )
 
 
-def specimen_tables(
-    documents: Mapping[str, DataFrame], labels: DataFrame
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """``donor``, ``specimen``, ``cell_suspension`` and ``library_preparation``, and the quarantined bundles.
-
-    A bundle counts when it has a donor; it is set aside when one of the other kinds is missing or unreadable.
-    """
+def bundle_facts(documents: Mapping[str, DataFrame], spark: SparkSession) -> dict[str, DataFrame]:
+    """What each kind of document says about a bundle: one row per bundle, parsed once and read several times."""
     facts = {
         "donor": donor_facts(documents["donor_organism"]),
         "specimen": specimen_facts(documents["specimen_from_organism"]),
@@ -218,19 +213,26 @@ def specimen_tables(
         "library": library_facts(documents["library_preparation_protocol"]),
         "organ": derived_organs(documents["organoid"], documents["cell_line"]),
     }
-    # One row per bundle each: parsed once, read several times.
-    donors, specimens, suspensions, libraries, organs = together(
-        labels.sparkSession, [lambda n=name, f=frame: durable(f, f"{n}-facts") for name, frame in facts.items()]
-    )
-    bundles = (
-        donors.select("bundle_fqid", "donorkey")
-        .join(specimens.select("bundle_fqid", "specimenkey"), "bundle_fqid", "left")
-        .join(suspensions.select("bundle_fqid", "cellsuspensionkey"), "bundle_fqid", "left")
-        .join(libraries.select("bundle_fqid", "librarykey", "complete"), "bundle_fqid", "left")
-    )
-    sound = F.col("specimenkey").isNotNull() & F.col("cellsuspensionkey").isNotNull() & F.coalesce("complete", F.lit(False))
-    kept = bundles.filter(sound).select("bundle_fqid", "donorkey", "specimenkey")
-    quarantine = bundles.filter(~sound).select(
+    written = together(spark, [lambda n=name, f=frame: durable(f, f"{n}-facts") for name, frame in facts.items()])
+    return dict(zip(facts, written))
+
+
+def _sound() -> Column:
+    return F.col("specimenkey").isNotNull() & F.col("cellsuspensionkey").isNotNull() & F.coalesce("complete", F.lit(False))
+
+
+def _keyed_bundles(facts: Mapping[str, DataFrame]) -> DataFrame:
+    return (
+        facts["donor"].select("bundle_fqid", "donorkey")
+        .join(facts["specimen"].select("bundle_fqid", "specimenkey"), "bundle_fqid", "left")
+        .join(facts["suspension"].select("bundle_fqid", "cellsuspensionkey"), "bundle_fqid", "left")
+        .join(facts["library"].select("bundle_fqid", "librarykey", "complete"), "bundle_fqid", "left")
+    )
+
+
+def unfit_specimens(facts: Mapping[str, DataFrame]) -> DataFrame:
+    """``(entity, reason)`` of bundles that have a donor but lack one of the other kinds."""
+    return _keyed_bundles(facts).filter(~_sound()).select(
         F.col("bundle_fqid").alias("entity"),
         F.when(F.col("specimenkey").isNull(), "no specimen")
         .when(F.col("cellsuspensionkey").isNull(), "no cell suspension")
@@ -239,6 +241,12 @@ def specimen_tables(
         .alias("reason"),
     )
 
+
+def specimen_tables(facts: Mapping[str, DataFrame], labels: DataFrame) -> dict[str, DataFrame]:
+    """``donor``, ``specimen``, ``cell_suspension`` and ``library_preparation`` of the bundles that lack nothing."""
+    donors, specimens, suspensions, libraries, organs = (facts[n] for n in ("donor", "specimen", "suspension", "library", "organ"))
+    kept = _keyed_bundles(facts).filter(_sound()).select("bundle_fqid", "donorkey", "specimenkey")
+
     donor = donors.join(kept.select("bundle_fqid"), "bundle_fqid").drop("bundle_fqid").distinct()
     specimen = (
         specimens.drop("specimenkey").join(kept, "bundle_fqid").drop("bundle_fqid").distinct()
@@ -262,7 +270,7 @@ def specimen_tables(
         "specimen": _specimen_rows(specimen, labels),
         "cell_suspension": _suspension_rows(suspension, labels),
         "library_preparation": _library_rows(library, labels),
-    }, quarantine
+    }
 
 
 def _donor_rows(donor: DataFrame, labels: DataFrame) -> DataFrame:

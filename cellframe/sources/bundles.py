@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Collection, Mapping
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -14,12 +14,12 @@ from cellframe.schemas import DOCUMENTS, MANIFEST
 from cellframe.session import durable, together
 
 CORRUPT = "_corrupt_record"
-_SAFE_NAME = re.compile(r"[\w.:-]+")
+_PATTERN = re.compile(r"[{}\[\]*?\\,]")
 
 
 def bundle_name(path: Column) -> Column:
-    """Name of the directory a file lies in."""
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    """Name of the directory a file lies in; paths of files come with special characters encoded."""
+    return F.url_decode(F.replace(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B")))
 
 
 def document_number(path: Column) -> Column:
@@ -27,25 +27,31 @@ def document_number(path: Column) -> Column:
     return F.regexp_extract(path, r"_(\d+)\.json$", 1).try_cast("int")
 
 
-def bundle_paths(root: str, only: Collection[str] | None = None) -> str:
-    """The landing zone, or one pattern that matches the named bundle directories of it."""
+def bundle_paths(spark: SparkSession, root: str, only: Collection[str] | None = None) -> list[str]:
+    """The landing zone, or the exact paths of those of the named bundle directories that have arrived.
+
+    A name is one directory below the landing zone; the characters that patterns use are taken as they are.
+    """
     if only is None:
-        return root
-    names = [name for name in sorted(set(only)) if _SAFE_NAME.fullmatch(name)]
-    return os.path.join(root, "{" + ",".join(names or ["-"]) + "}")
+        return [root]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [name for name in sorted(set(only)) if name and "/" not in name and name not in (".", "..")]
+    there = [name for name in names if files.exists(hadoop.Path(os.path.join(root, name)))]
+    return [os.path.join(root, _PATTERN.sub(r"\\\g<0>", name)) for name in there]
 
 
-def _or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
-    """What ``read`` gives, or no rows when no file or directory matches its path."""
+def _or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str, paths: Sequence[str]) -> DataFrame:
+    """What ``read`` gives, or no rows when there are no paths or nothing lies there."""
     try:
-        return read()
+        return read() if paths else spark.createDataFrame([], schema)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], schema)
 
 
-def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+def read_texts(spark: SparkSession, path: list[str], pattern: str = "*.json") -> DataFrame:
     """``(bundle_fqid, kind, ordinal, value)``: every file named by ``pattern`` below the path as one text."""
 
     def read() -> DataFrame:
@@ -57,7 +63,7 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataF
             "value",
         )
 
-    return _or_empty(read, spark, "bundle_fqid string, kind string, ordinal int, value string")
+    return _or_empty(read, spark, "bundle_fqid string, kind string, ordinal int, value string", path)
 
 
 def parse(texts: DataFrame, schema: T.StructType) -> DataFrame:
@@ -77,7 +83,7 @@ def manifest_file(files: Column, suffix: str) -> Column:
     return F.get(F.filter(files, lambda f: f["name"].endswith(suffix)), F.lit(0))
 
 
-def read_counts(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_counts(spark: SparkSession, path: list[str], kind: str) -> DataFrame:
     """``(bundle_fqid, id, tpm, expected_count)`` of the ``*.genes.results`` or ``*.isoforms.results`` files."""
     key = {"genes": "gene_id", "isoforms": "transcript_id"}[kind]
 
@@ -96,10 +102,10 @@ def read_counts(spark: SparkSession, path: str, kind: str) -> DataFrame:
             )
         )
 
-    return _or_empty(read, spark, "bundle_fqid string, id string, tpm double, expected_count double")
+    return _or_empty(read, spark, "bundle_fqid string, id string, tpm double, expected_count double", path)
 
 
-def read_calls(spark: SparkSession, path: str) -> DataFrame:
+def read_calls(spark: SparkSession, path: list[str]) -> DataFrame:
     """``(bundle_fqid, cell_id, total, is_cell)`` of the empty-droplet calls."""
     schema = "CellId string, Total int, LogProb string, PValue string, Limited string, FDR string, IsCell string"
 
@@ -118,7 +124,7 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
             )
         )
 
-    return _or_empty(read, spark, "bundle_fqid string, cell_id string, total int, is_cell boolean")
+    return _or_empty(read, spark, "bundle_fqid string, cell_id string, total int, is_cell boolean", path)
 
 
 @dataclass(frozen=True)
@@ -150,6 +156,18 @@ class Landing:
         )
 
 
+    def without(self, bundles: DataFrame) -> Landing:
+        """All but the given bundles."""
+
+        def keep(frame: DataFrame) -> DataFrame:
+            return frame.join(bundles, "bundle_fqid", "left_anti")
+
+        return Landing(
+            {kind: keep(frame) for kind, frame in self.documents.items()},
+            *(keep(f) for f in (self.manifests, self.genes, self.isoforms, self.calls, self.chunks, self.axis)),
+        )
+
+
 CHUNKS = "bundle_fqid string, cell_id string, values array<float>"
 AXIS = "bundle_fqid string, gene_ids array<string>"
 _PARTS = ("manifests", "genes", "isoforms", "calls", "chunks", "axis")
@@ -161,7 +179,7 @@ def read_bundles(spark: SparkSession, root: str, only: Collection[str] | None =
     Dense rows lie in ``chunks*.parquet`` and ``axis*.parquet``, file lists in ``manifest.json``. Every use of a
     kind parses its files again; :func:`compact` a large landing zone first.
     """
-    path = bundle_paths(root, only)
+    path = bundle_paths(spark, root, only)
     return Landing(
         documents={
             kind: parse(read_texts(spark, path, f"{kind}_[0-9]*.json"), schema) for kind, schema in DOCUMENTS.items()
@@ -171,7 +189,7 @@ def read_bundles(spark: SparkSession, root: str, only: Collection[str] | None =
     )
 
 
-def _count_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def _count_files(spark: SparkSession, path: list[str]) -> dict[str, DataFrame]:
     return {
         "genes": read_counts(spark, path, "genes"),
         "isoforms": read_counts(spark, path, "isoforms"),
@@ -181,16 +199,16 @@ def _count_files(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def _dense(spark: SparkSession, path: str, pattern: str, schema: str) -> DataFrame:
+def _dense(spark: SparkSession, path: list[str], pattern: str, schema: str) -> DataFrame:
     def read() -> DataFrame:
         return (
             spark.read.schema(schema)
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", pattern)
-            .parquet(path)
+            .parquet(*path)
         )
 
-    return _or_empty(read, spark, schema)
+    return _or_empty(read, spark, schema, path)
 
 
 def compact(spark: SparkSession, root: str, out: str) -> None:
@@ -198,12 +216,12 @@ def compact(spark: SparkSession, root: str, out: str) -> None:
 
     All JSON files are listed and read once, then split by kind.
     """
-    texts = durable(read_texts(spark, root), "texts")
+    texts = durable(read_texts(spark, [root]), "texts")
     tables = {
         f"documents/{kind}": parse(texts.filter(F.col("kind") == kind), schema) for kind, schema in DOCUMENTS.items()
     }
     tables["manifests"] = parse(texts.filter("kind = 'manifest'"), MANIFEST)
-    tables |= _count_files(spark, root)
+    tables |= _count_files(spark, [root])
     together(
         spark,
         [lambda n=name, f=frame: f.write.mode("overwrite").parquet(os.path.join(out, n)) for name, frame in tables.items()],

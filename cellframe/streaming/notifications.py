@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cellframe import fixed
 from cellframe.operators.keyed import latest
-from cellframe.plans.ingest import ingest_bundles
+from cellframe.plans.ingest import ingest_bundles, seen_bundles
 from cellframe.plans.store import Store
 from cellframe.schemas import NOTIFICATION
 from cellframe.session import durable
@@ -83,14 +83,15 @@ class NotificationHandler:
         if not updates.isEmpty():
             # One name per updated bundle of the batch, which the source bounds.
             names = [row["bundle_fqid"] for row in updates.collect()]
-            tables, quarantined = ingest_bundles(self.landing(names), self.labels)
-            arrived = tables["analysis"].select("bundle_fqid").distinct()
-            absent = updates.join(arrived, "bundle_fqid", "left_anti").select(
+            landing = self.landing(names)
+            tables, quarantined = ingest_bundles(landing, self.labels)
+            quarantined = durable(quarantined, "quarantined")
+            absent = updates.join(seen_bundles(landing), "bundle_fqid", "left_anti").select(
                 F.col("bundle_fqid").alias("entity"), F.lit("not in the landing zone").alias("reason")
             )
-            rejected = rejected.unionByName(quarantined).unionByName(absent)
+            rejected = rejected.unionByName(quarantined.drop("logged_at")).unionByName(absent)
         # Written per stream and batch, so that a repeated batch overwrites its own rows.
-        rejected.write.mode("overwrite").json(f"{self.quarantine}/stream={stream}/batch={batch_id}")
+        rejected.withColumn("logged_at", F.current_timestamp()).write.mode("overwrite").json(f"{self.quarantine}/stream={stream}/batch={batch_id}")
         if tables is not None or not removals.isEmpty():
             self.store.apply(tables, removals, source, batch_id)
 

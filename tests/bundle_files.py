@@ -157,9 +157,18 @@ def write_droplet(root, bundle=DROPLET, tag="droplet", rows=DROPLETS):
     pq.write_table(axis, os.path.join(folder, "axis_0.parquet"))
 
 
+def write_uncounted(root, bundle):
+    """Count files in which nothing is counted."""
+    for kind, key in (("genes", "gene_id"), ("isoforms", "transcript_id")):
+        with open(os.path.join(root, bundle, f"q.{kind}.results"), "w") as file:
+            file.write(f"{key}\tother\tlength\teffective_length\texpected_count\tTPM\tFPKM\n")
+            file.write("ENSX.1\tt\t1\t1\t0.00\t0.0\t0\n")
+
+
 def write_organoid(root, bundle=ORGANOID):
     """Two donors that disagree, and organoids that agree on their model organ."""
     common(root, bundle, "smartseq2_v2.3.0", ".genes.results", "organoid")
+    write_uncounted(root, bundle)
     write_documents(
         root, bundle, "donor_organism",
         ("donor-z", donor(sex="male", human_specific={"ethnicity": []})),

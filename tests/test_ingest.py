@@ -32,7 +32,7 @@ def labels(spark):
 def ingested(spark, root, labels):
     tables, quarantine = ingest_bundles(read_bundles(spark, root), labels)
     return {name: [tuple(r) for r in frame.collect()] for name, frame in tables.items()}, {
-        (r["entity"], r["reason"]) for r in quarantine.collect()
+        (r["entity"], r["reason"]) for r in quarantine.filter("logged_at IS NOT NULL").collect()
     }
 
 
@@ -49,7 +49,7 @@ def test_cells(ingested):
     assert cells["susp-plate"] == plate
     assert cells[key("AAAA")] == (key("AAAA"), *keys, "AAAA", 2, 100, True)
     assert cells[key("CCCC")] == (key("CCCC"), *keys, "CCCC", 2, 142, False)
-    # Without count files the organoid's cell has no genes; the unsupported protocol gives no cell.
+    # Nothing is counted in the organoid's files; the unsupported protocol gives no cell.
     assert cells["susp-organoid"][8] == 0 and len(cells) == 4
 
 
@@ -142,12 +142,48 @@ def test_bad_bundles_are_set_aside_not_raised(spark, labels, tmp_path):
     tables, quarantine = ingest_bundles(read_bundles(spark, str(tmp_path)), labels)
     assert {(r[0], r[1]) for r in quarantine.collect()} == {
         ("corrupt.1/specimen_from_organism_0", "unreadable document"),
-        ("corrupt.1", "no specimen"),
         ("nolib.1", "library preparation without method or molecule"),
         ("nomanifest.1", "missing file_uuid,file_version"),
     }
-    assert sorted(r[0] for r in tables["donor"].collect()) == ["donor-good", "donor-nomanifest"]
-    assert sorted(r[0] for r in tables["cell"].collect()) == ["susp-corrupt", "susp-good", "susp-nolib"]
+    assert [r[0] for r in tables["donor"].collect()] == ["donor-good"]
+    assert [r[0] for r in tables["cell"].collect()] == ["susp-good"]
+    assert [r["bundle_uuid"] for r in tables["analysis"].collect()] == ["good"]
+
+
+def test_bundles_without_all_their_counts_are_set_aside_whole(spark, labels, tmp_path):
+    def plate(name):
+        files.write_plate(tmp_path, f"{name}.1", name)
+        return tmp_path / f"{name}.1"
+
+    def droplet(name, **changes):
+        files.write_droplet(tmp_path, f"{name}.1", name, **changes)
+        return tmp_path / f"{name}.1"
+
+    plate("good")
+    (plate("nogenes") / "q.genes.results").unlink()
+    (plate("noisoforms") / "q.isoforms.results").unlink()
+    bad = plate("badnumber") / "q.genes.results"
+    bad.write_text(bad.read_text().replace("92.29", "many"))
+    (plate("noprotocol") / "analysis_protocol_0.json").unlink()
+    called = [row for row in files.DROPLETS if row[2]]
+    droplet("drops", rows=called)
+    (droplet("noaxis", rows=called) / "axis_0.parquet").unlink()
+    (droplet("nocalls", rows=called) / "empty_drops_result.csv").unlink()
+    (droplet("nochunks", rows=called) / "chunks_0.parquet").unlink()
+    droplet("short", rows=[*called, ("AAAC", 100, "TRUE", [1.0, 2.0])])
+    droplet("twice", rows=[*called, ("AAAA", 120, "TRUE", [1.0, 0.0, 2.0, 0.0])])
+    (droplet("onedonor", rows=called) / "donor_organism_1.json").write_text("{")
+    tables, quarantine = ingest_bundles(read_bundles(spark, str(tmp_path)), labels)
+    assert {(r[0], r[1]) for r in quarantine.collect()} == {
+        ("nogenes.1", "no gene counts"), ("noisoforms.1", "no isoform counts"), ("badnumber.1", "unreadable number in gene counts"),
+        ("noprotocol.1", "no analysis protocol"), ("noaxis.1", "no gene axis"), ("nocalls.1", "no droplet calls"),
+        ("nochunks.1", "no dense rows"), ("short.1", "rows of another length than the gene axis"),
+        ("twice.1", "two droplet calls for one barcode"), ("onedonor.1/donor_organism_1", "unreadable document"),
+    }
+    assert sorted(r["bundle_uuid"] for r in tables["analysis"].collect()) == ["drops", "good"]
+    assert sorted(r[0] for r in tables["donor"].collect()) == ["donor-drops", "donor-good"]
+    assert {r["analysiskey"] for r in tables["cell"].collect()} == {"ap-drops", "ap-good"}
+    assert {r["cellkey"] for r in tables["expression"].collect()} <= {r["cellkey"] for r in tables["cell"].collect()}
 
 
 def test_a_compacted_landing_zone_gives_the_same_tables(spark, root, labels, ingested, tmp_path):
@@ -164,13 +200,20 @@ def test_restricting_to_bundles(spark, root, labels):
 
 
 def test_reading_only_named_bundles(spark, root):
-    found = read_bundles(spark, root, [files.PLATE, "missing.1", "odd{name}"])
+    found = read_bundles(spark, root, [files.PLATE, "missing.1", "odd{name}", "../x", "*"])
     assert {r[0] for r in found.documents["analysis_protocol"].select("bundle_fqid").collect()} == {files.PLATE}
     assert found.genes.count() == 4 and found.calls.isEmpty() and found.chunks.isEmpty()
     nothing = read_bundles(spark, root, ["missing.1"])
     assert nothing.manifests.isEmpty() and nothing.genes.isEmpty() and nothing.axis.isEmpty()
 
 
+def test_names_are_taken_as_they_are(spark, tmp_path):
+    for name in ("odd{a,b}.1", "odd[x]*.1", "odd a.1"):
+        files.write_plate(tmp_path, name, "x")
+    found = read_bundles(spark, str(tmp_path), ["odd{a,b}.1", "odd[x]*.1"])
+    assert {r[0] for r in found.documents["analysis_protocol"].select("bundle_fqid").collect()} == {"odd{a,b}.1", "odd[x]*.1"}
+
+
 def test_empty_tables(spark):
     assert {name: frame.schema for name, frame in empty_tables(spark).items()} == WAREHOUSE
 
