@@ -5,13 +5,14 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 
 import numpy as np
 
-#: Letters, then other characters that are neither letters, digits, white space nor an apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*#%&$()\[\]{}<>/|+=_\-]*)")
+#: Neither letters, digits, white space nor apostrophes: they follow a word as one part of their own.
+_MARKS = ".,;:!?*#%&$()[]{}<>/|+=_-"
+#: Letters from here on are left to the tokenizer.
+_BEYOND = "\u0250"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
@@ -26,7 +27,7 @@ class Encoder:
     So a text is cut there, and the ids of a piece are kept in a memo of bounded size for the next time. Other tokenizers, and texts with the string of an added token, are encoded whole.
     """
 
-    def __init__(self, path: str, memo_entries: int = 300_000) -> None:
+    def __init__(self, path: str, memo_entries: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -42,11 +43,11 @@ class Encoder:
         others = [b for b in range(256) if b not in printable]
         of_byte = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
         self._space = of_byte[32]
-        self._letters = {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self._letters = {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(0x80, ord(_BEYOND))}
         self._marks: dict[str, bytes] = {}
         self._direct = self.byte_level
-        self._direct = self.byte_level and self._piece("Ñandú,;") == self._library(" Ñandú,;")
         self._memo = _Memo(self, memo_entries)
+        self._direct = self.byte_level and self._piece("Ñandú,;") == self._library(" Ñandú,;")
 
     @property
     def id_bytes(self) -> int:
@@ -77,7 +78,7 @@ class Encoder:
         try:
             if rest and (not first or first[-1].isspace()):
                 raise _Loose
-            return self._library(first) + b"".join([memo[p] for p in rest])
+            return self._library(first) + b"".join(map(memo.__getitem__, rest))
         except _Loose:
             return self._merged(text)
 
@@ -95,21 +96,21 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a space and ``piece``; a plain word needs no splitting by the tokenizer."""
-        found = _PLAIN.fullmatch(piece) if self._direct else None
-        if not found or not piece:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                raise _Loose
-            return self._library(" " + piece)
-        word, marks = found.groups()
-        if not word:
-            return self._model_ids(self._space + marks)
-        ids = self._model_ids(self._space + (word if word.isascii() else word.translate(self._letters)))
-        if marks:
+        """Ids of a space and ``piece``; a plain word, with or without marks behind it, needs no splitting."""
+        word = piece.rstrip(_MARKS)
+        if self._direct and word.isalpha() and (word.isascii() or max(word) < _BEYOND):
+            ids = self._memo.get(word) if len(word) < len(piece) else None
+            if ids is None:
+                ids = self._model_ids(self._space + (word if word.isascii() else word.translate(self._letters)))
+            if len(word) == len(piece):
+                return ids
+            marks = piece[len(word) :]
             if marks not in self._marks:
                 self._marks[marks] = self._model_ids(marks)
             return ids + self._marks[marks]
-        return ids
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Loose
+        return self._library(" " + piece)
 
     def _model_ids(self, letters: str) -> bytes:
         ids = [t.id for t in self._model.tokenize(letters)]
