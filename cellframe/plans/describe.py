@@ -87,53 +87,26 @@ def _coverage(chain: DataFrame, fields: list[Field]) -> DataFrame:
 
 
 def _description(chain: DataFrame, catalog: StarCatalog, fields: list[Field]) -> DataFrame:
-    numeric = [f for f in fields if f.kind == "numeric"]
-    categorical = [f for f in fields if f.kind == "categorical"]
-    parts = [_categorical(chain, catalog, categorical)] if categorical else []
-    return concat(*parts, *([_numeric(chain, numeric)] if numeric else []))
-
-
-def _categorical(chain: DataFrame, catalog: StarCatalog, fields: list[Field]) -> DataFrame:
-    pairs = F.array(
-        *(
-            F.struct(
-                F.lit(f.name).alias("field"),
-                category(F.col(f"{f.table}.{f.column}"), catalog.data_type(f.table, f.column)).alias("value"),
-            )
-            for f in fields
-        )
-    )
-    return (
-        chain.select(F.inline(pairs))
-        .groupBy("field", "value")
-        .agg(F.count(F.lit(1)).alias("cells"))
-        .select(
-            "field",
-            F.lit("categorical").alias("kind"),
-            "value",
-            "cells",
-            F.lit(None).cast("double").alias("minimum"),
-            F.lit(None).cast("double").alias("maximum"),
-        )
-    )
+    """Categories with their cells and ranges of numbers, in one pass: every cell gives a row per field.
 
+    The rows of a numeric field are one group, which each task reduces to a row before anything is shuffled. An empty
+    row for each of these fields is put beside them, so that they are described where there are no cells, too.
+    """
 
-def _numeric(chain: DataFrame, fields: list[Field]) -> DataFrame:
-    aggregates = []
-    for i, f in enumerate(fields):
+    def entry(f: Field) -> Column:
         column = F.col(f"{f.table}.{f.column}")
-        aggregates += [F.min(column).alias(f"low{i}"), F.max(column).alias(f"high{i}")]
-    rows = F.array(
-        *(
-            F.struct(
-                F.lit(f.name).alias("field"),
-                F.lit("numeric").alias("kind"),
-                F.lit(None).cast("string").alias("value"),
-                F.lit(None).cast("long").alias("cells"),
-                F.col(f"low{i}").cast("double").alias("minimum"),
-                F.col(f"high{i}").cast("double").alias("maximum"),
-            )
-            for i, f in enumerate(fields)
-        )
+        numeric = f.kind == "numeric"
+        value = F.lit(None).cast("string") if numeric else category(column, catalog.data_type(f.table, f.column))
+        number = column.cast("double") if numeric else F.lit(None).cast("double")
+        return F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), value.alias("value"), number.alias("number"))
+
+    described = [f for f in fields if f.kind in ("numeric", "categorical")]
+    numeric = [(f.name, f.kind, None, None) for f in described if f.kind == "numeric"]
+    rows = chain.select(F.inline(F.array(*map(entry, described))))
+    if numeric:
+        rows = rows.union(chain.sparkSession.createDataFrame(numeric, "field string, kind string, value string, number double"))
+    grouped = rows.groupBy("field", "kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("number").alias("minimum"), F.max("number").alias("maximum")
     )
-    return chain.agg(*aggregates).select(F.inline(rows))
+    cells = F.when(F.col("kind") == "categorical", F.col("n"))
+    return grouped.select("field", "kind", "value", cells.alias("cells"), "minimum", "maximum")
