@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cellframe import fixed
 from cellframe.operators.keyed import latest
@@ -17,6 +17,7 @@ from cellframe.retail.registry import query
 from cellframe.session import scratch_dir
 from cellframe.sinks.matrix import MatrixExport
 from cellframe.sinks.staged import append_staged, store_result, write_per_bundle
+from cellframe.sources import annotation
 from cellframe.sources.results import (
     read_bundle_list,
     read_cell_result,
@@ -211,6 +212,30 @@ def empty_export(spark: SparkSession, folder: str) -> DataFrame:
     return orders.withColumn("lines", F.lit(lines).cast("int"))
 
 
+@query(
+    """select p_partkey::varchar || case when p_size % 2 = 0 then '_PAR_Y' else '' end as featurekey, p_name as featurename,
+    p_type as featuretype, p_brand as chromosome, p_size as featurestart, p_size + 1 as featureend, p_size > 25 as isgene,
+    'Homo sapiens' as genus_species from part where p_size % 7 <> 0"""
+)
+def gtf_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts written as annotation lines (large ones genes, others transcripts, some exons) and read back as features."""
+    kind = F.when(F.col("p_size") % 7 == 0, "exon").when(F.col("p_size") > 25, "gene").otherwise("transcript")
+    mark = F.when(F.col("p_size") % 2 == 0, fixed.PAR_Y_SUFFIX).otherwise("")
+    pair = lambda name, value: F.concat(F.lit(f'{name} "'), value, F.lit('"; '))
+    identity = F.concat(F.col("p_partkey").cast("string"), F.lit(".3"), mark)
+
+    def described(record: str) -> Column:
+        return F.concat(pair(f"{record}_id", identity), pair(f"{record}_name", F.col("p_name")), pair(f"{record}_type", F.col("p_type")))
+
+    attributes = F.when(kind == "gene", described("gene")).otherwise(F.concat(pair("gene_id", F.lit("G.1")), described("transcript")))
+    start = F.col("p_size").cast("string")
+    line = F.concat_ws("\t", "p_brand", F.lit("x"), kind, start, (F.col("p_size") + 1).cast("string"), F.lit("."), F.lit("+"), F.lit("."), attributes)
+    path = _place(spark, "annotation")
+    lines = read(spark, folder, "part").select(line.alias("value"))
+    lines.union(lines).union(lines.limit(1).select(F.lit("##comment"))).write.text(path)
+    return annotation.features(annotation.read_annotation(spark, {fixed.HUMAN: path}))
+
+
 def _warehouse(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Order tables as warehouse tables: customers are analyses, orders cells, line items values."""
     text = lambda name: F.col(name).cast("string")
