@@ -120,10 +120,18 @@ class MatrixRequest:
         The keys of the selected cells are written first. Their size is then known when the join with the values
         is planned: a small selection is broadcast and the values, by far the largest table, are not shuffled.
         """
+        return self._values_of(self._selected())
+
+    def _selected(self, *columns: Column) -> DataFrame:
+        """``cellkey`` of the cells whose values are asked for, and ``columns``, written once."""
         catalog = self.catalog
         dimensions = None if self.bundles is None else catalog.bundle_dimensions
         chain = self._narrow(inner_chain(catalog, self.tables, dimensions))
-        selected = durable(chain.select(F.col(f"{catalog.root}.{catalog.root_key}").alias("cellkey")), "selected")
+        return durable(chain.select(F.col(f"{catalog.root}.{catalog.root_key}").alias("cellkey"), *columns), "selected")
+
+    def _values_of(self, selected: DataFrame) -> DataFrame:
+        """Values of the selected cells with what ``selected`` says about them: one scan of the values."""
+        catalog = self.catalog
         kept = (
             self.tables[catalog.features]
             .alias(catalog.features)
@@ -141,7 +149,7 @@ class MatrixRequest:
             )
             .join(kept, "featurekey")
             .join(selected, "cellkey")
-            .select("cellkey", "featurekey", "exprvalue")
+            .select("cellkey", "featurekey", "exprvalue", *(c for c in selected.columns if c != "cellkey"))
         )
 
     def features(self) -> DataFrame:
@@ -205,6 +213,13 @@ def fan_out_cells(request: MatrixRequest) -> DataFrame:
     return tagged if any(s.output == output for s in asked) else tagged.drop(output)
 
 
+def fan_out_expression(request: MatrixRequest) -> DataFrame:
+    """The values of every fanned-out request in one scan, told apart by a ``species`` column."""
+    table, column = request.catalog.locate(request.catalog.species_field)
+    selected = request._selected(F.col(f"{table}.{column}").alias("species"))
+    return request._values_of(selected.filter(F.col("species").isin(*fan_out(request))))
+
+
 def bundle_request(
     catalog: StarCatalog, tables: Tables, bundles: DataFrame, fields: Iterable[str] | None = None, check: bool = True
 ) -> dict[str, MatrixRequest]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,9 +12,12 @@ from cellframe.operators.reshape import cells_with_values, cells_without_values
 from cellframe.operators.star import inner_chain
 from cellframe.plans import audits
 from cellframe.plans.describe import category, describe_all, describe_field, field_coverage
-from cellframe.plans.request import MatrixRequest, bundle_request, fan_out_cells
+from cellframe.plans.request import MatrixRequest, bundle_request, fan_out_cells, fan_out_expression
+from cellframe.plans.runs import run_request
 from cellframe.retail.catalog import RETAIL_CATALOG, read, retail_tables
 from cellframe.retail.registry import query
+from cellframe.schemas import REQUEST_LOG
+from cellframe.session import scratch_dir
 
 # Joins of the catalogue, as SQL.
 SNOW = """orders
@@ -125,6 +130,17 @@ def filter_default_species(spark: SparkSession, folder: str) -> DataFrame:
     return fan_out_cells(_request(spark, folder, plain, fields=("order_total", "segment")))
 
 
+@query(
+    f"""select l_orderkey as cellkey, l_partkey as featurekey, l_quantity as exprvalue, c_mktsegment as species
+    from lineitem join (select o_orderkey, c_mktsegment from {INNER_SNOW} where o_totalprice >= 100000
+      and not (c_mktsegment = 'BUILDING') and c_mktsegment in ('FURNITURE', 'MACHINERY')) on l_orderkey = o_orderkey
+    join part on l_partkey = p_partkey where p_size > 25 and l_returnflag = 'N'"""
+)
+def fan_out_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of both species that a filter lets through, in one scan."""
+    return fan_out_expression(_request(spark, folder, SPECIES_FILTER))
+
+
 def _features_sql(flag: str) -> str:
     return f"""select p_partkey as featurekey, p_name, p_brand, p_type, p_size, p_retailprice, p_size > 25 as isgene
     from part where {flag} and p_type = 'ECONOMY'"""
@@ -360,11 +376,29 @@ def project_counts(spark: SparkSession, folder: str) -> DataFrame:
     return chain.groupBy(F.col("nation.n_name").alias("nation")).agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query(
-    f"""select md5('gene|loom|order_total|' || count(*)::varchar || '|' ||
+FINGERPRINT_SQL = f"""select md5('gene|loom|order_total|' || count(*)::varchar || '|' ||
       coalesce(sum(('0x' || substr(md5(o_orderkey::varchar), 1, 16))::hugeint), 0)::varchar || '|' ||
       coalesce(sum(('0x' || substr(md5(o_orderkey::varchar), 17, 16))::hugeint), 0)::varchar) as fingerprint,
       count(*)::bigint as cells from {SNOW} where {NESTED_SQL}"""
-)
+
+
+@query(FINGERPRINT_SQL)
 def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return _request(spark, folder, NESTED, fields=("order_total",)).fingerprint()
+
+
+@query(f"select *, unnest([false, true]) as reused from ({FINGERPRINT_SQL})")
+def request_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    """A request run twice: exported the first time, and found by its fingerprint the second."""
+    root = os.path.join(scratch_dir(spark), f"results-{uuid.uuid4().hex}")
+    request = _request(spark, folder, NESTED, fields=("order_total",))
+    parts = request.tables["part"].withColumn("featurename", F.col("p_name"))
+    request = replace(request, tables={**request.tables, "part": parts})
+    log, results = spark.createDataFrame([], REQUEST_LOG), spark.createDataFrame([], "result_key string")
+    first = run_request(request, root, 1, "r1", log, results, on_duplicate="sum")
+    logged = {f.name: None for f in REQUEST_LOG.fields} | {"request_id": "r1", "request_hash": first.fingerprint, "data_version": 1, "format": request.format}
+    stored = spark.read.parquet(os.path.join(root, first.result_key, "attrs"))
+    results = stored.select(F.lit(first.result_key).alias("result_key"))
+    second = run_request(request, root, 1, "r2", spark.createDataFrame([logged], REQUEST_LOG), results, on_duplicate="sum")
+    assert second.result_key == first.result_key
+    return spark.createDataFrame([(r.fingerprint, r.cells, r.reused) for r in (first, second)], "fingerprint string, cells long, reused boolean")
