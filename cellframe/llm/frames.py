@@ -21,6 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def quoted(names: Sequence[str]) -> list[Column]:
+    """Columns of these very names, whatever characters they have."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -88,8 +93,9 @@ def annotated(
     """
     made = StructType.fromDDL(columns)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made.names]
-    rows = docs.select(*kept, F.col(text).alias("text!"))
-    schema = StructType([*(rows.schema[c] for c in kept), *made.fields])
+    rows = docs.select(*quoted(kept), F.col(text).alias("text!"))
+    schema = StructType([*rows.schema.fields[: len(kept)], *made.fields])
+    plain = rows.toDF(*(f"c{i}" for i in range(len(kept) + 1)))  # mapInArrow looks columns up by name, dots and all
     types = [to_arrow_type(f.dataType) for f in made.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,4 +107,4 @@ def annotated(
                 out = pa.RecordBatch.from_arrays(arrays, names=[*kept, *made.names])
                 yield out.filter(out.column(out.schema.get_field_index(only))) if only else out
 
-    return rows.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cellframe.llm.frames import WORD, table, word_count
+from cellframe.llm.frames import WORD, quoted, table, word_count
 from cellframe.llm.registry import query
 from cellframe.session import durable
 
@@ -90,7 +90,7 @@ def mix(
     """
     results = ("source_size", "target", "copies", "part", "taken")
     rows = rows.drop(*(prefix + name for name in results))
-    kept = [F.col(f"`{c}`") for c in rows.columns]
+    kept = quoted(rows.columns)
     words = F.coalesce(F.col(size), F.lit(0)).cast("long")
     sizes = rows.groupBy(source).agg(F.sum(words).alias("source_size"))
     sources = source_targets(sizes, source, weights, share).withColumn("blocks!", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cellframe.llm.frames import table
+from cellframe.llm.frames import quoted, table
 from cellframe.llm.registry import query
 from cellframe.session import durable
 
@@ -93,7 +93,7 @@ def shard_by_size(
     held = held.select("range!", "part!", "shard", F.coalesce(first, F.lit(0)).alias("first!"))
     place = F.row_number().over(Window.partitionBy("range!", "part!").orderBy(key, tie)) - 1
     numbered = units.withColumn("slot!", place).join(F.broadcast(held), ["range!", "part!"])
-    return numbered.select(*rows.columns, "shard", (F.col("first!") + F.col("slot!")).cast("long").alias("slot"))
+    return numbered.select(*quoted(rows.columns), "shard", (F.col("first!") + F.col("slot!")).cast("long").alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

@@ -39,7 +39,7 @@ def odd_documents(spark):
         (8, "naïve Äpfel 中文 😀 don't  two  spaces\r\n", "de", "b"),
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    for name in ("score", "kept", "fp", "n", "size", "taken", "shard", "ids", "id", "h", "part", "target", "root", "b"):
+    for name in ("score", "kept", "fp", "n", "size", "taken", "shard", "ids", "id", "h", "part", "target", "root", "b", "doc.id", "a b"):
         frame = frame.selectExpr("*", f"'x' as `{name}`")
     return frame.cache()
 
