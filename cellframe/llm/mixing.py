@@ -122,9 +122,15 @@ def mix(
     return started.select(*kept, *(c.alias(prefix + name) for c, name in zip(found, results)))
 
 
-def mixed_documents(mixed: DataFrame, text: str = "text", size: str = "size", prefix: str = "") -> DataFrame:
-    """A row for each time that a document of :func:`mix` is taken, its text cut after the last word taken."""
+def mixed_documents(mixed: DataFrame, text: str = "text", size: str = "size", prefix: str = "", whole: bool = False) -> DataFrame:
+    """A row for each time that a document of :func:`mix` is taken, its text cut after the last word taken.
+
+    With ``whole`` no text is cut: a document of which at least half the words are taken once more is taken once more
+    as a whole, and one of which fewer are is not.
+    """
     copies, part = F.col(prefix + "copies").cast("int"), F.col(prefix + "part")
+    if whole:
+        return mixed.withColumn(text, F.explode(F.array_repeat(F.col(text), copies + ((part > 0) & (2 * part >= F.col(size))).cast("int"))))
     begun = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     none = F.array().cast("array<string>")
     last = F.when(part <= 0, none).when(part >= F.col(size), F.array(text)).otherwise(F.array(F.array_join(F.slice(begun, 1, part.cast("int")), "")))

@@ -76,3 +76,13 @@ def test_query_equals_sql(spark):
     import check_queries
 
     assert check_queries.compare(spark, check_queries.connect(SF), SF, "op2_mixture")[0] == "ok"
+
+
+def test_the_stage_cuts_no_document(spark, documents):
+    import corpus_pipeline
+
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    taken = corpus_pipeline.mixture(spark, documents, SF).collect()
+    assert all(r["text"] == texts[r["doc_id"]] for r in taken)
+    small = spark.createDataFrame([(1, 0, 3), (2, 0, 2), (3, 2, 1), (4, 1, 0), (5, 0, 4)], "doc_id long, copies long, part long").withColumn("size", F.lit(4)).withColumn("text", F.lit("a b c d"))
+    assert sorted(r["doc_id"] for r in mixed_documents(small, whole=True).collect()) == [1, 2, 3, 3, 4, 5]
