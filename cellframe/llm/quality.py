@@ -96,7 +96,10 @@ def _repeated(ids: np.ndarray, distinct: int) -> int:
 
 @dataclass(frozen=True)
 class Trees:
-    """All nodes of all trees side by side: rows go left while ``feature`` <= ``cut``; a leaf points at itself."""
+    """All nodes of all trees side by side: rows go left while ``feature`` <= ``cut``; a leaf points at itself.
+
+    ``taught`` is false where there was no row to learn from.
+    """
 
     feature: np.ndarray
     cut: np.ndarray
@@ -106,6 +109,7 @@ class Trees:
     roots: np.ndarray
     depth: int
     base: float
+    taught: bool = True
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         """Chance of good quality, one for each row of ``features``."""
@@ -133,7 +137,7 @@ def fit_trees(
     base = float(np.log(rate_good / (1 - rate_good)))
     if rows == 0 or good.min() == good.max():
         one = np.zeros(1)
-        return Trees(one.astype(int), one, one.astype(int), one.astype(int), one, one.astype(int), 0, base)
+        return Trees(one.astype(int), one, one.astype(int), one.astype(int), one, one.astype(int), 0, base, rows > 0)
     cuts = [np.unique(np.quantile(f, np.linspace(0, 1, bins + 1)[1:-1])) for f in features.T]
     binned = np.stack([np.searchsorted(c, f, side="left") for c, f in zip(cuts, features.T)], axis=1)
     nodes: list[list[float]] = []  # feature, cut, left, right, value
@@ -190,11 +194,13 @@ def fit_trees(
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = 20_000) -> Trees:
-    """Trees fitted to at most ``most_rows`` labelled ids, those with the smallest hash; labels that are null don't count.
+    """Trees fitted to at most ``most_rows`` labelled ids, those with the smallest hash; labels that are null, or of no
+    document, don't count.
 
     Ids labelled twice, or on several documents, count each time, within that number of rows.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("double").alias("good"))
+    known = known.join(docs.select(F.col(id).alias("id")), "id", "left_semi")
     drawn = known.orderBy(F.xxhash64("id", F.lit("quality")), "id", "good").limit(most_rows)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
     described = annotated(rows, "text", "features array<double>", lambda texts: {"features": [statistics(t)[1] for t in texts]}, keep=["id", "good"])
@@ -213,7 +219,8 @@ def with_quality(
     prefix: str = "",
 ) -> DataFrame:
     """``docs`` with ``STATISTICS``, ``score``, ``base_failed`` (fewer than 50 words, or over half of them in repeated
-    windows of three) and ``kept``: not failed, and a score of at least ``threshold``.
+    windows of three) and ``kept``: not failed, and a score of at least ``threshold``. With trees that no label taught,
+    documents are kept that have not failed, whatever the score.
 
     Null and empty texts fail. Rows are judged one by one, so repeated rows agree; other columns are handed on (those
     named in ``keep``, or all), and columns of ``docs`` with the names of the results, before which ``prefix`` is put,
@@ -226,7 +233,7 @@ def with_quality(
         score = trees.scores(np.array([f[1] for f in found]).reshape(-1, len(FEATURES)))
         failed = (counted[:, 0] < 50) | (100 * counted[:, 4] > 50 * counted[:, 0])
         columns = dict(zip(STATISTICS, counted.T))
-        columns |= {"score": score, "base_failed": failed, "kept": ~failed & (score >= threshold)}
+        columns |= {"score": score, "base_failed": failed, "kept": ~failed & ((score >= threshold) | (not trees.taught))}
         return {prefix + name: column for name, column in columns.items()}
 
     kinds = dict.fromkeys(STATISTICS, "long") | {"score": "double", "base_failed": "boolean", "kept": "boolean"}

@@ -72,3 +72,19 @@ def test_junk_goes_and_clean_documents_stay(spark, documents):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     judged = [(labels[i], r["kept"]) for i, r in found.items() if i in labels and not r["base_failed"]]
     assert sum(bool(good) == kept for good, kept in judged) / len(judged) > 0.97
+
+
+def test_without_usable_labels_the_base_rules_decide(spark, documents):
+    kind = "doc_id long, quality int"
+    first = documents.first()["doc_id"]
+    for labels in ([], [(first, None), (None, 1)], [(-5, 1), (-6, 0)]):
+        trees = fit_quality(documents, spark.createDataFrame(labels, kind))
+        found = rows(with_quality(documents, trees, keep=["doc_id"]))
+        assert all(r["kept"] != r["base_failed"] for r in found) and any(r["kept"] for r in found)
+
+
+def test_labels_of_no_document_leave_room_for_the_others(spark, documents):
+    usable = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").filter("quality is not null")
+    strange = spark.range(10**12, 10**12 + 2000).selectExpr("id as doc_id", "1 as quality")
+    alone, among = (fit_quality(documents, f, most_rows=200) for f in (usable, usable.unionByName(strange)))
+    assert (alone.cut == among.cut).all() and (alone.value == among.value).all()
