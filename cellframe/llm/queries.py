@@ -6,7 +6,8 @@ import importlib
 
 from cellframe.llm.registry import QUERIES, SQL, Query
 
-_MODULES = ("token_files", "mixing", "langid", "attribution", "packing", "topk", "quality", "simhash", "sharding", "warc")
+_MODULES = ("token_files", "mixing", "langid", "attribution", "packing", "topk", "quality", "simhash", "sharding", "warc",
+            "divergence", "repeats", "urls")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
