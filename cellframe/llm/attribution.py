@@ -117,6 +117,7 @@ def attributed(
                     arrays = [pa.array(x, t) for x, t in zip(out, kinds)]
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
                     out = [[] for _ in range(7)]
+        coder.forget()
 
     names = ["doc_id", "section", "name", "char_start", "char_end", "n_tokens", "n_shared"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]

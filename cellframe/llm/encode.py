@@ -24,10 +24,11 @@ class Encoder:
     """Ids of a text, exactly those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A byte-level tokenizer of this kind never joins two words over a single space that has no white space beside it.
-    So a text is cut there, and the ids of a piece are kept in a memo of bounded size for the next time. Other tokenizers, and texts with the string of an added token, are encoded whole.
+    So a text is cut there, and the ids of a piece are kept for the next time, in a memo of bounded size (about 80 MB) that
+    :meth:`forget` empties at the end of a task. Other tokenizers, and texts with the string of an added token, are encoded whole.
     """
 
-    def __init__(self, path: str, memo_entries: int = 400_000) -> None:
+    def __init__(self, path: str, memo_entries: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,7 +48,8 @@ class Encoder:
         self._marks: dict[str, bytes] = {}
         self._direct = self.byte_level
         self._memo = _Memo(self, memo_entries)
-        self._direct = self.byte_level and self._piece("Ñandú,;") == self._library(" Ñandú,;")
+        self._line_feed = self._library("\n")
+        self._direct = self.byte_level and len(self._line_feed) == 4 and self._piece("Ñandú,;") == self._library(" Ñandú,;")
 
     @property
     def id_bytes(self) -> int:
@@ -67,6 +69,10 @@ class Encoder:
         found = self._tokenizer.encode(text, add_special_tokens=False)
         return np.array(found.ids, "<u4"), np.array(found.offsets, np.int64).reshape(-1, 2)
 
+    def forget(self) -> None:
+        """Give the memo's room back, so that a worker that waits for its next task holds none."""
+        self._memo.forget()
+
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null or empty text."""
         if not text:
@@ -78,7 +84,9 @@ class Encoder:
         try:
             if rest and (not first or first[-1].isspace()):
                 raise _Loose
-            return self._library(first) + b"".join(map(memo.__getitem__, rest))
+            # the start of a text is a line's start without the line feed before it
+            begun = memo["\n" + first][4:] if first else b""
+            return begun + b"".join(map(memo.__getitem__, rest))
         except _Loose:
             return self._merged(text)
 
@@ -96,29 +104,46 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a space and ``piece``; a plain word, with or without marks behind it, needs no splitting."""
+        """Ids of a space and ``piece``, or of a piece that begins with a line feed.
+
+        A plain word, with or without marks behind it, needs no splitting, and a line feed between two characters that
+        are no white space is a part of its own.
+        """
+        if "\n" in piece and self._direct and not any(not p or p[0].isspace() or p[-1].isspace() for p in piece.removeprefix("\n").split("\n")):
+            first, *lines = piece.split("\n")
+            if first or len(lines) > 1:
+                return (self._memo[first] if first else b"") + b"".join([self._memo["\n" + line] for line in lines])
+            word = lines[0].rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or max(word) < _BEYOND):
+                return self._line_feed + self._model_ids(word if word.isascii() else word.translate(self._letters)) + self._mark_ids(lines[0][len(word) :])
+            return self._library(piece)
         word = piece.rstrip(_MARKS)
         if self._direct and word.isalpha() and (word.isascii() or max(word) < _BEYOND):
-            ids = self._memo.get(word) if len(word) < len(piece) else None
-            if ids is None:
-                ids = self._model_ids(self._space + (word if word.isascii() else word.translate(self._letters)))
             if len(word) == len(piece):
-                return ids
-            marks = piece[len(word) :]
-            if marks not in self._marks:
-                self._marks[marks] = self._model_ids(marks)
-            return ids + self._marks[marks]
+                return self._model_ids(self._space + (word if word.isascii() else word.translate(self._letters)))
+            return self._memo[word] + self._mark_ids(piece[len(word) :])
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Loose
         return self._library(" " + piece)
 
+    def _mark_ids(self, marks: str) -> bytes:
+        """Ids of marks behind a word; short ones are kept, of which there are not many."""
+        if not marks:
+            return b""
+        ids = self._marks.get(marks)
+        if ids is None:
+            ids = self._model_ids(marks)
+            if len(marks) <= 2:
+                self._marks[marks] = ids
+        return ids
+
     def _model_ids(self, letters: str) -> bytes:
         ids = [t.id for t in self._model.tokenize(letters)]
         return _PACK[len(ids)](*ids) if len(ids) < 16 else np.array(ids, "<u4").tobytes()
 
 
 class _Memo(dict):
-    """The pieces of two spans of time, each of at most ``entries`` pieces; those still in use live on."""
+    """The pieces of two spans of at most ``entries`` pieces each; those still in use live on."""
 
     def __init__(self, encoder: Encoder, entries: int) -> None:
         self._encode, self._entries, self._older = encoder._piece, entries, {}
@@ -133,6 +158,10 @@ class _Memo(dict):
         self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self._older = {}
+        self.clear()
+
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:

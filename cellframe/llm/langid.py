@@ -81,18 +81,18 @@ class Profiles:
 
 
 def fit_profiles(
-    docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", length: int = 400, docs_per_language: int = 4000, most_languages: int = 1000
+    docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", length: int = 400, docs_per_language: int = 4000
 ) -> Profiles:
     """Profiles from about ``docs_per_language`` documents of each language (all, where it has fewer), drawn by a hash of
-    the id and text. Rows without a language or text teach nothing. Each n-gram counts as often as it occurs.
+    the id and the text. Rows without a language or text teach nothing, repeated rows are drawn together. Each n-gram
+    counts as often as it occurs, ties go to the smaller code. An empty table teaches no language. The profiles have
+    ``length`` entries for each language, whatever the number of documents.
     """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.length(text), F.lit("profiles")).alias("h")
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text), F.lit("profiles")).alias("h")
     )
     share = durable(known.groupBy("lang").agg((docs_per_language / F.count(F.lit(1))).alias("share")), "languages")
-    if share.count() > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    drawn = known.join(F.broadcast(share), "lang").filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("share"))
+    drawn = known.join(share, "lang").filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("share"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, Counter] = {}
@@ -116,10 +116,10 @@ def fit_profiles(
     sums = rows.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
     best = sums.withColumn("rank", rank).filter(F.col("rank") < length).select("lang", "code", "rank")
-    found = best.collect()  # at most ``length`` rows for each of ``most_languages``
+    found = best.collect()  # at most ``length`` rows for each language
     languages = tuple(sorted({r["lang"] for r in found}))
     codes = np.unique(np.array([r["code"] for r in found], np.int64)).astype(np.uint64)
-    ranks = np.full((len(codes), len(languages)), length, np.int64)
+    ranks = np.full((len(codes), len(languages)), length, np.int16 if length < 1 << 15 else np.int32)
     for r in found:
         ranks[np.searchsorted(codes, np.uint64(r["code"])), languages.index(r["lang"])] = r["rank"]
     return Profiles(languages, codes, ranks, length)

@@ -23,18 +23,27 @@ _MAX_REPEATS = 2
 def apportion(parties: DataFrame, by: Sequence[str], key: str, votes: str, seats: str, cap: str, into: str) -> DataFrame:
     """``parties`` with their share of ``seats`` (one number in each group of ``by``) by highest quotients votes/(2k+1).
 
-    Ties go to the smaller ``key``, which is unique in its group. No party gets more than ``cap``. Only quotients that
-    the divisor bounds leave open are ranked, about two for each party, so seats are never enumerated.
+    Ties go to the smaller ``key``, which is unique in its group. No party gets more than ``cap``; what it leaves goes to
+    the next quotients, and seats stay empty only when every party with votes is at its cap. Only quotients that bounds
+    leave open are ranked, a few for each party, so seats are never enumerated.
     """
     group = Window.partitionBy(*by)
     half = F.count(F.lit(1)).over(group) / 2
-    all_votes = F.sum(F.col(votes).cast("double")).over(group)
-
-    def rounded(total):
-        return F.floor(F.when(all_votes > 0, F.col(votes) * total / all_votes).otherwise(0.0) + 0.5)
-
-    sure = F.least(F.col(cap), F.greatest(F.lit(0), rounded(F.col(seats) - half)))
-    most = F.least(F.col(cap), F.when(F.col(votes) > 0, rounded(F.col(seats) + half) + 1).otherwise(0))
+    weight = F.col(votes).cast("double")
+    by_cap = Window.partitionBy(*by).orderBy(F.when(weight > 0, F.col(cap) / weight).asc_nulls_last(), key)
+    spent = F.coalesce(F.sum(F.when(weight > 0, F.col(cap))).over(by_cap.rowsBetween(*_FIRST)), F.lit(0))
+    rest = F.sum(weight).over(by_cap.rowsBetween(0, Window.unboundedFollowing))
+
+    def level(seats_in_all):
+        """Seats per vote that the parties below their caps can have, were seats no whole numbers."""
+        return F.when(rest > 0, (seats_in_all - spent) / rest)
+
+    leveled = parties.withColumn("low!", level(F.col(seats) - half)).withColumn("high!", level(F.col(seats) + half))
+    leveled = leveled.withColumn("low!", F.max("low!").over(group)).withColumn("high!", F.max("high!").over(group))
+    sure = F.least(F.col(cap), F.greatest(F.lit(0), F.floor(weight * F.col("low!") - 0.5)))
+    most = F.least(F.col(cap), F.greatest(F.lit(0), F.floor(weight * F.col("high!") + 2.5)))
+    sure, most = (F.when(weight > 0, x).otherwise(0) for x in (sure, most))
+    parties = leveled
     bounded = parties.withColumn("sure!", sure.cast("long")).withColumn("most!", most.cast("long"))
     bounded = bounded.withColumn("open!", F.col(seats) - F.sum("sure!").over(group))
     wanted = bounded.filter(F.col("most!") > F.col("sure!")).select(
@@ -44,7 +53,7 @@ def apportion(parties: DataFrame, by: Sequence[str], key: str, votes: str, seats
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(quotient.desc(), key, "k!"))
     won = wanted.withColumn("rank!", rank).filter(F.col("rank!") <= F.col("open!")).groupBy(*by, key).agg(F.count(F.lit(1)).alias("won!"))
     quota = F.col("sure!") + F.coalesce(F.col("won!"), F.lit(0))
-    return bounded.join(won, [*by, key], "left").withColumn(into, quota).drop("sure!", "most!", "open!", "won!")
+    return bounded.join(won, [*by, key], "left").withColumn(into, quota).drop("low!", "high!", "sure!", "most!", "open!", "won!")
 
 
 def source_targets(sizes: DataFrame, source: str, weights: Sequence[float], share: float) -> DataFrame:
@@ -106,17 +115,18 @@ def mix(
     placed = (
         rows.join(quotas, F.col(source).eqNullSafe(F.col("source!")))
         .withColumn("order!", order)
-        .withColumn("shard!", F.conv(F.substring("order!", 1, 8), 16, 10).cast("long") % F.col("shards!"))
+        # rows that are never taken need no order: each task's own are a group
+        .withColumn("shard!", F.when(words > 0, F.conv(F.substring("order!", 1, 8), 16, 10).cast("long") % F.col("shards!")).otherwise(-1 - F.spark_partition_id()))
     )
-    shards = placed.groupBy("src!", "shard!", "source_quota!").agg(F.sum(words).alias("shard_size!"))
+    shards = placed.filter(words > 0).groupBy("src!", "shard!", "source_quota!").agg(F.sum(words).alias("shard_size!"))
     shards = shards.withColumn("cap!", F.ceil(F.col("shard_size!") * _MAX_REPEATS / block_words))
     shards = apportion(shards, ["src!"], "shard!", "shard_size!", "source_quota!", "cap!", "quota!")
     budget = F.least(F.col("quota!") * block_words, F.col("shard_size!") * _MAX_REPEATS)
     rounds = F.when(F.col("shard_size!") > 0, F.floor(budget / F.col("shard_size!"))).otherwise(0).cast("long")
     shards = durable(shards.select("src!", "shard!", rounds.alias("copies!"), (budget - rounds * F.col("shard_size!")).alias("rest!")), "shard-quotas")
     inside = Window.partitionBy("src!", "shard!").orderBy("order!", id, size).rowsBetween(*_FIRST)
-    started = placed.withColumn("start!", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(shards, ["src!", "shard!"])
-    part = F.least(F.greatest(F.col("rest!") - F.col("start!"), F.lit(0)), words)
+    started = placed.withColumn("start!", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(shards, ["src!", "shard!"], "left")
+    part = F.coalesce(F.least(F.greatest(F.col("rest!") - F.col("start!"), F.lit(0)), words), F.lit(0))
     copies = F.when(words > 0, F.col("copies!")).otherwise(0)
     found = (F.col("source_size!"), F.col("target!"), copies, part, copies * words + part)
     return started.select(*kept, *(c.alias(prefix + name) for c, name in zip(found, results)))

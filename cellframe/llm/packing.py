@@ -51,6 +51,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id: str, text:
                      pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32())],
                     names=["id", "source", "task", "inside", "n", "ids", "width"],
                 )
+        coder.forget()
 
     return rows.mapInArrow(encode, "id long, source string, task long, inside long, n long, ids binary, width int")
 
@@ -72,7 +73,7 @@ def pack(
 
     ``targets`` gives sources their share of each window; by default each has its share of all ids, so that the queues
     end together. A source without a target has the smallest one given. Once a queue is empty the others fill the
-    windows. All sequences but the last are full, so it alone is padded. Pieces have at most ``longest_piece`` ids, so
+    windows. Sources with a target of 0 are served after all others, each by its share of their ids. All sequences but the last are full, so it alone is padded. Pieces have at most ``longest_piece`` ids, so
     after any window a source is less than a piece from its target.
 
     The queue order is that of the scan. Null and empty texts have only their end id, and with no end id no piece; a
@@ -82,25 +83,32 @@ def pack(
     tokens = durable(encoded(docs, tokenizer, end_id, id, text, source), "encoded")
     per_task = durable(tokens.groupBy("source", "task").agg(F.sum("n").alias("task_ids")), "queues")
     totals = per_task.groupBy("source").agg(F.sum("task_ids").alias("ids"))
-    share = F.col("ids") / F.sum("ids").over(Window.partitionBy())
+    weight = F.col("ids").cast("double")
     if targets is not None:
-        given = spark.createDataFrame([(s, float(t)) for s, t in targets.items()], "name string, weight double")
-        least = min(targets.values())
+        if min(targets.values(), default=0) < 0:
+            raise ValueError("a target is negative")
+        given = spark.createDataFrame([(s, float(t)) for s, t in targets.items()], "name string, given double")
         totals = totals.join(given, F.col("source").eqNullSafe(F.col("name")), "left")
-        weight = F.coalesce("weight", F.lit(float(least)))
-        share = weight / F.sum(weight).over(Window.partitionBy())
+        weight = F.coalesce("given", F.lit(float(min(targets.values(), default=0))))
+    late = weight <= 0
+    weight = F.when(late, F.col("ids")).otherwise(weight)
+    credit = weight / F.sum(weight).over(Window.partitionBy(late)) * window
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    credits = totals.select(F.col("source").alias("of"), (share * window).alias("credit"), turn.alias("turn"))
+    credits = totals.select("source", "ids", late.alias("late"), credit.alias("credit"), turn.alias("turn"))
+    # late queues begin in the round after the others' last one
+    last = F.max(F.when(~F.col("late"), F.ceil(F.col("ids") / F.col("credit")))).over(Window.partitionBy())
+    begun = F.when(F.col("late"), F.coalesce(last, F.lit(0)) + 1).otherwise(0).cast("long")
+    credits = credits.select(F.col("source").alias("of"), "credit", "turn", begun.alias("begun"))
     starts = running_total(per_task, ["source"], "task", "task_ids", "queue_start")
-    starts = starts.join(credits, F.col("source").eqNullSafe(F.col("of"))).filter("credit > 0")
-    starts = durable(starts.select(F.col("source").alias("of"), F.col("task").alias("by"), "queue_start", "credit", "turn"), "queue-starts")
+    starts = starts.join(credits, F.col("source").eqNullSafe(F.col("of")))
+    starts = durable(starts.select(F.col("source").alias("of"), F.col("task").alias("by"), "queue_start", "credit", "turn", "begun"), "queue-starts")
 
     def pieces(rows: DataFrame) -> DataFrame:
         placed = rows.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("task") == F.col("by"))).filter("n > 0")
         cut = placed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(longest_piece).cast("long"))))
         cut = cut.withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(longest_piece).cast("long")))
         place = F.col("queue_start") + F.col("inside") + F.col("start")
-        ended = cut.withColumn("place", place).withColumn("round", F.ceil((F.col("place") + F.col("length")) / F.col("credit")))
+        ended = cut.withColumn("place", place).withColumn("round", F.col("begun") + F.ceil((F.col("place") + F.col("length")) / F.col("credit")))
         return ended.withColumn("block", F.floor(F.col("round") / rounds_per_block))
 
     block_ids = pieces(tokens.drop("ids")).groupBy("block").agg(F.sum("length").alias("block_ids"))

@@ -197,14 +197,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     """Trees fitted to at most ``most_rows`` labelled ids, those with the smallest hash; labels that are null, or of no
     document, don't count.
 
-    Ids labelled twice, or on several documents, count each time, within that number of rows.
+    Ids labelled twice, or on several documents, count each time, within that number of rows; those of the smallest hash
+    of id and text do, so reruns agree.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(label).cast("double").alias("good"))
     known = known.join(docs.select(F.col(id).alias("id")), "id", "left_semi")
     drawn = known.orderBy(F.xxhash64("id", F.lit("quality")), "id", "good").limit(most_rows)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
-    described = annotated(rows, "text", "features array<double>", lambda texts: {"features": [statistics(t)[1] for t in texts]}, keep=["id", "good"])
-    found = sorted((r["id"], r["good"], tuple(r["features"])) for r in described.limit(most_rows).collect())
+    rows = rows.withColumns({"h": F.xxhash64("id", F.lit("quality")), "of_text": F.xxhash64("text")})
+    described = annotated(rows, "text", "features array<double>", lambda texts: {"features": [statistics(t)[1] for t in texts]}, keep=["h", "id", "good", "of_text"])
+    first = described.orderBy("h", "id", "good", "of_text").limit(most_rows).collect()
+    found = sorted((r["id"], r["good"], tuple(r["features"])) for r in first)
     features = np.array([r[2] for r in found]).reshape(-1, len(FEATURES))
     return fit_trees(features, np.array([r[1] for r in found]), list(FEATURES.values()))
 

@@ -62,14 +62,15 @@ def with_ranges(rows: DataFrame, key: str, ranges: DataFrame, bins: int = 4096)
 
 
 def shard_by_size(
-    rows: DataFrame, key: str, size: str, tie: str, shards: int, ranges_per_shard: int = 128
+    rows: DataFrame, key: str, size: str, tie: str, shards: int, ranges_per_shard: int = 128, number: str | None = None
 ) -> DataFrame:
     """``rows`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard); shards have near equal size.
 
     ``key`` and ``tie`` are long columns without nulls: rows of one key stay in one range, and so in one shard, unless
     their range holds over twice its share of the size or of the rows; such a range is subdivided by ``tie``, a hash
-    that differs between the rows of a key. Repeated rows get slots of their own, in any order among themselves. An
-    empty table gives no rows. Columns of ``rows`` named shard or slot are replaced; others are kept.
+    that differs between the rows of a key, and, with ``number``, by that column, a number of its own for each row, so
+    that fully repeated rows are spread as well. Repeated rows get slots of their own, in any order among themselves.
+    An empty table gives no rows. Columns of ``rows`` named shard or slot are replaced; others are kept.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
@@ -82,7 +83,7 @@ def shard_by_size(
     share = max((all_bytes or 0) / wanted, 1.0), max((all_rows or 0) / wanted, 1.0)
     fullness = F.greatest(F.col("bytes!") / share[0], F.col("rows!") / share[1])
     parts = totals.select("range!", F.when(fullness > 2, F.ceil(fullness)).otherwise(1).cast("long").alias("parts!"))
-    part = F.pmod(F.col(tie), F.col("parts!"))
+    part = F.pmod(F.col(tie) if number is None else F.xxhash64(tie, number), F.col("parts!"))
     units = placed.join(F.broadcast(parts), "range!").withColumn("part!", part)
     sums = durable(units.groupBy("range!", "part!").agg(F.sum(size).alias("bytes!"), F.count(F.lit(1)).alias("rows!")), "units")
     order = Window.orderBy("range!", "part!").rowsBetween(*_FIRST)
@@ -112,7 +113,8 @@ def op9_sampled_shards(spark: SparkSession, folder: str) -> DataFrame:
         F.xxhash64("text").alias("key"),
         F.xxhash64("doc_id", "text").alias("tie"),
     )
-    sharded = shard_by_size(durable(meta, "sizes"), "key", "size", "tie", shards=8)
+    numbered = durable(meta.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sharded = shard_by_size(numbered, "key", "size", "tie", shards=8, number="row")
     return sharded.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -131,8 +131,11 @@ def components(edges: DataFrame) -> DataFrame:
 def with_components(fingerprints: DataFrame, id: str = "doc_id", radius: int = 4) -> DataFrame:
     """``fingerprints`` (``id`` and ``fp``) with ``component_id``: the smallest id reachable over links, itself included.
 
-    Fingerprints of 0 are linked like any other. Null ids take part, but are no one's smallest id unless all are null.
+    Also ``root``, the smallest fingerprint of the component. Fingerprints of 0 are linked like any other. Null ids take
+    part, but are no one's smallest id unless all are null. Repeated rows stay, an empty table stays empty, and columns
+    that have the names of the results are replaced.
     """
+    fingerprints = fingerprints.drop("component_id", "root")
     classes = durable(fingerprints.groupBy("fp").agg(F.min(id).alias("least!")), "classes")
     found = components(links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(found, "fp", "left").select("fp", "least!", F.coalesce("root", "fp").alias("root"))

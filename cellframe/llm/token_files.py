@@ -164,6 +164,7 @@ def write_token_files(
                     names, ids, size, number = [], [], 0, number + 1
         if ids:
             yield pa.RecordBatch.from_pydict({"data": [segment_bytes(part, number, names, ids, width)]})
+        coder.forget()
 
     write_blobs(ordered.mapInArrow(segments, "data binary"), f"{path}/segments")
     _index(spark, path).write.parquet(f"{path}/index")

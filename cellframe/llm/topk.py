@@ -33,7 +33,7 @@ def _blocks(rows: DataFrame, queries: DataFrame, count: dict[str, int], dims: in
     """Blocks of vectors: all their dimensions (slice -1) and each slice of these, rows in order of id."""
 
     def placed(frame: DataFrame, kind: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(count[kind]))
+        block = F.pmod(F.xxhash64("row"), F.lit(count[kind]))
         return frame.select(F.lit(kind).alias("kind"), block.alias("block"), F.struct("id", "vector").alias("row"))
 
     grouped = placed(rows, "candidate").union(placed(queries, "query")).groupBy("kind", "block").agg(F.array_sort(F.collect_list("row")).alias("rows"))
@@ -87,7 +87,11 @@ def top_k(
         number = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("double"))
         return good.select(F.col(id).cast("long").alias("id"), number.alias("vector"))
 
-    rows, asked = whole(vectors), whole(queries).dropDuplicates(["id"])
+    def numbered(frame: DataFrame, name: str) -> DataFrame:
+        """Rows with a number of their own, by which they go to blocks, so that no repeated id fills one."""
+        return durable(frame.withColumn("row", F.monotonically_increasing_id()), name)
+
+    rows, asked = numbered(whole(vectors), "candidates"), numbered(whole(queries).dropDuplicates(["id"]), "queries")
     largest = F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))
     sizes = [f.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dims"), largest.alias("top")).first() for f in (rows, asked)]
     dims = max([1, *(s["dims"] or 0 for s in sizes)])
@@ -118,7 +122,7 @@ def top_k(
 
     def entry_row(batch: pa.RecordBatch, row: int, hits: np.ndarray, mins: np.ndarray | None) -> pa.RecordBatch:
         at = lambda name: batch.column(batch.schema.get_field_index(name)).slice(row, 1)
-        packed = np.flatnonzero(hits).astype("<u4").tobytes()
+        packed = np.flatnonzero(hits).astype("<u8").tobytes()
         found = {"qb": at("qb"), "cb": at("cb"), "slice": at("slice"), "entries": [packed]}
         if mins is not None:
             found["mins"] = pa.array([mins.tolist()], pa.list_(pa.float64()))
@@ -148,8 +152,8 @@ def top_k(
                 q_ids, q = _matrix(batch, row, "q_ids", "q_matrix", "q_dims", exact)
                 c_ids, c = _matrix(batch, row, "c_ids", "c_matrix", "c_dims", exact)
                 lists = batch.column(batch.schema.get_field_index("lists"))[row].as_py()
-                pairs = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in lists]))
-                qi, ci = np.divmod(pairs, np.uint32(len(c_ids)))
+                pairs = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in lists]))
+                qi, ci = np.divmod(pairs.astype(np.int64), len(c_ids))
                 total = np.empty(len(pairs), np.float64)
                 for a in range(0, len(pairs), 65536):
                     total[a : a + 65536] = np.einsum("ij,ij->i", q[qi[a : a + 65536]], c[ci[a : a + 65536]])

@@ -71,3 +71,39 @@ def test_held_out_accuracy(spark, documents):
     assert len(found) == len(langs)
     out = [langs[r["doc_id"]][0] == r["lang_pred"] for r in found if r["held_out"]]
     assert len(out) > 20 and sum(out) / len(out) > 0.95
+
+
+def code_of(gram):
+    code = 0
+    for c in gram:
+        code = code << 21 | (1 if c == "_" else ord(c))
+    return code
+
+
+def top(counts, length=400):
+    return sorted(counts, key=lambda g: (-counts[g], code_of(g)))[:length]
+
+
+def test_query_equals_profiles_by_hand(spark, documents):
+    """Profiles counted over all documents that are not held out, and every document's distance to each of them."""
+    docs = documents.collect()
+    learned = {}
+    for r in docs:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            learned.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    ranks = {lang: {g: k for k, g in enumerate(top(counts))} for lang, counts in learned.items()}
+    found = {r["doc_id"]: r for r in op3_rank_profiles(spark, SF).collect()}
+    for r in docs:
+        own = top(plain_grams(r["text"] or ""))
+        distances = {lang: sum(abs(known[g] - k) if g in known else 400 for k, g in enumerate(own)) for lang, known in sorted(ranks.items())}
+        best = min(distances, key=distances.get) if own else UNKNOWN
+        assert found[r["doc_id"]]["lang_pred"] == best
+        assert found[r["doc_id"]]["score"] == pytest.approx(1 - distances[best] / (400 * len(own)) if own else 0.0)
+
+
+def test_more_than_a_thousand_languages(spark):
+    frame = spark.range(1300).selectExpr("id as doc_id", "concat('l', id) as lang", "concat(hex(id + 100000), ' ', translate(cast(id as string), '0123456789', 'qwertyuiop')) as text")
+    profiles = fit_profiles(frame, length=20)
+    assert len(profiles.languages) == 1300
+    found = with_language(frame.filter("doc_id % 50 = 0"), profiles).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.8 * len(found)

@@ -26,6 +26,25 @@ def test_apportionment_keeps_to_caps(spark):
     assert {r["k"]: r["q"] for r in apportion(frame, [], "k", "v", "s", "c", "q").collect()} == {1: 3, 2: 5}
 
 
+@pytest.mark.parametrize("seats", [0, 1, 5, 20, 24, 39, 43, 60])
+def test_capped_parties_leave_their_seats_to_the_others(spark, seats):
+    """Caps that bind at any share of the votes, none at all among them."""
+    votes = {1: 100.0, 2: 1.0, 3: 50.0, 4: 0.0, 5: 7.0, 6: 7.0}
+    caps = {1: 3, 2: 17, 3: 0, 4: 9, 5: 20, 6: 3}
+    frame = spark.createDataFrame([("g", k, v, seats, caps[k]) for k, v in votes.items()], "g string, k int, v double, s long, c long")
+    found = {r["k"]: r["q"] for r in apportion(frame, ["g"], "k", "v", "s", "c", "q").collect()}
+    assert found == highest({k: v for k, v in votes.items() if v} | {4: 0.0}, min(seats, 43), caps | {4: 0})
+
+
+def test_rows_that_are_never_taken_form_no_group(spark):
+    frame = spark.range(900).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 3 > 0, F.col("id") % 9).otherwise(0).alias("size")
+    )
+    found = rows(mix(frame.repartition(4), (5, 2, 1), shard_words=100))
+    assert len(found) == 900 and all(r["taken"] == 0 for r in found if not r["size"])
+    assert sum(r["taken"] for r in found) == pytest.approx(1.5 * sum(r["size"] for r in found), abs=32)
+
+
 def test_targets_stop_at_twice_their_source(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 500), ("B", 90), ("c", 0)], "source string, source_size long")
     found = {r["source"]: r["target"] for r in source_targets(sizes, "source", (5, 2, 1), 1.5).collect()}

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from cellframe.llm.encode import Encoder, default_tokenizer
 from cellframe.llm.packing import op5_deficit_packing, pack, sequences
@@ -71,6 +72,22 @@ def test_windows_follow_their_targets(spark, documents):
     assert number > 10
 
 
+@pytest.mark.parametrize("targets", [{"src0": 1.0, "src1": 0.0}, {"src0": 0.0}, {"src0": 0.0, "src1": 0.7, "src2": 0.3}, {}])
+def test_sources_without_a_share_come_last_and_whole(spark, documents, targets):
+    some = documents.filter(documents.source.isin("src0", "src1", "src2", "src3"))
+    found = rows(pack(some, default_tokenizer(), 1, window=WINDOW, targets=targets, longest_piece=8, rounds_per_block=4))
+    assert_whole(found, ids_of(some.collect(), 1))
+    first = {s: min((r["sequence_id"], r["offset"]) for r in found if r["source"] == s) for s in ("src0", "src1", "src2", "src3")}
+    last = {s: max((r["sequence_id"], r["offset"]) for r in found if r["source"] == s) for s in first}
+    served = [s for s in first if targets.get(s, 0) > 0]
+    assert all(first[late] > last[s] for s in served for late in first if late not in served)
+
+
+def test_negative_targets_are_refused(spark, documents):
+    with pytest.raises(ValueError):
+        pack(documents.limit(3), default_tokenizer(), 1, targets={"a": -1.0})
+
+
 def test_sequences_put_pieces_together(spark, documents):
     packed = pack(documents.limit(20), default_tokenizer(), 1, window=WINDOW, longest_piece=8)
     whole = {r["sequence_id"]: bytes(r["ids"]) for r in sequences(packed).collect()}

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from cellframe.llm.quality import FEATURES, fit_quality, fit_trees, op7_quality_trees, statistics, with_quality
 from conftest_llm import SF, rows
@@ -74,6 +75,36 @@ def test_junk_goes_and_clean_documents_stay(spark, documents):
     assert sum(bool(good) == kept for good, kept in judged) / len(judged) > 0.97
 
 
+def test_query_equals_counting(spark, documents):
+    """Counts and base rules of every document by hand; the rest of the verdict by walking the trees node by node."""
+    trees = fit_quality(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def walked(features):
+        total = trees.base
+        for root in trees.roots:
+            node = int(root)
+            while trees.left[node] != node:
+                node = int(trees.left[node] if features[int(trees.feature[node])] <= trees.cut[node] else trees.right[node])
+            total += trees.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    found = {r["doc_id"]: r for r in op7_quality_trees(spark, SF).collect()}
+    for r in documents.collect():
+        row, counted = found[r["doc_id"]], by_hand(r["text"])
+        assert [row[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == counted
+        failed = counted[0] < 50 or 100 * counted[4] > 50 * counted[0]
+        score = walked(statistics(r["text"])[1])
+        assert row["score"] == pytest.approx(score) and row["base_failed"] == failed
+        assert row["kept"] == (not failed and row["score"] >= 0.5)
+
+
+def test_drawn_rows_agree_where_ids_repeat(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    twice = documents.unionByName(documents.withColumn("text", F.concat("text", F.lit(" more words"))))
+    first, second = (fit_quality(d, labels, most_rows=60) for d in (twice, twice.repartition(7)))
+    assert (first.cut == second.cut).all() and (first.value == second.value).all()
+
+
 def test_without_usable_labels_the_base_rules_decide(spark, documents):
     kind = "doc_id long, quality int"
     first = documents.first()["doc_id"]

@@ -1,3 +1,6 @@
+import zlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +41,33 @@ def test_repeated_rows(spark):
     assert_gapless(rows(shard_by_size(frame, "key", "size", "tie", 4)), 4)
 
 
+def test_a_repeated_row_that_holds_a_third_of_the_table(spark):
+    hot = F.col("id") % 3 == 0
+    frame = spark.range(9000).select(
+        F.col("id").alias("row"), F.when(hot, 7).otherwise(F.xxhash64("id")).alias("key"), F.when(hot, 50).otherwise(F.col("id") % 90 + 1).alias("size"), F.when(hot, 9).otherwise(F.xxhash64("id", F.lit(1))).alias("tie")
+    )
+    found = rows(shard_by_size(frame, "key", "size", "tie", 4, number="row"))
+    assert len(found) == 9000
+    assert_gapless(found, 4)
+    sizes = [sum(r["size"] for r in found if r["shard"] == s) for s in range(4)]
+    assert max(sizes) < 1.05 * min(sizes)
+
+
+def test_query_equals_counting(spark, documents):
+    """Sizes, sums, law and growth of every document; equal texts lie together unless they are over twice a range's share."""
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    found = {r["doc_id"]: r for r in rows(op9_sampled_shards(spark, SF))}
+    assert set(found) == set(texts)
+    lie = {}
+    for i, text in texts.items():
+        data = text.encode()
+        assert (found[i]["size"], found[i]["text_crc32"], found[i]["law"], found[i]["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        lie.setdefault(text, set()).add(found[i]["shard"])
+    share = sum(r["size"] for r in found.values()) / (8 * 128)
+    held = Counter(texts.values())
+    assert all(len(s) == 1 or held[t] > 1 and held[t] * (len(t.encode()) + 1) > share for t, s in lie.items())
+
+
 def test_query_and_files(spark, documents, tmp_path):
     found = op9_sampled_shards(spark, SF)
     listed = rows(found)

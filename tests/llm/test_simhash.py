@@ -66,7 +66,8 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 
 def test_odd_documents(spark, odd_documents):
-    found = rows(with_components(with_fingerprint(odd_documents).drop("root")))
+    found = rows(with_components(with_fingerprint(odd_documents.withColumn("component_id", F.lit("x")))))
+    assert set(found[0]) == {*odd_documents.columns, "component_id"}
     assert len(found) == odd_documents.count()
     empty = [r["component_id"] for r in found if not (r["text"] or "").strip()]
     assert set(empty) == {1}

@@ -37,6 +37,17 @@ def test_fewer_candidates_than_k_and_empty_tables(spark):
     assert top_k(frame, frame.limit(0), k=3).count() == 0
 
 
+def test_an_id_of_a_third_of_all_rows(spark):
+    vectors = [(7 if i % 3 == 0 else i, [float(i % 11) / 64, float(i % 7) / 64]) for i in range(300)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    queries = frame.filter("vec_id in (1, 7)")
+    found = top_k(frame.repartition(5), queries, k=30, query_block=4, candidate_block=8)
+    own = [int(64 * x) for x in dict(vectors)[1]]
+    scored = sorted((-sum(a * int(64 * x) for a, x in zip(own, v)), i) for i, v in vectors if i != 1)[:30]
+    assert [(r["vec_id"], r["score"]) for r in sorted(found.filter("query_id = 1").collect(), key=lambda r: r["rank"])] == [(i, -s) for s, i in scored]
+    assert found.filter("query_id = 7").count() == 30
+
+
 def test_scores_beyond_whole_doubles_are_refused(spark):
     frame = spark.createDataFrame([(1, [1e12]), (2, [1e12])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
