@@ -83,6 +83,8 @@ class StarCatalog:
     species_fields: tuple[str, ...] = ()
     species: tuple[str, ...] = ()
     default_species: str = ""
+    #: Partition column by which a cell and its values lie together, in tables that have it (see ``plans.store``).
+    bucket: str = fixed.BUCKET
 
     @cached_property
     def by_name(self) -> dict[str, Field]:

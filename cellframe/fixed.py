@@ -191,3 +191,10 @@ EMPTY_SIZE = 0
 # Notification types.
 UPSERT_EVENTS = ("CREATE", "UPDATE")
 REMOVE_EVENTS = ("DELETE", "TOMBSTONE")
+
+# The column in which cells and values of a store say in which bucket they lie, and the bucket of values without a cell.
+BUCKET = "bucket!"
+NO_BUCKET = -1
+
+# Rows of values that are read at once, at most.
+EXPRESSION_BLOCK = 1_000_000

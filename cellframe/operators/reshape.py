@@ -6,6 +6,7 @@ are ordinal frames made by :func:`ordinals`.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -65,21 +66,22 @@ def duplicates(values: DataFrame) -> DataFrame:
     return values.groupBy("cellkey", "featurekey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def one_per_pair(values: DataFrame, on_duplicate: str = "error") -> DataFrame:
-    """At most one value per cell and feature: a second one fails the job, or is summed.
+def one_per_pair(values: DataFrame, on_duplicate: str = "error", keys: Sequence[str] = ("cellkey", "featurekey")) -> DataFrame:
+    """At most one value per cell and feature, or per ``keys``: a second one fails the job, or is summed.
 
-    Values are dealt out by cell. That serves the pairs and whatever puts a cell's values together afterwards, so the
-    values cross the network once; pairs are nearly unique, so summing them before would not make them fewer.
+    Repeats are reduced in the task that reads them, before anything is shuffled, and pairs are dealt out by cell and
+    feature. So neither a cell nor a pair that holds a large share of the values meets in one task; what puts a
+    cell's values together afterwards gets at most one for each feature.
     """
     if on_duplicate not in ("error", "sum"):
         raise ValueError(f"on_duplicate is 'error' or 'sum', not {on_duplicate!r}")
-    pairs = values.repartition("cellkey").groupBy("cellkey", "featurekey")
+    pairs = values.groupBy(*keys)
     if on_duplicate == "sum":
         return pairs.agg(F.sum("exprvalue").alias("exprvalue"))
     message = F.concat(F.lit("more than one value for "), F.col("cellkey"), F.lit(" / "), F.col("featurekey"))
     single = F.when(F.col("n") == 1, F.col("exprvalue")).otherwise(F.raise_error(message))
     return pairs.agg(F.max("exprvalue").alias("exprvalue"), F.count(F.lit(1)).alias("n")).select(
-        "cellkey", "featurekey", single.alias("exprvalue")
+        *keys, single.alias("exprvalue")
     )
 
 

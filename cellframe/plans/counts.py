@@ -81,7 +81,7 @@ def count_faults(landing: Landing, keys: DataFrame) -> DataFrame:
         bad = F.count_if(F.col("id").isNull() | F.col("tpm").isNull() | F.col("expected_count").isNull())
         return counts.groupBy(bundle).agg(F.lit(True).alias(name), (bad > 0).alias(f"bad_{name}"))
 
-    calls = landing.calls.groupBy(bundle, "cell_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("total").isNull()).alias("bad"))
+    calls = landing.calls.groupBy(bundle, "cell_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cell_id").isNull() | F.col("total").isNull() | F.col("is_cell").isNull()).alias("bad"))
     calls = calls.groupBy(bundle).agg((F.max("n") > 1).alias("twice"), (F.sum("bad") > 0).alias("bad_calls"), F.lit(True).alias("calls"))
     axes = landing.axis.groupBy(bundle).agg(F.count_distinct("gene_ids").alias("axes"), F.max(F.size("gene_ids")).alias("genes_listed"))
     width = F.size("values")
@@ -93,10 +93,10 @@ def count_faults(landing: Landing, keys: DataFrame) -> DataFrame:
     reasons = {
         "no gene counts": plate & F.col("genes").isNull(),
         "no isoform counts": plate & F.col("isoforms").isNull(),
-        "unreadable number in gene counts": plate & F.col("bad_genes"),
-        "unreadable number in isoform counts": plate & F.col("bad_isoforms"),
+        "unreadable or missing column in gene counts": plate & F.col("bad_genes"),
+        "unreadable or missing column in isoform counts": plate & F.col("bad_isoforms"),
         "no droplet calls": droplet & F.col("calls").isNull(),
-        "unreadable number in droplet calls": droplet & F.col("bad_calls"),
+        "unreadable or missing column in droplet calls": droplet & F.col("bad_calls"),
         "two droplet calls for one barcode": droplet & F.col("twice"),
         "no dense rows": droplet & F.col("widest").isNull(),
         "no gene axis": droplet & F.col("axes").isNull(),

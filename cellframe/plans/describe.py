@@ -12,6 +12,10 @@ from cellframe.operators.keyed import concat
 from cellframe.operators.star import Tables, left_chain
 
 
+# Cells that a row stands for.
+_CELLS = "cells!"
+
+
 def category(column: Column, data_type: T.DataType) -> Column:
     """Category text: ``True``/``False`` for booleans, empty for missing."""
     text = column.cast("string")
@@ -44,13 +48,23 @@ def describe_field(catalog: StarCatalog, tables: Tables, name: str) -> DataFrame
 def describe_all(catalog: StarCatalog, tables: Tables, unique_dimensions: Collection[str] = ()) -> DataFrame:
     """Every field at once.
 
-    Fields that are reached through dimensions with unique keys (see ``plans.audits.duplicate_keys``) share one
-    pass over the cells. A dimension with repeated keys would multiply the cells of all fields of that pass, so
-    the others are counted table by table.
+    Fields that are reached through dimensions with unique keys (see ``plans.audits.duplicate_keys``) are counted
+    together: cells are first counted per combination of dimension keys, so that only these combinations meet the
+    dimensions and give a row per field. A dimension with repeated keys would multiply the cells of all fields of that
+    pass, so the others are counted table by table.
     """
-    return concat(
-        *(_description(chain, catalog, fields) for chain, fields in _passes(catalog, tables, unique_dimensions))
-    )
+    shared, rest = _shared(catalog, unique_dimensions)
+    own = [f for f in shared if f.table == catalog.root]
+    others = [f for f in shared if f.table != catalog.root]
+    parts = [_description(tables[catalog.root].alias(catalog.root), catalog, own)] if own else []
+    if others:
+        reached = catalog.ancestors({f.table for f in others})
+        keys = dict.fromkeys(d.parent_key for d in catalog.dimensions if d.name in reached and d.parent == catalog.root)
+        counted = tables[catalog.root].groupBy(*keys).agg(F.count(F.lit(1)).alias(_CELLS))
+        chain = _path_chain(catalog, {**tables, catalog.root: counted}, {f.table for f in others})
+        parts.append(_description(chain, catalog, others, F.col(f"{catalog.root}.`{_CELLS}`")))
+    parts += [_description(_path_chain(catalog, tables, {fields[0].table}), catalog, fields) for fields in rest]
+    return concat(*parts)
 
 
 def field_coverage(catalog: StarCatalog, tables: Tables, unique_dimensions: Collection[str] = ()) -> DataFrame:
@@ -65,14 +79,19 @@ def _path_chain(catalog: StarCatalog, tables: Tables, owners: Collection[str]) -
     return left_chain(replace(catalog, required=()), tables, catalog.ancestors(owners))
 
 
+def _shared(catalog: StarCatalog, unique_dimensions: Collection[str]) -> tuple[list[Field], list[list[Field]]]:
+    """Fields that one pass can count, and the others by table."""
+    shared = [f for f in catalog.fields if catalog.ancestors([f.table]) <= set(unique_dimensions)]
+    owners = dict.fromkeys(f.table for f in catalog.fields if f not in shared)
+    return shared, [[f for f in catalog.fields if f.table == owner] for owner in owners]
+
+
 def _passes(
     catalog: StarCatalog, tables: Tables, unique_dimensions: Collection[str]
 ) -> Iterator[tuple[DataFrame, list[Field]]]:
-    shared = [f for f in catalog.fields if catalog.ancestors([f.table]) <= set(unique_dimensions)]
-    if shared:
-        yield _path_chain(catalog, tables, {f.table for f in shared}), shared
-    for owner in dict.fromkeys(f.table for f in catalog.fields if f not in shared):
-        yield _path_chain(catalog, tables, {owner}), [f for f in catalog.fields if f.table == owner]
+    shared, rest = _shared(catalog, unique_dimensions)
+    for fields in ([shared] if shared else []) + rest:
+        yield _path_chain(catalog, tables, {f.table for f in fields}), fields
 
 
 def _coverage(chain: DataFrame, fields: list[Field]) -> DataFrame:
@@ -86,27 +105,32 @@ def _coverage(chain: DataFrame, fields: list[Field]) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
-def _description(chain: DataFrame, catalog: StarCatalog, fields: list[Field]) -> DataFrame:
-    """Categories with their cells and ranges of numbers, in one pass: every cell gives a row per field.
+def _description(chain: DataFrame, catalog: StarCatalog, fields: list[Field], cells: Column | None = None) -> DataFrame:
+    """Categories with their cells, and ranges of numbers; a row of ``chain`` stands for ``cells`` cells, one by default.
 
-    The rows of a numeric field are one group, which each task reduces to a row before anything is shuffled. An empty
-    row for each of these fields is put beside them, so that they are described where there are no cells, too.
+    A row gives one for each categorical field, which each task reduces to its categories before anything is shuffled.
+    Numbers are reduced to their ends where they are, and are described where there are no cells, too.
     """
 
     def entry(f: Field) -> Column:
-        column = F.col(f"{f.table}.{f.column}")
-        numeric = f.kind == "numeric"
-        value = F.lit(None).cast("string") if numeric else category(column, catalog.data_type(f.table, f.column))
-        number = column.cast("double") if numeric else F.lit(None).cast("double")
-        return F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"), value.alias("value"), number.alias("number"))
-
-    described = [f for f in fields if f.kind in ("numeric", "categorical")]
-    numeric = [(f.name, f.kind, None, None) for f in described if f.kind == "numeric"]
-    rows = chain.select(F.inline(F.array(*map(entry, described))))
-    if numeric:
-        rows = rows.union(chain.sparkSession.createDataFrame(numeric, "field string, kind string, value string, number double"))
-    grouped = rows.groupBy("field", "kind", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("number").alias("minimum"), F.max("number").alias("maximum")
-    )
-    cells = F.when(F.col("kind") == "categorical", F.col("n"))
-    return grouped.select("field", "kind", "value", cells.alias("cells"), "minimum", "maximum")
+        value = category(F.col(f"{f.table}.{f.column}"), catalog.data_type(f.table, f.column))
+        return F.struct(F.lit(f.name).alias("field"), value.alias("value"))
+
+    def ends(f: Field, i: int) -> Column:
+        return F.struct(F.lit(f.name).alias("field"), F.col(f"low{i}").alias("minimum"), F.col(f"high{i}").alias("maximum"))
+
+    of_kind = lambda kind: [f for f in fields if f.kind == kind]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    parts = []
+    if categorical := of_kind("categorical"):
+        rows = chain.select((F.lit(1) if cells is None else cells).alias("n"), F.inline(F.array(*map(entry, categorical))))
+        counted = rows.groupBy("field", "value").agg(F.sum("n").alias("cells"))
+        parts.append(counted.select("field", F.lit("categorical").alias("kind"), "value", "cells", none("double", "minimum"), none("double", "maximum")))
+    if numeric := of_kind("numeric"):
+        numbers = [F.col(f"{f.table}.{f.column}").cast("double") for f in numeric]
+        range_ = chain.agg(*(F.min(c).alias(f"low{i}") for i, c in enumerate(numbers)), *(F.max(c).alias(f"high{i}") for i, c in enumerate(numbers)))
+        rows = range_.select(F.inline(F.array(*(ends(f, i) for i, f in enumerate(numeric)))))
+        parts.append(rows.select("field", F.lit("numeric").alias("kind"), none("string", "value"), none("long", "cells"), "minimum", "maximum"))
+    if not parts:
+        raise ValueError("no field that can be described")
+    return concat(*parts)

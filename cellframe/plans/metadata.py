@@ -40,8 +40,9 @@ def analysis(protocols: DataFrame) -> DataFrame:
 
 
 def projects(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(project, contributor, publication)`` without test projects."""
-    kept = documents.filter(~F.col("project_core.project_short_name").contains(fixed.TEST_PROJECT_MARK)).withColumn(
+    """``(project, contributor, publication)`` without test projects; a project without a short name is none."""
+    short_name = F.coalesce("project_core.project_short_name", F.lit(""))
+    kept = documents.filter(~short_name.contains(fixed.TEST_PROJECT_MARK)).withColumn(
         "projectkey", F.col("provenance.document_id")
     )
     project = kept.select(

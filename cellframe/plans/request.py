@@ -22,6 +22,11 @@ from cellframe.operators.star import Tables, inner_chain, left_chain
 from cellframe.session import durable
 
 
+# Columns of a selection besides its fields: the cell's bucket, and whether all inner dimensions were found.
+_BUCKET = "selected!"
+_WHOLE = "whole!"
+
+
 class EmptyManifest(ValueError):
     """A bundle-list request names no bundle."""
 
@@ -118,16 +123,42 @@ class MatrixRequest:
         Unlike in ``cells()`` every dimension joins inner, so a cell that misses one has no values.
 
         The keys of the selected cells are written first. Their size is then known when the join with the values
-        is planned: a small selection is broadcast and the values, by far the largest table, are not shuffled.
+        is planned: a small selection is broadcast and the values, by far the largest table, are not shuffled. Over
+        the tables of a store only those buckets of values are read in which selected cells lie.
         """
         return self._values_of(self._selected())
 
     def _selected(self, *columns: Column) -> DataFrame:
-        """``cellkey`` of the cells whose values are asked for, and ``columns``, written once."""
+        """``cellkey`` of the cells whose values are asked for, their bucket, and ``columns``, written once."""
         catalog = self.catalog
         dimensions = None if self.bundles is None else catalog.bundle_dimensions
         chain = self._narrow(inner_chain(catalog, self.tables, dimensions))
-        return durable(chain.select(F.col(f"{catalog.root}.{catalog.root_key}").alias("cellkey"), *columns), "selected")
+        return durable(chain.select(*self._keys(), *columns), "selected")
+
+    def _bucketed(self) -> bool:
+        """Do cells and values say in which bucket they lie?"""
+        return all(self.catalog.bucket in self.tables[t].columns for t in (self.catalog.root, self.catalog.values))
+
+    def _keys(self) -> list[Column]:
+        root = self.catalog.root
+        key = F.col(f"{root}.{self.catalog.root_key}").alias("cellkey")
+        return [key, F.col(f"{root}.`{self.catalog.bucket}`").alias(_BUCKET)] if self._bucketed() else [key]
+
+    def selection(self) -> tuple[DataFrame, DataFrame]:
+        """``cells()``, written once, and the values of these cells: one selection for both.
+
+        A row of the selection also says whether each inner dimension of the values was found and where the values lie.
+        A bundle list, whose values follow other dimensions than its cells, is selected once for each.
+        """
+        if self.bundles is not None:
+            return durable(self.cells(), "cells"), self.expression()
+        catalog = self.catalog
+        chain = self._narrow(left_chain(catalog, self.tables))
+        columns = [F.col(s.path).alias(s.output) for s in catalog.select(self.asked_fields)]
+        whole = reduce(and_, (F.col(f"{d.name}.{d.key}").isNotNull() for d in catalog.dimensions))
+        both = durable(chain.select(*self._keys(), whole.alias(_WHOLE), *columns), "selection")
+        keys = [c for c in ("cellkey", _BUCKET) if c in both.columns]
+        return both.drop(_BUCKET, _WHOLE), self._values_of(both.filter(F.col(_WHOLE)).select(*keys))
 
     def _values_of(self, selected: DataFrame) -> DataFrame:
         """Values of the selected cells with what ``selected`` says about them: one scan of the values."""
@@ -139,8 +170,15 @@ class MatrixRequest:
             .select(F.col(catalog.feature_key).alias("featurekey"))
         )
         served = self.value_type or catalog.served_type
+        values = self.tables[catalog.values]
+        if _BUCKET in selected.columns:
+            # At most one row for each bucket of the store. The comparison keeps all of them; Spark prunes partitions at
+            # run time only by a side that a condition has narrowed.
+            lie = selected.select(_BUCKET).distinct().filter(F.col(_BUCKET) >= fixed.NO_BUCKET)
+            values = values.join(F.broadcast(lie), F.col(f"`{catalog.bucket}`") == F.col(_BUCKET), "left_semi")
+        extra = [c for c in selected.columns if c not in ("cellkey", _BUCKET)]
         return (
-            self.tables[catalog.values]
+            values
             .filter(F.col(catalog.value_type) == served)
             .select(
                 F.col(catalog.value_cell).alias("cellkey"),
@@ -148,8 +186,8 @@ class MatrixRequest:
                 F.col(catalog.value_column).alias("exprvalue"),
             )
             .join(kept, "featurekey")
-            .join(selected, "cellkey")
-            .select("cellkey", "featurekey", "exprvalue", *(c for c in selected.columns if c != "cellkey"))
+            .join(selected.drop(_BUCKET), "cellkey")
+            .select("cellkey", "featurekey", "exprvalue", *extra)
         )
 
     def features(self) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from cellframe.functions import text
 from cellframe.plans.request import MatrixRequest, fingerprint
 from cellframe.plans.requestlog import cached_result
-from cellframe.session import durable
 from cellframe.sinks.matrix import MatrixExport
 
 
@@ -30,15 +29,15 @@ def run_request(
     """Select the cells once, take their fingerprint, and reuse a stored result of this version or export a new one.
 
     ``log`` and ``results`` are the request log and the stored results (``result_key``) of earlier runs; ``options`` go
-    to the export. The selection feeds the fingerprint and the cells of the export.
+    to the export. The one selection feeds the fingerprint, the cells and the values of the export.
     """
-    cells = durable(request.cells(), "cells")
+    cells, values = request.selection()
     key = fingerprint(cells.select("cellkey"), request.feature, request.format, request.asked_fields).first()
     found = cached_result(log, results, F.lit(version), F.lit(key["fingerprint"])).first()
     if found is not None:
         return Run(key["fingerprint"], key["cells"], found["result_key"], True)
     names = [F.lit(x) for x in (version, key["fingerprint"], request_id, request.format)]
     path = request.tables[request.catalog.root].sparkSession.range(1).select(text.result_key(*names).alias("k")).first()["k"]
-    export = MatrixExport(cells, request.expression(), request.features(), **options)
+    export = MatrixExport(cells, values, request.features(), **options)
     export.write(os.path.join(root, path), request.format)
     return Run(key["fingerprint"], key["cells"], path, False)

@@ -13,13 +13,14 @@ import os
 from collections.abc import Collection, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cellframe import fixed
 from cellframe.functions.text import format_timestamp
 from cellframe.operators.keyed import concat, remove, upsert
 from cellframe.plans import audits
 from cellframe.plans.ingest import empty_tables
+from cellframe.plans.journal import Journal, newest
 from cellframe.schemas import WAREHOUSE, table
 from cellframe.session import durable, together
 
@@ -33,7 +34,9 @@ _LAYOUT = table("buckets int!")
 _FOLDERS = {"expression": ["exprtype"]}
 _ORDER = {"expression": ["featurekey"]}
 # The bucket of values whose cell isn't there.
-_NO_OWNER = -1
+_NO_OWNER = fixed.NO_BUCKET
+# The tables whose rows say in which bucket they lie.
+_BUCKETED = ("cell", "expression")
 
 
 class ContradictingLayout(ValueError):
@@ -55,13 +58,16 @@ class Store:
     """Warehouse tables under ``root``.
 
     ``buckets`` is the number of buckets of the two tables that grow, 64 unless the store has another already; a number
-    that contradicts the stored one is refused.
+    that contradicts the stored one is refused. ``log_block`` is the number of versions after which the logs begin a new
+    block, so that finding the current version reads no more files than that, whatever the number of versions.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, log_block: int = 64) -> None:
         self.spark = spark
         self.root = root
         self._asked = buckets
+        self._pointer = Journal(spark, os.path.join(root, "pointer"), _POINTER, newest("seq", "source"), log_block)
+        self._versions = Journal(spark, os.path.join(root, "data_version"), _VERSIONS, newest("version"), log_block)
 
     @property
     def buckets(self) -> int:
@@ -74,12 +80,12 @@ class Store:
 
     def current(self) -> int:
         """The version readers get; 0 before the first load."""
-        newest = self._log("pointer", _POINTER).agg(F.max_by("version", "seq")).first()[0]
-        return newest or 0
+        latest = self._pointer.recent().agg(F.max_by("version", "seq")).first()[0]
+        return latest or 0
 
     def data_versions(self) -> DataFrame:
         """Every published version."""
-        return self._log("data_version", _VERSIONS)
+        return self._versions.all()
 
     def project_cells(self) -> DataFrame:
         """``(version, projectkey, cells)`` of every version that was loaded whole or bumped."""
@@ -91,9 +97,13 @@ class Store:
         return self._listed(name, self._places(version), buckets)
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
+        """Every table at a version; cells and values also say in which bucket they lie.
+
+        A :class:`~cellframe.plans.request.MatrixRequest` over these tables reads the buckets of its cells alone.
+        """
         version = self.current() if version is None else version
         places = self._places(version)
-        return {name: self._listed(name, places) for name in WAREHOUSE}
+        return {name: self._listed(name, places, bucketed=name in _BUCKETED) for name in WAREHOUSE}
 
     def tables_of(self, cells: DataFrame, version: int | None = None) -> dict[str, DataFrame]:
         """The tables, but of cells and values only the buckets in which ``cells`` (``analysiskey``) lie."""
@@ -192,9 +202,8 @@ class Store:
         self._point(version, None, None)
 
     def has_batch(self, source: str, batch: int) -> bool:
-        """Was this batch of this stream published already?"""
-        pointer = self._log("pointer", _POINTER)
-        return not pointer.filter((F.col("source") == source) & (F.col("batch") == batch)).isEmpty()
+        """Was this batch of this stream published already? Batches of a stream are published in ascending order."""
+        return not self._pointer.recent().filter((F.col("source") == source) & (F.col("batch") >= batch)).isEmpty()
 
     def verify(self, expected: DataFrame) -> DataFrame:
         """Expected bundles without an analysis row."""
@@ -230,12 +239,16 @@ class Store:
         """``(table, bucket, version that wrote it)`` of everything that belongs to a version."""
         return [(row["table"], row["bucket"], row["written"]) for row in self._listing(version).collect()]
 
-    def _listed(self, name: str, places: list[tuple[str, int, int]], buckets: Collection[int] | None = None) -> DataFrame:
+    def _listed(
+        self, name: str, places: list[tuple[str, int, int]], buckets: Collection[int] | None = None, bucketed: bool = False
+    ) -> DataFrame:
         paths = [self._bucket_path(name, v, b) for t, b, v in places if t == name and (buckets is None or b in buckets)]
+        schema = T.StructType([*WAREHOUSE[name].fields, T.StructField("bucket", T.IntegerType())])
         if not paths:
-            return self.spark.createDataFrame([], WAREHOUSE[name])
-        reader = self.spark.read.schema(WAREHOUSE[name]).option("basePath", os.path.join(self.root, "tables", name))
-        return reader.parquet(*paths).select(*WAREHOUSE[name].names)
+            rows = self.spark.createDataFrame([], schema)
+        else:
+            rows = self.spark.read.schema(schema).option("basePath", os.path.join(self.root, "tables", name)).parquet(*paths)
+        return rows.select(*WAREHOUSE[name].names, *([F.col("bucket").alias(fixed.BUCKET)] if bucketed else []))
 
     def _bucket_path(self, name: str, version: int, bucket: int) -> str:
         return os.path.join(self.root, "tables", name, f"v={version}", f"bucket={bucket}")
@@ -257,7 +270,7 @@ class Store:
         return [row["bucket"] for row in stored.select("bucket").distinct().collect() if row["bucket"] is not None]
 
     def _next(self) -> int:
-        return (self.data_versions().agg(F.max("version")).first()[0] or 0) + 1
+        return (self._versions.recent().agg(F.max("version")).first()[0] or 0) + 1
 
     def _listing(self, version: int) -> DataFrame:
         if version == 0:
@@ -285,13 +298,13 @@ class Store:
             format_timestamp(F.current_timestamp()).alias("creation_date"),
             F.lit(ranges).alias("schema_versions"),
         )
-        self._append("data_version", one)
+        self._versions.append(one)
         self._point(version, source, batch)
         return version
 
     def _point(self, version: int, source: str | None, batch: int | None) -> None:
-        seq = (self._log("pointer", _POINTER).agg(F.max("seq")).first()[0] or 0) + 1
-        self._append("pointer", self.spark.createDataFrame([(seq, version, source, batch)], _POINTER))
+        seq = (self._pointer.recent().agg(F.max("seq")).first()[0] or 0) + 1
+        self._pointer.append(self.spark.createDataFrame([(seq, version, source, batch)], _POINTER))
 
     def _append(self, log: str, rows: DataFrame) -> None:
         rows.write.mode("append").json(os.path.join(self.root, log))

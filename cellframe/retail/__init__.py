@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("requests", "matrix", "intake", "lifecycle", "files")
+_MODULES = ("requests", "matrix", "intake", "lifecycle", "files", "warehouse")
 
 
 def load_queries() -> None:

@@ -145,7 +145,8 @@ def ordered_distinct(spark: SparkSession, folder: str) -> DataFrame:
 def concat_slices(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     middle = F.lit("1998-01-01").cast("timestamp")
-    slices = rows.filter(F.col("o_orderdate") < middle), rows.filter(F.col("o_orderdate") >= middle)
+    early = F.coalesce(F.col("o_orderdate") < middle, F.lit(False))
+    slices = rows.filter(early), rows.filter(~early)
     return keyed.concat(*slices).drop("o_orderdate")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -59,7 +61,10 @@ def write_table(
 ) -> None:
     """Write columns as delimited text, quoted where needed, missing values empty."""
     options = {"sep": separator, "nullValue": "", "emptyValue": ""}
-    row = F.to_csv(F.struct(*(render(c, frame.schema[c].dataType) for c in columns)), options)
+    rendered = [render(c, frame.schema[c].dataType) for c in columns]
+    # a row of nothing but missing values is separators alone; the text of such a row would be null
+    blank = reduce(and_, (F.coalesce(value.cast("string"), F.lit("")) == "" for value in rendered))
+    row = F.when(blank, F.lit(separator * (len(columns) - 1))).otherwise(F.to_csv(F.struct(*rendered), options))
     titles = one_line(frame, separator.join(columns)) if header else None
     needed = list(dict.fromkeys([*columns, *order]))
     write_lines(frame.select(*(F.col(f"`{c}`") for c in needed)), path, order, row, titles, compression)

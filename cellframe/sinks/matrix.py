@@ -110,7 +110,8 @@ class MatrixExport:
     def write_loom_layout(self, path: str) -> None:
         """Parquet tables ``matrix`` (one sparse column per cell), ``col_attrs``, ``row_attrs`` and ``attrs``."""
         if self.is_empty:
-            return self._write_empty(os.path.join(path, "matrix"))
+            nothing = self.values.sparkSession.createDataFrame([], "ordinal long, indices array<int>, values array<float>")
+            return nothing.write.parquet(os.path.join(path, "matrix"))
         sparse = sparse_rows(self.values, self.feature_ordinals, self.on_duplicate)
         matrix = self._by_cell(sparse).select(
             "ordinal",

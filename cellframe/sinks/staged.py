@@ -23,10 +23,8 @@ def as_text(frame: DataFrame) -> DataFrame:
 
 
 def append_staged(frame: DataFrame, path: str, compression: str = "none") -> None:
-    """Append rows to a staged table."""
-    as_text(frame).write.mode("append").option("sep", "|").option("emptyValue", "").option(
-        "compression", compression
-    ).csv(path)
+    """Append rows to a staged table; empty text is quoted, so that it is told from a missing value."""
+    as_text(frame).write.mode("append").option("sep", "|").option("compression", compression).csv(path)
 
 
 def write_per_bundle(frame: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from cellframe.schemas import DOCUMENTS, MANIFEST
 from cellframe.session import durable, together
@@ -83,48 +84,78 @@ def manifest_file(files: Column, suffix: str) -> Column:
     return F.get(F.filter(files, lambda f: f["name"].endswith(suffix)), F.lit(0))
 
 
-def read_counts(spark: SparkSession, path: list[str], kind: str) -> DataFrame:
-    """``(bundle_fqid, id, tpm, expected_count)`` of the ``*.genes.results`` or ``*.isoforms.results`` files."""
-    key = {"genes": "gene_id", "isoforms": "transcript_id"}[kind]
+def _titled(texts: DataFrame, separator: str) -> DataFrame:
+    """``(bundle_fqid, titles, fields)``: every line of every text but its first one, which gives the titles.
+
+    A text is a whole file, so that its own title line says which field is which, whatever other files say. One without
+    lines below its titles gives a row without fields.
+    """
+    lines = F.filter(F.split("value", r"\r\n|\r|\n"), lambda line: F.trim(line) != "")
+    named = texts.select("bundle_fqid", lines.alias("lines"))
+    cut = lambda line: F.transform(F.split(line, separator), lambda f: F.trim(F.regexp_replace(f, '^"|"$', "")))
+    body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    found = named.select("bundle_fqid", F.get("lines", F.lit(0)).alias("title"), F.explode_outer(body).alias("line"))
+    return found.select("bundle_fqid", cut(F.col("title")).alias("titles"), cut(F.col("line")).alias("fields"))
+
+
+_TEXTS = "bundle_fqid string, value string"
+
+
+def _files(spark: SparkSession, path: list[str], pattern: str) -> DataFrame:
+    """``(bundle_fqid, value)`` of every file named by ``pattern``."""
 
     def read() -> DataFrame:
-        return (
-            spark.read.option("header", True)
-            .option("sep", "\t")
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", f"*.{kind}.results")
-            .csv(path)
-            .select(
-                bundle_name(F.col("_metadata.file_path")).alias("bundle_fqid"),
-                F.col(key).alias("id"),
-                F.col("TPM").try_cast("double").alias("tpm"),
-                F.col("expected_count").try_cast("double").alias("expected_count"),
-            )
-        )
+        whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+        return whole.select(bundle_name(F.col("_metadata.file_path")).alias("bundle_fqid"), "value")
+
+    return _or_empty(read, spark, _TEXTS, path)
 
-    return _or_empty(read, spark, "bundle_fqid string, id string, tpm double, expected_count double", path)
+
+def _named(title: str) -> Column:
+    """The field under a title; null where the file has no such title."""
+    return F.get("fields", F.array_position("titles", F.lit(title)).cast("int") - 1)
+
+
+def read_counts(spark: SparkSession, path: list[str], kind: str) -> DataFrame:
+    """``(bundle_fqid, id, tpm, expected_count)`` of the ``*.genes.results`` or ``*.isoforms.results`` files.
+
+    Columns are found by the title line of each file. A file that lacks one of them gives rows that lack its values,
+    so that intake sets its bundle aside; so does a file without rows, with one row that lacks all.
+    """
+    return counts_of(_files(spark, path, f"*.{kind}.results"), kind)
+
+
+def counts_of(texts: DataFrame, kind: str) -> DataFrame:
+    """What :func:`read_counts` gives, of files as texts (``bundle_fqid``, ``value``)."""
+    key = {"genes": "gene_id", "isoforms": "transcript_id"}[kind]
+    return _titled(texts, "\t").select(
+        "bundle_fqid",
+        _named(key).alias("id"),
+        _named("TPM").try_cast("double").alias("tpm"),
+        _named("expected_count").try_cast("double").alias("expected_count"),
+    )
 
 
 def read_calls(spark: SparkSession, path: list[str]) -> DataFrame:
-    """``(bundle_fqid, cell_id, total, is_cell)`` of the empty-droplet calls."""
-    schema = "CellId string, Total int, LogProb string, PValue string, Limited string, FDR string, IsCell string"
+    """``(bundle_fqid, cell_id, total, is_cell)`` of the empty-droplet calls, columns found by each file's title line.
+
+    What is no number or neither TRUE nor FALSE is null.
+    """
+    return calls_of(_files(spark, path, CALLS))
 
-    def read() -> DataFrame:
-        return (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "empty_drops_result.csv")
-            .csv(path)
-            .select(
-                bundle_name(F.col("_metadata.file_path")).alias("bundle_fqid"),
-                F.col("CellId").alias("cell_id"),
-                F.col("Total").alias("total"),
-                (F.col("IsCell") == "TRUE").alias("is_cell"),
-            )
-        )
 
-    return _or_empty(read, spark, "bundle_fqid string, cell_id string, total int, is_cell boolean", path)
+CALLS = "empty_drops_result.csv"
+
+
+def calls_of(texts: DataFrame) -> DataFrame:
+    """What :func:`read_calls` gives, of files as texts (``bundle_fqid``, ``value``)."""
+    call = F.upper(_named("IsCell"))
+    return _titled(texts, ",").select(
+        "bundle_fqid",
+        _named("CellId").alias("cell_id"),
+        _named("Total").try_cast("int").alias("total"),
+        F.when(call.isin("TRUE", "FALSE"), call == "TRUE").alias("is_cell"),
+    )
 
 
 @dataclass(frozen=True)
@@ -234,3 +265,76 @@ def read_compacted(spark: SparkSession, out: str) -> Landing:
         {kind: spark.read.parquet(os.path.join(out, "documents", kind)) for kind in DOCUMENTS},
         *(spark.read.parquet(os.path.join(out, part)) for part in _PARTS),
     )
+
+
+# Kinds of count files in a landing table, and what their names end with.
+_COUNT_FILES = {"genes": ".genes.results", "isoforms": ".isoforms.results", "calls": CALLS}
+_LANDED = "bundle_fqid string, ordinal int, value string, kind string, part int"
+#: Parts of a landing table by a hash of the bundle's name, of which a batch reads those of its bundles.
+PARTS = 16
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("bundle_fqid"), F.lit(PARTS)).cast("int").alias("part")
+
+
+def start_landing(
+    spark: SparkSession, root: str, out: str, checkpoint: str, files_per_batch: int = 10_000, available_now: bool = False
+) -> list[StreamingQuery]:
+    """Keep the landing table ``out`` up with the bundle directories below ``root``: three streams of files.
+
+    JSON documents, manifests and count files come as whole texts, parted by kind and by a hash of the bundle's name;
+    dense rows and their axes as they are. Each batch is a folder of its own, so a batch that comes again overwrites
+    itself. A file is taken once, when it appears: what changes is delivered as another version of its bundle.
+    """
+    file = F.col("_metadata.file_path")
+
+    def stream(source: DataFrame, name: str, folders: list[str]) -> StreamingQuery:
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").partitionBy(*folders).parquet(os.path.join(out, name, f"batch={number}"))
+
+        writer = source.writeStream.queryName(f"landing-{name}").option("checkpointLocation", os.path.join(checkpoint, name))
+        return (writer.trigger(availableNow=True) if available_now else writer).foreachBatch(keep).start()
+
+    reader = spark.readStream.option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+    texts = reader.format("text").schema("value string").option("wholetext", True).option("pathGlobFilter", "*.{json,results,csv}").load(root)
+    kind = F.regexp_extract(file, r"([^/]+?)(?:_\d+)?\.json$", 1)
+    for name, end in _COUNT_FILES.items():
+        kind = F.when(file.endswith(end), name).otherwise(kind)
+    texts = texts.select(bundle_name(file).alias("bundle_fqid"), document_number(file).alias("ordinal"), "value", kind.alias("kind"))
+    texts = texts.filter(F.col("kind").isin(*DOCUMENTS, "manifest", *_COUNT_FILES)).select("*", _part())
+    queries = [stream(texts, "texts", ["kind", "part"])]
+    for name, schema in (("chunks", CHUNKS), ("axis", AXIS)):
+        dense = reader.format("parquet").schema(schema).option("pathGlobFilter", f"{name}*.parquet").load(root)
+        queries.append(stream(dense.select("*", _part()), name, ["part"]))
+    return queries
+
+
+def read_landing(spark: SparkSession, out: str, bundles: DataFrame | None = None) -> Landing:
+    """What :func:`start_landing` has brought in: of all bundles, or of ``bundles`` (``bundle_fqid``).
+
+    Bundles are matched by a join, so any number of them can be asked for; of the table only the parts are read in
+    which some of them lie.
+    """
+
+    def landed(name: str, schema: str) -> DataFrame:
+        path = os.path.join(out, name)
+        rows = _or_empty(lambda: spark.read.schema(schema).option("basePath", path).parquet(path), spark, schema, [path])
+        if bundles is None:
+            return rows
+        wanted = bundles.select("bundle_fqid").distinct()
+        # At most one row for each part; the comparison keeps them all and lets Spark prune by them at run time.
+        parts = wanted.select(_part().alias("own")).distinct().filter(F.col("own") >= 0)
+        return rows.join(F.broadcast(parts), rows["part"] == parts["own"], "left_semi").join(wanted, "bundle_fqid", "left_semi")
+
+    texts = landed("texts", _LANDED)
+    of = lambda kind: texts.filter(F.col("kind") == kind)
+    return Landing(
+        documents={kind: parse(of(kind), schema) for kind, schema in DOCUMENTS.items()},
+        manifests=parse(of("manifest"), MANIFEST),
+        genes=counts_of(of("genes"), "genes"),
+        isoforms=counts_of(of("isoforms"), "isoforms"),
+        calls=calls_of(of("calls")),
+        chunks=landed("chunks", f"{CHUNKS}, part int").drop("part", "batch"),
+        axis=landed("axis", f"{AXIS}, part int").drop("part", "batch"),
+    )

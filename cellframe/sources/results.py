@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cellframe.catalog import CELL_CATALOG, StarCatalog
+from cellframe.fixed import EXPRESSION_BLOCK
+from cellframe.operators.prefix import whole_blocks
 from cellframe.schemas import EXPRESSION_RESULT, RESULT_MANIFEST, WAREHOUSE
 
 
@@ -62,11 +64,32 @@ def read_expression_result(spark: SparkSession, manifest: DataFrame) -> DataFram
     return spark.read.schema(EXPRESSION_RESULT).option("sep", "|").option("multiLine", True).csv(list(row["part_urls"]))
 
 
+def result_blocks(values: DataFrame, rows: int = EXPRESSION_BLOCK, cell: str = "cellkey") -> DataFrame:
+    """``values`` with ``block``, which keeps a cell's values together in at most ``rows`` rows (see ``operators.prefix``).
+
+    A reader takes block after block: all of a cell is in one, and a cell with more values is a block by itself.
+    """
+    blocks = whole_blocks(values, rows, cell).select(F.col(cell).alias("cell!"), "block")
+    return values.join(blocks, F.col(cell).eqNullSafe(F.col("cell!"))).drop("cell!")
+
+
+def write_blocks(values: DataFrame, path: str, rows: int = EXPRESSION_BLOCK, cell: str = "cellkey") -> None:
+    """Write ``values`` with one folder ``block=n`` for each block; a block lies whole in one file, in order of cells."""
+    dealt = result_blocks(values, rows, cell).repartition("block").sortWithinPartitions("block", cell)
+    dealt.write.partitionBy("block").parquet(path)
+
+
+# Stands for a missing value while staged rows are read: were it the empty text, quoted empty text would be missing too.
+_NOTHING = "\x01"
+
+
 def read_staged(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Staged ``|``-separated rows of a warehouse table, plain or gzip; empty text and ``t``/``f`` as stored."""
+    """Staged ``|``-separated rows of a warehouse table, plain or gzip: quoted empty text is empty, nothing between two
+    separators is null, line ends may stand within quotes, ``t`` and ``f`` are booleans.
+    """
     schema = WAREHOUSE[table]
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    frame = spark.read.schema(text).option("sep", "|").option("nullValue", "").csv(path)
+    frame = spark.read.schema(text).option("sep", "|").option("multiLine", True).option("nullValue", _NOTHING).csv(path)
     return frame.select(*(_typed(f) for f in schema.fields))
 
 

@@ -128,7 +128,11 @@ def test_empty_selection_writes_an_empty_result(snowflake, tmp_path, format_, na
     nothing = {"op": "=", "field": "barcode", "value": "none such"}
     export = MatrixExport.of(MatrixRequest(CELL_CATALOG, snowflake, nothing, format=format_))
     export.write(str(tmp_path / "m"), format_)
-    assert all(open(p, "rb").read() == b"" for p in glob.glob(f"{tmp_path}/m/{name}/part-*"))
+    if format_ == "loom":
+        matrix = export.values.sparkSession.read.parquet(f"{tmp_path}/m/{name}")
+        assert matrix.columns == ["ordinal", "indices", "values"] and matrix.isEmpty()
+    else:
+        assert all(open(p, "rb").read() == b"" for p in glob.glob(f"{tmp_path}/m/{name}/part-*"))
 
 
 def test_request_to_files(snowflake, tmp_path):
@@ -180,3 +184,29 @@ def test_csv_with_empty_cells(spark, tmp_path):
     assert columns == {1: ([], []), 2: ([2], [1.5]), 3: ([], [])}
     MatrixExport(cells, values, features).write_csv(f"{tmp_path}/some")
     assert joined(f"{tmp_path}/some/expression.csv").splitlines() == ["cellkey,G1,G2,G3", "b,0,1.5,0"]
+
+
+def test_staged_text_keeps_empty_apart_from_missing(spark, tmp_path):
+    from cellframe.sinks.staged import append_staged
+    from cellframe.sources.results import read_staged
+
+    rows = [("a", "", "x\ny", "b|c"), ("b", None, '"q"', "")]
+    frame = spark.createDataFrame(rows, "librarykey string, input_nucleic_acid_ontology string, end_bias string, strand string")
+    table = frame.selectExpr("librarykey", "input_nucleic_acid_ontology", "'' as l", "null as c", "null as d", "end_bias", "strand")
+    append_staged(table, str(tmp_path / "s"))
+    back = read_staged(spark, str(tmp_path / "s"), "library_preparation").collect()
+    assert sorted((r[0], r[1], r[2], r[3], r["end_bias"], r["strand"]) for r in back) == [("a", "", "", None, "x\ny", "b|c"), ("b", None, "", None, '"q"', "")]
+
+
+@pytest.mark.parametrize("on_duplicate", ["sum"])
+def test_species_in_one_pass_are_the_single_exports(spark, snowflake, tmp_path, on_duplicate):
+    from cellframe.plans.request import fan_out
+    from cellframe.plans.species import SpeciesExport
+
+    named = {"op": "in", "field": "cell_suspension.genus_species.ontology_label", "value": ["Homo sapiens", "Mus musculus"]}
+    request = MatrixRequest(CELL_CATALOG, snowflake, named, format="mtx")
+    SpeciesExport(request, on_duplicate).write_mtx(str(tmp_path / "all"))
+    for species, single in fan_out(request).items():
+        MatrixExport.of(single, on_duplicate=on_duplicate).write(str(tmp_path / species), "mtx")
+        parts = sorted(glob.glob(f"{tmp_path}/all/matrix.mtx/species={species.replace(' ', '*')}/part-*"))
+        assert "".join(open(p).read() for p in parts) == joined(f"{tmp_path}/{species}/matrix.mtx.gz")

@@ -175,7 +175,7 @@ def test_bundles_without_all_their_counts_are_set_aside_whole(spark, labels, tmp
     (droplet("onedonor", rows=called) / "donor_organism_1.json").write_text("{")
     tables, quarantine = ingest_bundles(read_bundles(spark, str(tmp_path)), labels)
     assert {(r[0], r[1]) for r in quarantine.collect()} == {
-        ("nogenes.1", "no gene counts"), ("noisoforms.1", "no isoform counts"), ("badnumber.1", "unreadable number in gene counts"),
+        ("nogenes.1", "no gene counts"), ("noisoforms.1", "no isoform counts"), ("badnumber.1", "unreadable or missing column in gene counts"),
         ("noprotocol.1", "no analysis protocol"), ("noaxis.1", "no gene axis"), ("nocalls.1", "no droplet calls"),
         ("nochunks.1", "no dense rows"), ("short.1", "rows of another length than the gene axis"),
         ("twice.1", "two droplet calls for one barcode"), ("onedonor.1/donor_organism_1", "unreadable document"),

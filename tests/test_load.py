@@ -1,0 +1,227 @@
+"""Loads that go on after a stop, batches with failing bundles, the lasting failure log, the landing table."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import bundle_files as files
+from cellframe.plans import audits
+from cellframe.plans.failures import FailureLog
+from cellframe.plans.ingest import ingest_bundles
+from cellframe.plans.isolate import TooManyFailures, apply_apart
+from cellframe.plans.load import IncompleteLoad, Load
+from cellframe.plans.store import Store
+from cellframe.sources.bundles import read_bundles, read_landing, start_landing
+from cellframe.streaming.notifications import NotificationHandler, read_dead_letters
+
+BATCH = "bundle_uuid string, bundle_version string, event_type string, seq long"
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame(files.LABELS, "term string, label string")
+
+
+@pytest.mark.parametrize("bad", [[], [0], [12], [5, 6], [0, 7, 12], list(range(13))])
+def test_failing_items_are_found_and_the_others_applied(spark, bad):
+    items = spark.range(13).withColumnRenamed("id", "k")
+    applied, calls = [], []
+
+    def apply(part):
+        keys = [r["k"] for r in part.collect()]
+        calls.append(keys)
+        if set(keys) & set(bad):
+            raise ValueError("cannot\nbe applied")
+        applied.extend(keys)
+
+    failures = apply_apart(items, "k", apply, attempts=1)
+    assert sorted(f.key for f in failures) == bad and {f.reason for f in failures} <= {"cannot"}
+    assert sorted(applied) == [k for k in range(13) if k not in bad]
+    assert len(calls) <= 1 + 2 * 4 * max(1, len(bad))
+
+
+def test_a_passing_fault_is_no_failure_and_a_general_one_is_raised(spark):
+    items, calls = spark.range(9).withColumnRenamed("id", "k"), []
+
+    def once(part):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("gone for a moment")
+
+    assert apply_apart(items, "k", once) == [] and len(calls) == 2
+
+    def never(part):
+        raise OSError("no such store")
+
+    with pytest.raises(TooManyFailures):
+        apply_apart(items, "k", never, attempts=1, most_failures=3)
+    assert apply_apart(items.limit(0), "k", never, attempts=1) == []
+
+
+def test_failures_last_and_close(spark, tmp_path):
+    log = FailureLog(spark, str(tmp_path / "log"))
+    frame = lambda *rows: spark.createDataFrame(list(rows), "entity string, reason string")
+    loaded = lambda *names: spark.createDataFrame([(n,) for n in names], "bundle_fqid string")
+    assert log.read().isEmpty()
+    assert log.merge(frame(("a.1", "x"), ("a.1", "x"), ("b.1/doc_0", "y"), (None, None)), loaded(), "load", 1)
+    assert not log.merge(frame(("z.1", "x")), loaded("a.1"), "load", 1)
+    assert log.merge(frame(("a.1", "x"), ("c.1", "y")), loaded("b.1", "a.1"), "stream", 0)
+    state = {(r["entity"], r["reason"]): (r["bundle"], r["first_run"], r["last_run"], r["times"], r["closed_at"] is None) for r in log.read().collect()}
+    assert state == {
+        ("a.1", "x"): ("a.1", 1, 2, 2, True),  # failed again, so what was loaded doesn't count
+        ("b.1/doc_0", "y"): ("b.1", 1, 1, 1, False),
+        ("", ""): ("", 1, 1, 1, True),
+        ("c.1", "y"): ("c.1", 2, 2, 1, True),
+    }
+    log.merge(frame(("b.1/doc_0", "y")), loaded("a.1"), "load", 2)
+    assert {r["entity"] for r in log.open().collect()} == {"", "b.1/doc_0", "c.1"}
+
+
+def bundles(root):
+    files.write_plate(root)
+    files.write_droplet(root)
+    files.write_plate(root, "55555555-eeee.1", tag="second")
+    files.write_plate(root, "66666666-ffff.1", tag="third", counts=((1.0, "many"), (2.0, 6.0)))
+
+
+def test_a_load_that_was_stopped_goes_on(spark, labels, tmp_path, monkeypatch):
+    bundles(tmp_path / "landing")
+    landing = read_bundles(spark, str(tmp_path / "landing"))
+    store, log = Store(spark, str(tmp_path / "store"), buckets=2), FailureLog(spark, str(tmp_path / "log"))
+    store.create()
+    listed = spark.createDataFrame([(files.PLATE,), (files.DROPLET,), ("55555555-eeee.1",), ("66666666-ffff.1",)], "b string")
+    whole = Load._take_in
+    taken = []
+
+    def stops(self, wave, *rest):
+        if wave == 1 and len(taken) == 1:
+            raise OSError("stopped")
+        taken.append(wave)
+        whole(self, wave, *rest)
+
+    monkeypatch.setattr(Load, "_take_in", stops)
+    load = lambda: Load(spark, str(tmp_path / "run"), bundles_per_wave=2)
+    with pytest.raises(OSError):
+        load().run(store, landing, labels, log, bundles=listed)
+    assert store.current() == 1 and store.read("cell").isEmpty()
+    monkeypatch.setattr(Load, "_take_in", whole)
+    # what else is asked for later doesn't count: the selection was made
+    done = load().run(store, landing, labels, log, bundles=listed.limit(1))
+    assert (done.selected, done.loaded, done.failed, done.waves_run) == (4, 3, 1, 1) and taken == [0]
+    expected, _ = ingest_bundles(landing, labels)
+    for name, frame in expected.items():
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, frame.select(*store.read(name).columns).collect())), name
+    assert {(r["entity"], r["reason"]) for r in log.open().collect()} == {
+        ("66666666-ffff.1", "unreadable or missing column in gene counts"), (f"{files.DROPLET}/TTTT", "no droplet call")
+    }
+    loaded = store.read("analysis").select(F.col("bundle_fqid").alias("b"))
+    assert [r[0] for r in audits.missing_bundles(listed, loaded, "b").collect()] == ["66666666-ffff.1"]
+
+
+def test_a_load_that_loses_a_bundle_is_not_published(spark, labels, tmp_path, monkeypatch):
+    bundles(tmp_path / "landing")
+    landing = read_bundles(spark, str(tmp_path / "landing"))
+    store, log = Store(spark, str(tmp_path / "store"), buckets=2), FailureLog(spark, str(tmp_path / "log"))
+    load = Load(spark, str(tmp_path / "run"))
+    whole = Load.tables
+    monkeypatch.setattr(Load, "tables", lambda self: {n: f.filter("bundle_uuid <> '55555555-eeee'") if n == "analysis" else f for n, f in whole(self).items()})
+    with pytest.raises(IncompleteLoad, match="55555555-eeee.1"):
+        load.run(store, landing, labels, log, bundles=spark.createDataFrame([("55555555-eeee.1",), (files.PLATE,)], "b string"))
+    assert store.current() == 0 and log.read().isEmpty()
+
+
+def parts_of(landing):
+    frames = {**landing.documents, **{n: getattr(landing, n) for n in ("manifests", "genes", "isoforms", "calls", "chunks", "axis")}}
+    return {name: sorted(map(str, frame.select(sorted(frame.columns)).collect())) for name, frame in frames.items()}
+
+
+def test_the_landing_table_keeps_up(spark, tmp_path):
+    root, out = str(tmp_path / "landing"), str(tmp_path / "table")
+
+    def keep_up():
+        for stream in start_landing(spark, root, out, str(tmp_path / "checkpoint"), files_per_batch=5, available_now=True):
+            stream.awaitTermination()
+
+    assert read_landing(spark, out).genes.isEmpty()
+    files.write_plate(root)
+    keep_up()
+    assert parts_of(read_landing(spark, out)) == parts_of(read_bundles(spark, root))
+    files.write_droplet(root)
+    files.write_plate(root, "a b+{1}.1", tag="odd")
+    keep_up()
+    keep_up()
+    assert parts_of(read_landing(spark, out)) == parts_of(read_bundles(spark, root))
+    wanted = spark.createDataFrame([(files.DROPLET,), ("unknown.1",)], "bundle_fqid string")
+    some = read_landing(spark, out, wanted)
+    assert parts_of(some) == parts_of(read_bundles(spark, root).restrict(wanted))
+    assert "dynamicpruning" in some.documents["project"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bundle_that_fails_goes_to_the_dead_letters(spark, labels, tmp_path):
+    bundles(tmp_path / "landing")
+    store, log = Store(spark, str(tmp_path / "store"), buckets=2), FailureLog(spark, str(tmp_path / "log"))
+    store.create()
+    poison = ["55555555-eeee.1"]
+
+    def landing(updates):
+        if poison and not updates.filter(F.col("bundle_fqid").isin(*poison)).isEmpty():
+            raise OSError("this one cannot be read")
+        return read_bundles(spark, str(tmp_path / "landing")).restrict(updates)
+
+    handler = NotificationHandler(store, landing, labels, str(tmp_path / "aside"), dead_letters=str(tmp_path / "dead"), log=log, attempts=1)
+    names = [files.PLATE, files.DROPLET, "55555555-eeee.1", "66666666-ffff.1", "none.1"]
+    notes = spark.createDataFrame([(*n.split(".", 1), "CREATE", k) for k, n in enumerate(names)], BATCH)
+    handler(notes, 0, "s")
+    assert {r["bundle_fqid"] for r in store.read("analysis").collect()} == {files.PLATE, files.DROPLET}
+    letters = read_dead_letters(spark, str(tmp_path / "dead")).collect()
+    assert [(r["bundle_fqid"], r["event_type"], r["attempts"]) for r in letters] == [("55555555-eeee.1", "CREATE", 1)] and "cannot be read" in letters[0]["reason"]
+    open_failures = {(r["entity"], r["reason"]) for r in log.open().collect()}
+    assert open_failures == {
+        ("66666666-ffff.1", "unreadable or missing column in gene counts"), (f"{files.DROPLET}/TTTT", "no droplet call"), ("none.1", "not in the landing zone")
+    }
+    version = store.current()
+    handler(notes, 0, "s")
+    assert store.current() == version
+    # mended, the letters are applied as any batch
+    poison.clear()
+    handler(read_dead_letters(spark, str(tmp_path / "dead")).select("bundle_uuid", "bundle_version", "event_type", "seq"), 0, "letters")
+    assert store.read("analysis").count() == 3
+    without = NotificationHandler(store, lambda updates: 1 / 0, labels, str(tmp_path / "aside2"))
+    with pytest.raises(ZeroDivisionError):
+        without(notes, 1, "s")
+
+
+def test_columns_are_found_by_each_files_titles(spark, labels, tmp_path):
+    """One bundle's files have their columns in another order, one lacks a column, one has titles alone."""
+    root = str(tmp_path)
+    for n, (bundle, title, line) in enumerate(
+        [
+            ("a.1", "gene_id\ttranscript_id(s)\tlength\teffective_length\texpected_count\tTPM\tFPKM", "G.1\tt\t1\t1\t10\t1.5\t0"),
+            ("b.1", 'gene_id\texpected_count\t"TPM"', '"G.1"\t10\t1.5\r'),
+            ("c.1", "gene_id\tTPM", "G.1\t1.5"),
+            ("d.1", "gene_id\texpected_count\tTPM", ""),
+        ]
+    ):
+        files.write_plate(root, bundle, tag=f"t{n}")
+        with open(os.path.join(root, bundle, "q.genes.results"), "w", newline="") as file:
+            file.write(f"{title}\n{line}\n")
+    landing = read_bundles(spark, root)
+    found = sorted((r["bundle_fqid"], r["id"], r["tpm"], r["expected_count"]) for r in landing.genes.collect() if r["id"])
+    assert found == [("a.1", "G.1", 1.5, 10.0), ("b.1", "G.1", 1.5, 10.0), ("c.1", "G.1", 1.5, None)]
+    tables, aside = ingest_bundles(landing, labels)
+    assert {(r["entity"], r["reason"]) for r in aside.collect()} == {(b, "unreadable or missing column in gene counts") for b in ("c.1", "d.1")}
+    assert {r["cellkey"] for r in tables["cell"].collect()} == {"susp-t0", "susp-t1"}
+    calls = spark.createDataFrame([("x.1", "IsCell,CellId,Total\nTRUE,AAAA,100\nmaybe,CCCC,7\n")], "bundle_fqid string, value string")
+    from cellframe.sources.bundles import calls_of
+
+    assert [tuple(r)[1:] for r in calls_of(calls).collect()] == [("AAAA", 100, True), ("CCCC", 7, None)]
+
+
+def test_a_project_without_a_short_name_is_kept(spark, labels, tmp_path):
+    files.write_plate(tmp_path)
+    with open(tmp_path / files.PLATE / "project_0.json", "w") as file:
+        json.dump({"provenance": {"document_id": "proj-1"}, "project_core": {"project_title": "T"}, "contributors": [{"name": "Ada"}]}, file)
+    tables, aside = ingest_bundles(read_bundles(spark, str(tmp_path)), labels)
+    assert [r["projectkey"] for r in tables["project"].collect()] == ["proj-1"] and tables["contributor"].count() == 1 and aside.isEmpty()

@@ -208,3 +208,35 @@ def test_audits(spark, snowflake):
     expected = spark.createDataFrame([("b1.2019.1",), ("b3.1",)], "bundle string")
     assert [r[0] for r in audits.missing_bundles(expected, snowflake["analysis"]).collect()] == ["b3.1"]
     assert tuple(audits.verify_load(expected, snowflake["analysis"]).first()) == (2, 1, False)
+
+
+def test_a_request_over_a_store_reads_the_buckets_of_its_cells(spark, snowflake, tmp_path):
+    """Values of all other buckets are made unreadable: nobody looks."""
+    import glob
+
+    from cellframe.plans.store import Store
+
+    store = Store(spark, str(tmp_path / "store"), buckets=16)
+    store.reload(snowflake)
+    wanted = {"op": "=", "field": "bundle_uuid", "value": "b1"}
+    over = lambda tables: MatrixRequest(CELL_CATALOG, tables, wanted)
+    lie = {r[0] for r in store.tables()["cell"].filter("analysiskey = 'a1'").select("`bucket!`").collect()}
+    for file in glob.glob(f"{tmp_path}/store/tables/expression/*/bucket=*/*/part-*"):
+        if int(file.split("bucket=")[1].split("/")[0]) not in lie:
+            open(file, "wb").write(b"not Parquet")
+    frame = over(store.tables()).expression()
+    assert "dynamicpruning" in frame._jdf.queryExecution().executedPlan().toString()
+    expected = sorted(map(tuple, over(snowflake).expression().collect()))
+    assert expected and sorted(map(tuple, frame.collect())) == expected
+    assert frame.columns == over(snowflake).expression().columns
+    with pytest.raises(Exception):
+        store.read("expression").collect()
+    assert sorted(map(str, over(store.tables()).cells().collect())) == sorted(map(str, over(snowflake).cells().collect()))
+
+
+def test_one_selection_gives_cells_and_values(snowflake):
+    for wanted in (None, {"op": ">", "field": "genes_detected", "value": 10}):
+        request = MatrixRequest(CELL_CATALOG, snowflake, wanted)
+        cells, values = request.selection()
+        assert cells.columns == request.cells().columns and sorted(map(str, cells.collect())) == sorted(map(str, request.cells().collect()))
+        assert sorted(map(str, values.collect())) == sorted(map(str, request.expression().collect()))
