@@ -24,11 +24,11 @@ class Encoder:
     """Ids of a text, exactly those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A byte-level tokenizer of this kind never joins two words over a single space that has no white space beside it.
-    So a text is cut there, and the ids of a piece are kept for the next time, in a memo of bounded size (about 45 MB), of which
+    So a text is cut there, and the ids of a piece are kept for the next time, in a memo of bounded size (about 80 MB), of which
     :meth:`forget` drops the older half at the end of a task. Other tokenizers, and texts with the string of an added token, are encoded whole.
     """
 
-    def __init__(self, path: str, memo_entries: int = 150_000) -> None:
+    def __init__(self, path: str, memo_entries: int = 250_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
