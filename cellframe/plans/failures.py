@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellframe.schemas import table
+from cellframe.session import build_side
 
 LOG = table("entity!", "reason!", "bundle", "first_run long", "last_run long", "times long", "first_seen timestamp", "last_seen timestamp", "closed_at timestamp")
 _RUNS = table("seq long!", "source", "number long", "at timestamp")
@@ -51,10 +52,10 @@ class FailureLog:
         now = F.current_timestamp() if at is None else at
         blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
         new = failures.select(blank("entity"), blank("reason")).distinct().withColumn("new", F.lit(True))
-        faulty = new.select(bundle_of(F.col("entity")).alias("bundle")).distinct()
+        faulty = build_side(new.select(bundle_of(F.col("entity")).alias("bundle")).distinct())
         sound = loaded.select(F.col("bundle_fqid").alias("bundle")).distinct().join(faulty, "bundle", "left_anti").withColumn("sound", F.lit(True))
         both = self.read().drop("bundle").join(new, ["entity", "reason"], "full").withColumn("bundle", bundle_of(F.col("entity")))
-        both = both.join(sound, "bundle", "left")
+        both = both.join(build_side(sound), "bundle", "left")
         seen, run = F.col("new").isNotNull(), F.lit(seq).cast("long")
         closed = F.when(seen, F.lit(None)).otherwise(F.coalesce("closed_at", F.when(F.col("sound"), now)))
         merged = both.select(

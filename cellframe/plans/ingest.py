@@ -8,7 +8,7 @@ from cellframe.fixed import SCHEMA_VERSIONS
 from cellframe.operators.keyed import concat
 from cellframe.plans import counts, metadata
 from cellframe.schemas import WAREHOUSE
-from cellframe.session import durable
+from cellframe.session import build_side, durable
 from cellframe.sources.bundles import CORRUPT, Landing
 
 def corrupt_documents(landing: Landing) -> DataFrame:
@@ -42,13 +42,13 @@ def sound_part(landing: Landing) -> tuple[Landing, DataFrame, DataFrame]:
     documents are loaded. ``keys`` are the per-bundle facts of the bundles that stay.
     """
     unreadable = durable(corrupt_documents(landing), "unreadable")
-    keys = durable(counts.bundle_keys(landing), "bundle-keys")
+    keys = build_side(durable(counts.bundle_keys(landing), "bundle-keys"))
     without = seen_bundles(landing).join(keys, "bundle_fqid", "left_anti").select("bundle_fqid", F.lit("no analysis protocol").alias("reason"))
     lacking = counts.rejected(keys.filter("assay IS NOT NULL")).withColumnRenamed("entity", "bundle_fqid")
     faults = durable(concat(without, lacking, counts.count_faults(landing, keys)), "faults")
     broken = unreadable.select(F.element_at(F.split("entity", "/"), 1).alias("bundle_fqid"))
-    gone = durable(concat(faults.select("bundle_fqid"), broken).distinct(), "set-aside")
-    listed = faults.join(broken, "bundle_fqid", "left_anti").withColumnRenamed("bundle_fqid", "entity")
+    gone = build_side(durable(concat(faults.select("bundle_fqid"), broken).distinct(), "set-aside"))
+    listed = faults.join(build_side(broken), "bundle_fqid", "left_anti").withColumnRenamed("bundle_fqid", "entity")
     return landing.without(gone), keys.join(gone, "bundle_fqid", "left_anti"), concat(unreadable, listed)
 
 
@@ -59,7 +59,7 @@ def conform(frame: DataFrame, table: str) -> DataFrame:
 
 def count_tables(landing: Landing, keys: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """``cell`` and ``expression`` of every bundle of a supported assay."""
-    sound = counts.complete(keys)
+    sound = build_side(counts.complete(keys))
     plate_cells, plate_values = counts.plate_tables(landing, sound)
     droplet_cells, droplet_values, lost = counts.droplet_tables(landing, sound)
     return {
@@ -77,7 +77,7 @@ def ingest_bundles(landing: Landing, labels: DataFrame) -> tuple[dict[str, DataF
     landing, keys, unfit = sound_part(landing)
     facts = metadata.bundle_facts(landing.documents, labels.sparkSession)
     bad_dimensions = durable(metadata.unfit_specimens(facts), "unfit-specimens")
-    unfit_bundles = bad_dimensions.select(F.col("entity").alias("bundle_fqid"))
+    unfit_bundles = build_side(bad_dimensions.select(F.col("entity").alias("bundle_fqid")))
     landing, keys = landing.without(unfit_bundles), keys.join(unfit_bundles, "bundle_fqid", "left_anti")
     documents = landing.documents
     tables, bad_counts = count_tables(landing, keys)

@@ -17,7 +17,7 @@ from cellframe.plans.ingest import bundle_summary, ingest_bundles
 from cellframe.plans.selection import select_bundles
 from cellframe.plans.store import Store
 from cellframe.schemas import WAREHOUSE, table
-from cellframe.session import together
+from cellframe.session import build_side, together
 from cellframe.sources.bundles import Landing
 
 _WAVES = table("bundle_fqid!", "wave long!")
@@ -86,8 +86,9 @@ class Load:
         tables = self.tables() | ({} if features is None else {"feature": features})
         failures = self._read("failures", _FAILED)
         failed = failures.select(bundle_of(F.col("entity")).alias("bundle_fqid")).distinct()
-        loaded = tables["analysis"].select("bundle_fqid").distinct()
-        lost = audits.missing_bundles(selected.select("bundle_fqid"), loaded.union(failed).distinct(), "bundle_fqid")
+        loaded = build_side(tables["analysis"].select("bundle_fqid").distinct())
+        settled = build_side(loaded.union(failed).distinct())
+        lost = audits.missing_bundles(selected.select("bundle_fqid"), settled, "bundle_fqid")
         if not lost.isEmpty():
             raise IncompleteLoad(f"neither loaded nor failed: {', '.join(str(r[0]) for r in lost.limit(5).collect())}")
         version = store.reload(tables)

@@ -11,7 +11,7 @@ from cellframe.functions import ontology, text
 from cellframe.functions.identifiers import bundle_uuid, bundle_version, disposition
 from cellframe.operators.consensus import consensus, representative, single_or_blank
 from cellframe.operators.keyed import concat
-from cellframe.session import durable, together
+from cellframe.session import build_side, durable, together
 
 def _terms(path: str) -> Column:
     """Ontology terms of a list attribute, empty list when absent."""
@@ -215,7 +215,7 @@ def bundle_facts(documents: Mapping[str, DataFrame], spark: SparkSession) -> dic
         "organ": derived_organs(documents["organoid"], documents["cell_line"]),
     }
     written = together(spark, [lambda n=name, f=frame: durable(f, f"{n}-facts") for name, frame in facts.items()])
-    return dict(zip(facts, written))
+    return {name: build_side(frame) for name, frame in zip(facts, written)}
 
 
 def _sound() -> Column:

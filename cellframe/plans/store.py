@@ -22,7 +22,7 @@ from cellframe.plans import audits
 from cellframe.plans.ingest import empty_tables
 from cellframe.plans.journal import Journal, newest
 from cellframe.schemas import WAREHOUSE, table
-from cellframe.session import durable, together
+from cellframe.session import build_side, durable, together
 
 _LISTING = table("table!", "bucket int!", "written int!")
 _POINTER = table("seq long!", "version int!", "source", "batch long")
@@ -148,7 +148,7 @@ class Store:
         """Remove, then upsert, and publish both as one version."""
         base, version, buckets = self.current(), self._next(), self.buckets
         doomed = self._doomed(base, removals) if removals is not None else {}
-        staged = {name: durable(frame, f"staged-{name}") for name, frame in (tables or {}).items() if name != "feature"}
+        staged = {name: build_side(durable(frame, f"staged-{name}")) for name, frame in (tables or {}).items() if name != "feature"}
         places = self._places(base)
         cells = self._listed("cell", places)
         owners = self._owners(places, buckets)
@@ -213,8 +213,8 @@ class Store:
 
     def _doomed(self, base: int, bundles: DataFrame) -> dict[str, DataFrame]:
         analyses, cells = cascade(self.read("analysis", base), self.read("cell", base), bundles)
-        analyses = durable(analyses, "doomed-analysis")
-        cells = durable(cells.select("cellkey", "analysiskey"), "doomed-cell")
+        analyses = build_side(durable(analyses, "doomed-analysis"))
+        cells = build_side(durable(cells.select("cellkey", "analysiskey"), "doomed-cell"))
         return {"expression": cells, "cell": cells, "analysis": analyses}
 
     def _without(self, name: str, rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ class Store:
         """
         path = os.path.join(self.root, "tables", name, f"v={version}")
         if owners is not None:
-            placed = rows.join(owners.withColumnRenamed("b", "bucket"), "cellkey", "left").fillna(_NO_OWNER, ["bucket"])
+            placed = rows.join(build_side(owners.withColumnRenamed("b", "bucket")), "cellkey", "left").fillna(_NO_OWNER, ["bucket"])
         else:
             placed = rows.withColumn("bucket", self._owner_bucket(buckets) if name == "cell" else F.lit(0))
         folders = ["bucket", *_FOLDERS.get(name, [])]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from cellframe.schemas import DOCUMENTS, MANIFEST
-from cellframe.session import durable, together
+from cellframe.session import build_side, durable, together
 
 CORRUPT = "_corrupt_record"
 _PATTERN = re.compile(r"[{}\[\]*?\\,]")
@@ -176,7 +176,7 @@ class Landing:
 
     def restrict(self, bundles: DataFrame) -> Landing:
         """Only the given bundles."""
-        wanted = bundles.select("bundle_fqid").distinct()
+        wanted = build_side(bundles.select("bundle_fqid").distinct())
 
         def keep(frame: DataFrame) -> DataFrame:
             return frame.join(wanted, "bundle_fqid", "left_semi")
@@ -189,9 +189,10 @@ class Landing:
 
     def without(self, bundles: DataFrame) -> Landing:
         """All but the given bundles."""
+        unwanted = build_side(bundles)
 
         def keep(frame: DataFrame) -> DataFrame:
-            return frame.join(bundles, "bundle_fqid", "left_anti")
+            return frame.join(unwanted, "bundle_fqid", "left_anti")
 
         return Landing(
             {kind: keep(frame) for kind, frame in self.documents.items()},
@@ -317,12 +318,13 @@ def read_landing(spark: SparkSession, out: str, bundles: DataFrame | None = None
     which some of them lie.
     """
 
+    wanted = None if bundles is None else build_side(bundles.select("bundle_fqid").distinct())
+
     def landed(name: str, schema: str) -> DataFrame:
         path = os.path.join(out, name)
         rows = _or_empty(lambda: spark.read.schema(schema).option("basePath", path).parquet(path), spark, schema, [path])
-        if bundles is None:
+        if wanted is None:
             return rows
-        wanted = bundles.select("bundle_fqid").distinct()
         # At most one row for each part; the comparison keeps them all and lets Spark prune by them at run time.
         parts = wanted.select(_part().alias("own")).distinct().filter(F.col("own") >= 0)
         return rows.join(F.broadcast(parts), rows["part"] == parts["own"], "left_semi").join(wanted, "bundle_fqid", "left_semi")
