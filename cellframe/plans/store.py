@@ -158,10 +158,16 @@ class Store:
             nonlocal places
             if not touched:
                 return
-            rows = self._listed(name, places, touched)
+            stay = owners is not None and "cell" not in staged and self._one_owner(owners)
+            rows = self._listed(name, places, touched, bucketed=stay)
             if name in doomed:
                 rows = self._without(name, rows, doomed[name])
-            if name in staged:
+            if stay:
+                # Values that stay lie where their cell does; only new ones have to meet their cell.
+                rows = rows.withColumnRenamed(fixed.BUCKET, "bucket")
+                if name in staged:
+                    rows = remove(rows, staged[name], fixed.UPSERT_KEYS[name]).unionByName(self._by_owner(staged[name], owners))
+            elif name in staged:
                 rows = upsert(rows, staged[name], fixed.UPSERT_KEYS[name])
             written = self._write(name, rows, version, buckets, owners)
             places = [p for p in places if p[0] != name or p[1] not in touched] + [(name, b, version) for b in written]
@@ -187,7 +193,9 @@ class Store:
         if "expression" in staged:
             keys = staged["expression"].select("cellkey").distinct()
             lie = F.coalesce("b", F.lit(_NO_OWNER)).alias("b")
-            touched |= self._buckets_in(*(keys.join(o, "cellkey", "left").select(lie) for o in (owners, now)))
+            # Where no cell changes, cells lie now where they lay before.
+            lay = (owners, now) if "cell" in staged or "cell" in doomed else (now,)
+            touched |= self._buckets_in(*(keys.join(o, "cellkey", "left").select(lie) for o in lay))
         changed("expression", touched, now)
         return self._publish(version, places, source, batch)
 
@@ -230,6 +238,16 @@ class Store:
         """``(cellkey, b)``: the bucket of every cell, and so of its values."""
         return self._listed("cell", places).select("cellkey", self._owner_bucket(buckets).alias("b"))
 
+    @staticmethod
+    def _one_owner(owners: DataFrame) -> bool:
+        """Is every cell there once? Only then is a stored value the one that a join with its cell gives."""
+        return audits.duplicate_keys(owners.filter("cellkey IS NOT NULL"), "cellkey").isEmpty()
+
+    @staticmethod
+    def _by_owner(rows: DataFrame, owners: DataFrame) -> DataFrame:
+        """Values with the bucket of their cell."""
+        return rows.join(build_side(owners.withColumnRenamed("b", "bucket")), "cellkey", "left").fillna(_NO_OWNER, ["bucket"])
+
     @staticmethod
     def _buckets_in(*frames: DataFrame) -> set[int]:
         # At most as many rows as there are buckets.
@@ -256,11 +274,14 @@ class Store:
     def _write(self, name: str, rows: DataFrame, version: int, buckets: int, owners: DataFrame | None = None) -> list[int]:
         """Write rows and return the buckets that got any; values go to the bucket that ``owners`` give their cell.
 
+        Rows that have a ``bucket`` go there.
         Files are cut by ranges of bucket and key, so a large bucket is spread over several tasks.
         """
         path = os.path.join(self.root, "tables", name, f"v={version}")
-        if owners is not None:
-            placed = rows.join(build_side(owners.withColumnRenamed("b", "bucket")), "cellkey", "left").fillna(_NO_OWNER, ["bucket"])
+        if "bucket" in rows.columns:
+            placed = rows
+        elif owners is not None:
+            placed = self._by_owner(rows, owners)
         else:
             placed = rows.withColumn("bucket", self._owner_bucket(buckets) if name == "cell" else F.lit(0))
         folders = ["bucket", *_FOLDERS.get(name, [])]

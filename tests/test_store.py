@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import bundle_files as files
+from cellframe import fixed
 from cellframe.catalog import CELL_CATALOG
 from cellframe.operators.keyed import concat, latest, ordered_distinct, remove, upsert
 from cellframe.plans import audits
-from cellframe.plans.ingest import ingest_bundles
+from cellframe.plans.ingest import empty_tables, ingest_bundles
 from cellframe.plans.store import Store, UnknownVersion
 from cellframe.sources.bundles import read_bundles
 from cellframe.streaming.notifications import (
@@ -72,6 +73,33 @@ def test_versions(spark, snowflake, tmp_path):
     assert [r[0] for r in store.verify(expected).collect()] == ["b9.1"]
 
 
+@pytest.mark.parametrize("copies, placed", [(1, True), (2, False)])
+def test_values_that_stay_do_not_meet_their_cells_again(spark, tmp_path, monkeypatch, copies, placed):
+    cells = spark.createDataFrame([(f"c{i}", f"a{i % 5}") for i in range(20)] * copies, "cellkey string, analysiskey string")
+    values = [(f"c{i}" if i < 20 else None, f"f{j}", "Count", float(i)) for i in range(21) for j in range(3)]
+    values = spark.createDataFrame(values, "cellkey string, featurekey string, exprtype string, exrpvalue float")
+    analyses = spark.createDataFrame([(f"a{i}", f"b{i}.1") for i in range(5)], "analysiskey string, bundle_fqid string")
+    empty = empty_tables(spark)
+    tables = {"cell": cells, "analysis": analyses, "expression": values}
+    tables = {n: t.withColumns({f.name: F.lit(None).cast(f.dataType) for f in empty[n].schema if f.name not in t.columns}).select(*empty[n].columns) for n, t in tables.items()}
+    store = Store(spark, str(tmp_path), buckets=4)
+    store.reload(tables)
+    given, write = [], Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, name, rows, *rest: given.append((name, "bucket" in rows.columns)) or write(self, name, rows, *rest))
+    # a value of a new cell, of one that isn't there and of one that is
+    new = spark.createDataFrame([("c3", "n", "Count", 7.0), ("c99", "n", "Count", 8.0)], tables["expression"].schema)
+    store.upsert({"expression": new})
+    store.remove(spark.createDataFrame([("b1.1",)], "bundle_fqid string"))
+    assert [p for n, p in given if n == "expression"] == [placed, placed]
+    kept = {tuple(r) for r in values.collect() if r[0] is None or (r[0] != "c3" and int(r[0][1:]) % 5 != 1)} | {("c3", "n", "Count", 7.0), ("c99", "n", "Count", 8.0)}
+    found = store.tables()["expression"]
+    rows = [tuple(r) for r in found.drop(fixed.BUCKET).collect()]
+    assert set(rows) == kept and (copies > 1 or len(rows) == len(kept))
+    # every value lies where its cell does
+    lies = found.join(store.tables()["cell"].select("cellkey", F.col(fixed.BUCKET).alias("own")), "cellkey", "left")
+    assert lies.filter(F.col(fixed.BUCKET) != F.coalesce("own", F.lit(fixed.NO_BUCKET))).isEmpty()
+
+
 def test_upsert_rewrites_only_touched_buckets(spark, snowflake, tmp_path):
     store = Store(spark, str(tmp_path), buckets=8)
     store.reload(snowflake)
