@@ -119,7 +119,8 @@ class Load:
             rows.write.mode("overwrite").parquet(os.path.join(self._place(name), f"wave={wave}"))
 
         parts: Mapping[str, DataFrame] = {f"tables/{n}": f for n, f in tables.items()} | {"failures": failures.select(*_FAILED.names)}
-        together(self.spark, [lambda n=name, f=frame: write(n, f) for name, frame in parts.items()])
+        # Each of these has a plan of dozens of joins, which the driver holds with all its tasks while it runs.
+        together(self.spark, [lambda n=name, f=frame: write(n, f) for name, frame in parts.items()], threads=3)
         self._mark(wave)
 
     def _mark(self, step: int) -> None:

@@ -13,7 +13,8 @@ from cellframe.plans.ingest import ingest_bundles
 from cellframe.plans.isolate import TooManyFailures, apply_apart
 from cellframe.plans.load import IncompleteLoad, Load
 from cellframe.plans.store import Store
-from cellframe.sources.bundles import read_bundles, read_landing, start_landing
+from cellframe.retail.warehouse import _land_orders
+from cellframe.sources.bundles import PARTS, read_bundles, read_landing, start_landing
 from cellframe.streaming.notifications import NotificationHandler, read_dead_letters
 
 BATCH = "bundle_uuid string, bundle_version string, event_type string, seq long"
@@ -225,3 +226,22 @@ def test_a_project_without_a_short_name_is_kept(spark, labels, tmp_path):
         json.dump({"provenance": {"document_id": "proj-1"}, "project_core": {"project_title": "T"}, "contributors": [{"name": "Ada"}]}, file)
     tables, aside = ingest_bundles(read_bundles(spark, str(tmp_path)), labels)
     assert [r["projectkey"] for r in tables["project"].collect()] == ["proj-1"] and tables["contributor"].count() == 1 and aside.isEmpty()
+
+
+def test_landed_orders_have_few_files(spark, tmp_path):
+    orders = spark.range(0, 400, 1, 4).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'O' AS o_orderstatus", "'2-HIGH' AS o_orderpriority")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(7).selectExpr("id AS c_custkey", "int(id) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    items = spark.range(400).selectExpr("id AS l_orderkey", "id AS l_partkey", "1 AS l_linenumber", "2.0D AS l_quantity")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # a task for each file of the orders
+    try:
+        _land_orders(spark, str(tmp_path), str(tmp_path / "landing"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    texts = spark.read.parquet(str(tmp_path / "landing/texts"))
+    texts = texts.withColumn("file", F.input_file_name())
+    found = texts.groupBy("kind").agg(F.count_distinct("bundle_fqid").alias("bundles"), F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files"))
+    found = {r["kind"]: tuple(r)[1:] for r in found.collect()}
+    assert found["manifest"] == found["cell_suspension"] == (400, 400, PARTS)
+    assert found["analysis_process"][:2] == (342, 342) and found["genes"][:2] == (400, 400)
