@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cellframe import fixed
 from cellframe.functions.identifiers import assay, droplet_cell_key, strip_version
 from cellframe.operators.consensus import representative
+from cellframe.operators.keyed import concat
 from cellframe.operators.reshape import entries_to_long, nonzero_entries
 from cellframe.session import durable
 from cellframe.sources.bundles import Landing, manifest_file
@@ -128,11 +129,14 @@ def rejected(keys: DataFrame) -> DataFrame:
 
 
 def plate_tables(landing: Landing, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(cell, expression)`` of plate bundles; the cell is the suspension."""
+    """``(cell, expression)`` of plate bundles; the cell is the suspension.
+
+    Counts are dealt by bundle once, for the sums as for the join with their cells; a bundle's come from a file or two.
+    """
     plate = keys.filter("assay = 'plate'")
     owner = plate.select("bundle_fqid", F.col("cellsuspensionkey").alias("cellkey"))
-    genes = collapse_versions(landing.genes, "bundle_fqid")
-    isoforms = collapse_versions(landing.isoforms, "bundle_fqid")
+    genes = collapse_versions(landing.genes.repartition("bundle_fqid"), "bundle_fqid")
+    isoforms = collapse_versions(landing.isoforms.repartition("bundle_fqid"), "bundle_fqid")
     cells = plate.join(genes_detected(genes, "bundle_fqid"), "bundle_fqid", "left").select(
         F.col("cellsuspensionkey").alias("cellkey"),
         *_KEYS,
@@ -141,7 +145,7 @@ def plate_tables(landing: Landing, keys: DataFrame) -> tuple[DataFrame, DataFram
         F.lit(None).cast("int").alias("total_umis"),
         F.lit(None).cast("boolean").alias("emptydrops_is_cell"),
     )
-    values = typed_values(isoforms.unionByName(genes), "bundle_fqid").join(owner, "bundle_fqid")
+    values = typed_values(concat(*(kind.join(owner, "bundle_fqid") for kind in (isoforms, genes))), "cellkey")
     return cells, values.select("cellkey", "featurekey", "exprtype", F.col("exrpvalue").cast("float"))
 
 

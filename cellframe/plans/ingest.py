@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cellframe.fixed import SCHEMA_VERSIONS
 from cellframe.operators.keyed import concat
@@ -74,13 +77,16 @@ def ingest_bundles(landing: Landing, labels: DataFrame) -> tuple[dict[str, DataF
     Nothing fails because of one bad bundle: a bundle is loaded as a whole or listed, with no row in any table. The
     small per-bundle facts are written on the way, so that the tables do not parse the documents again and again.
     """
+    arrived = landing
     landing, keys, unfit = sound_part(landing)
-    facts = metadata.bundle_facts(landing.documents, labels.sparkSession)
+    labels = durable(labels, "labels")
+    facts = metadata.bundle_facts(landing.documents)
     bad_dimensions = durable(metadata.unfit_specimens(facts), "unfit-specimens")
     unfit_bundles = build_side(bad_dimensions.select(F.col("entity").alias("bundle_fqid")))
     landing, keys = landing.without(unfit_bundles), keys.join(unfit_bundles, "bundle_fqid", "left_anti")
     documents = landing.documents
-    tables, bad_counts = count_tables(landing, keys)
+    # Counts of plate bundles meet the keys of the sound ones anyway, so they need not be freed of the others before.
+    tables, bad_counts = count_tables(replace(landing, genes=arrived.genes, isoforms=arrived.isoforms), keys)
     dimensions = metadata.specimen_tables(facts, labels)
     project, contributor, publication = metadata.projects(documents["project"])
     tables |= dimensions
@@ -103,42 +109,44 @@ def bundle_summary(landing: Landing) -> DataFrame:
     """One row per bundle with what bundle selection looks at.
 
     Each kind contributes the distinct values of its documents, so a bundle's arrays are as short as its set of
-    values, however many documents it has.
+    values, however many documents it has. A document without a version adds none. All kinds are gathered at once, after
+    the one shuffle that brings a bundle's documents together.
     """
-    documents = landing.documents
+    told = {
+        "project": {"project_ids": F.array("provenance.document_id")},
+        "library_preparation_protocol": {
+            "method_ontologies": F.array("library_construction_approach.ontology", "library_construction_method.ontology"),
+            "method_labels": F.array("library_construction_approach.ontology_label", "library_construction_method.ontology_label"),
+        },
+        "donor_organism": {"taxa": F.col("biomaterial_core.ncbi_taxon_id")},
+        "analysis_process": {"process_types": F.array("type.text", "process_type.text")},
+    }
+    types = {name: "array<int>" if name == "taxa" else "array<string>" for columns in told.values() for name in columns}
+    version = F.struct(F.col("provenance.schema_major_version").alias("major"), F.col("provenance.schema_minor_version").alias("minor"))
+    kinds = [*dict.fromkeys([*told, *SCHEMA_VERSIONS])]
+
+    def said(kind: str) -> DataFrame:
+        values = [told.get(kind, {}).get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in types.items()]
+        words = F.array(F.struct(F.lit(kinds.index(kind)).alias("kind"), *values, version.alias("version")))
+        # Exploded rather than filtered, since a filter would parse the document a second time.
+        return landing.documents[kind].select("bundle_fqid", F.explode(words if kind in told else F.when(version["major"].isNotNull(), words)).alias("said"))
+
+    told_of = concat(*map(said, kinds)).repartition("bundle_fqid").groupBy("bundle_fqid").agg(F.collect_set("said").alias("said"))
+    # A bundle without a name is one row, and no document is its own.
+    own = F.when(F.col("bundle_fqid").isNotNull(), F.col("said"))
+    of = lambda kind, among: F.filter(among, lambda s: s["kind"] == kinds.index(kind))
+    found = told_of.filter(F.size(of("analysis_process", F.col("said"))) > 0).select(
+        "bundle_fqid", *(of(kind, own).alias(kind) for kind in told), F.filter(own, lambda s: s["version"]["major"].isNotNull()).alias("versioned")
+    )
 
-    def gathered(kind: str, **columns) -> DataFrame:
-        return documents[kind].groupBy("bundle_fqid").agg(
-            *(F.collect_set(value).alias(name) for name, value in columns.items())
-        )
+    def listed(kind: str, name: str) -> Column:
+        return F.flatten(F.filter(F.col(kind)[name], lambda v: v.isNotNull())).alias(name)
 
-    library = documents["library_preparation_protocol"]
-    ontologies = F.array("library_construction_approach.ontology", "library_construction_method.ontology")
-    names = F.array("library_construction_approach.ontology_label", "library_construction_method.ontology_label")
-    parts = [
-        gathered("project", project_ids=F.col("provenance.document_id")),
-        library.select("bundle_fqid", F.explode(ontologies).alias("o"))
-        .groupBy("bundle_fqid")
-        .agg(F.collect_set("o").alias("method_ontologies")),
-        library.select("bundle_fqid", F.explode(names).alias("o"))
-        .groupBy("bundle_fqid")
-        .agg(F.collect_set("o").alias("method_labels")),
-        documents["donor_organism"]
-        .select("bundle_fqid", F.explode("biomaterial_core.ncbi_taxon_id").alias("taxon"))
-        .groupBy("bundle_fqid")
-        .agg(F.collect_set("taxon").alias("taxa")),
-        documents["analysis_process"]
-        .select("bundle_fqid", F.explode(F.array("type.text", "process_type.text")).alias("process"))
-        .groupBy("bundle_fqid")
-        .agg(F.collect_set("process").alias("process_types")),
-    ]
-    for kind in SCHEMA_VERSIONS:
-        version = F.struct(
-            F.col("provenance.schema_major_version").alias("major"),
-            F.col("provenance.schema_minor_version").alias("minor"),
-        )
-        parts.append(gathered(kind, **{kind: version}))
-    summary = documents["analysis_process"].select("bundle_fqid").distinct()
-    for part in parts:
-        summary = summary.join(part, "bundle_fqid", "left")
-    return summary
+    def versions(kind: str) -> Column:
+        pairs = F.transform(of(kind, F.col("versioned")), lambda s: s["version"])
+        return F.when(F.size("versioned") > 0, F.array_distinct(pairs)).alias(kind)
+
+    names = [name for columns in told.values() for name in columns]
+    flat = found.select("bundle_fqid", *(listed(kind, name) for kind, columns in told.items() for name in columns), "versioned")
+    values = [F.when(F.size(name) > 0, F.array_distinct(F.array_compact(name))).alias(name) for name in names]
+    return flat.select("bundle_fqid", *values, *map(versions, SCHEMA_VERSIONS))

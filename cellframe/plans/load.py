@@ -17,7 +17,7 @@ from cellframe.plans.ingest import bundle_summary, ingest_bundles
 from cellframe.plans.selection import select_bundles
 from cellframe.plans.store import Store
 from cellframe.schemas import WAREHOUSE, table
-from cellframe.session import build_side, together
+from cellframe.session import build_side, durable, together
 from cellframe.sources.bundles import Landing
 
 _WAVES = table("bundle_fqid!", "wave long!")
@@ -59,7 +59,8 @@ class Load:
     def select(self, landing: Landing, projects: list[str] | None = None, bundles: DataFrame | None = None) -> DataFrame:
         """``(bundle_fqid, wave)`` of the bundles to load; those of an earlier start, where there was one."""
         if not self._done(_SELECTED):
-            chosen = select_bundles(bundle_summary(landing), projects, bundles).distinct()
+            # Written first, since putting it in order reads it twice.
+            chosen = durable(select_bundles(bundle_summary(landing), projects, bundles).distinct(), "chosen")
             dealt = running(in_order(chosen, ["bundle_fqid"]), number=F.lit(1))
             wave = F.call_function("div", F.col("number"), F.lit(self.bundles_per_wave))
             dealt.select("bundle_fqid", wave.alias("wave")).write.mode("overwrite").parquet(self._place("selected"))
@@ -113,7 +114,7 @@ class Load:
         return rows.groupBy(key).agg(F.max(rest).alias("one")).select(key, "one.*").select(*rows.columns)
 
     def _take_in(self, wave: int, landing: Landing, labels: DataFrame) -> None:
-        tables, failures = ingest_bundles(landing, labels)
+        tables, failures = ingest_bundles(landing.kept(), labels)
 
         def write(name: str, rows: DataFrame) -> None:
             rows.write.mode("overwrite").parquet(os.path.join(self._place(name), f"wave={wave}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,7 +12,7 @@ from cellframe.functions import ontology, text
 from cellframe.functions.identifiers import bundle_uuid, bundle_version, disposition
 from cellframe.operators.consensus import consensus, representative, single_or_blank
 from cellframe.operators.keyed import concat
-from cellframe.session import build_side, durable, together
+from cellframe.session import build_side, durable
 
 def _terms(path: str) -> Column:
     """Ontology terms of a list attribute, empty list when absent."""
@@ -136,7 +137,8 @@ def with_labels(frame: DataFrame, labels: DataFrame, column: str, name: str) ->
         .agg(F.array_sort(F.collect_list(F.struct("_place", _marked_label(term).alias("_text")))).alias("_found"))
         .select(column, F.transform("_found", lambda e: e["_text"]).alias(name))
     )
-    return frame.join(found, column, "left").withColumn(
+    # Written, so that Spark knows how few they are and does not bring all rows of a common array into one task.
+    return frame.join(build_side(durable(found, "labelled")), column, "left").withColumn(
         name, F.coalesce(name, F.array().cast("array<string>"))
     )
 
@@ -205,8 +207,16 @@ def library_facts(documents: DataFrame) -> DataFrame:
     )
 
 
-def bundle_facts(documents: Mapping[str, DataFrame], spark: SparkSession) -> dict[str, DataFrame]:
-    """What each kind of document says about a bundle: one row per bundle, parsed once and read several times."""
+#: Prefixes of the columns that :func:`bundle_facts` gives for each kind of document.
+_KINDS = ("donor", "specimen", "suspension", "library", "organ")
+
+
+def bundle_facts(documents: Mapping[str, DataFrame]) -> DataFrame:
+    """What a bundle's documents say of it: one row for each bundle that has a donor, written once and read several times.
+
+    Columns are named by kind and fact, and null where a bundle has no document of the kind. Every kind is summed up by
+    bundle, so that they meet where they lie.
+    """
     facts = {
         "donor": donor_facts(documents["donor_organism"]),
         "specimen": specimen_facts(documents["specimen_from_organism"]),
@@ -214,58 +224,50 @@ def bundle_facts(documents: Mapping[str, DataFrame], spark: SparkSession) -> dic
         "library": library_facts(documents["library_preparation_protocol"]),
         "organ": derived_organs(documents["organoid"], documents["cell_line"]),
     }
-    written = together(spark, [lambda n=name, f=frame: durable(f, f"{n}-facts") for name, frame in facts.items()])
-    return {name: build_side(frame) for name, frame in zip(facts, written)}
+    named = [facts[kind].select("bundle_fqid", *(F.col(c).alias(f"{kind}.{c}") for c in facts[kind].columns[1:])) for kind in _KINDS]
+    return durable(reduce(lambda left, right: left.join(right, "bundle_fqid", "left"), named), "bundle-facts")
 
 
-def _sound() -> Column:
-    return F.col("specimenkey").isNotNull() & F.col("cellsuspensionkey").isNotNull() & F.coalesce("complete", F.lit(False))
+def _fact(kind: str, name: str) -> Column:
+    return F.col(f"`{kind}.{name}`").alias(name)
 
 
-def _keyed_bundles(facts: Mapping[str, DataFrame]) -> DataFrame:
-    return (
-        facts["donor"].select("bundle_fqid", "donorkey")
-        .join(facts["specimen"].select("bundle_fqid", "specimenkey"), "bundle_fqid", "left")
-        .join(facts["suspension"].select("bundle_fqid", "cellsuspensionkey"), "bundle_fqid", "left")
-        .join(facts["library"].select("bundle_fqid", "librarykey", "complete"), "bundle_fqid", "left")
-    )
+def _facts(facts: DataFrame, kind: str) -> list[Column]:
+    """The columns of a kind, by their own names."""
+    return [_fact(kind, c.partition(".")[2]) for c in facts.columns if c.startswith(f"{kind}.")]
+
+
+def _sound() -> Column:
+    there = _fact("specimen", "specimenkey").isNotNull() & _fact("suspension", "cellsuspensionkey").isNotNull()
+    return there & F.coalesce(_fact("library", "complete"), F.lit(False))
 
 
-def unfit_specimens(facts: Mapping[str, DataFrame]) -> DataFrame:
+def unfit_specimens(facts: DataFrame) -> DataFrame:
     """``(entity, reason)`` of bundles that have a donor but lack one of the other kinds."""
-    return _keyed_bundles(facts).filter(~_sound()).select(
+    return facts.filter(~_sound()).select(
         F.col("bundle_fqid").alias("entity"),
-        F.when(F.col("specimenkey").isNull(), "no specimen")
-        .when(F.col("cellsuspensionkey").isNull(), "no cell suspension")
-        .when(F.col("librarykey").isNull(), "no library preparation")
+        F.when(_fact("specimen", "specimenkey").isNull(), "no specimen")
+        .when(_fact("suspension", "cellsuspensionkey").isNull(), "no cell suspension")
+        .when(_fact("library", "librarykey").isNull(), "no library preparation")
         .otherwise("library preparation without method or molecule")
         .alias("reason"),
     )
 
 
-def specimen_tables(facts: Mapping[str, DataFrame], labels: DataFrame) -> dict[str, DataFrame]:
+def specimen_tables(facts: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
     """``donor``, ``specimen``, ``cell_suspension`` and ``library_preparation`` of the bundles that lack nothing."""
-    donors, specimens, suspensions, libraries, organs = (facts[n] for n in ("donor", "specimen", "suspension", "library", "organ"))
-    kept = _keyed_bundles(facts).filter(_sound()).select("bundle_fqid", "donorkey", "specimenkey")
-
-    donor = donors.join(kept.select("bundle_fqid"), "bundle_fqid").drop("bundle_fqid").distinct()
-    specimen = (
-        specimens.drop("specimenkey").join(kept, "bundle_fqid").drop("bundle_fqid").distinct()
-    )
-    suspension = (
-        suspensions.join(kept.select("bundle_fqid", "specimenkey"), "bundle_fqid")
-        .join(specimens.select("bundle_fqid", "organ_ontology", "organ_parts"), "bundle_fqid")
-        .join(organs, "bundle_fqid", "left")
-        .select(
-            "cellsuspensionkey",
-            "specimenkey",
-            F.coalesce("organ", "organ_ontology").alias("derived_organ_ontology"),
-            F.when(F.col("organ").isNotNull(), F.array("part")).otherwise(F.col("organ_parts")).alias("parts"),
-            "genus_species",
-        )
-        .distinct()
-    )
-    library = libraries.join(kept.select("bundle_fqid"), "bundle_fqid").drop("bundle_fqid", "complete").distinct()
+    kept = facts.filter(_sound())
+    specimenkey, organ = _fact("specimen", "specimenkey"), _fact("organ", "organ")
+    donor = kept.select(*_facts(facts, "donor")).distinct()
+    specimen = kept.select(*_facts(facts, "specimen"), _fact("donor", "donorkey")).distinct()
+    suspension = kept.select(
+        _fact("suspension", "cellsuspensionkey"),
+        specimenkey,
+        F.coalesce(organ, _fact("specimen", "organ_ontology")).alias("derived_organ_ontology"),
+        F.when(organ.isNotNull(), F.array(_fact("organ", "part"))).otherwise(_fact("specimen", "organ_parts")).alias("parts"),
+        _fact("suspension", "genus_species"),
+    ).distinct()
+    library = kept.select(*_facts(facts, "library")).drop("complete").distinct()
     return {
         "donor": _donor_rows(donor, labels),
         "specimen": _specimen_rows(specimen, labels),

@@ -94,8 +94,10 @@ def _titled(texts: DataFrame, separator: str) -> DataFrame:
     named = texts.select("bundle_fqid", lines.alias("lines"))
     cut = lambda line: F.transform(F.split(line, separator), lambda f: F.trim(F.regexp_replace(f, '^"|"$', "")))
     body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
-    found = named.select("bundle_fqid", F.get("lines", F.lit(0)).alias("title"), F.explode_outer(body).alias("line"))
-    return found.select("bundle_fqid", cut(F.col("title")).alias("titles"), cut(F.col("line")).alias("fields"))
+    # Titles are cut once for a file, not for each of its lines.
+    found = named.select("bundle_fqid", cut(F.get("lines", F.lit(0))).alias("titles"), body.alias("body"))
+    found = found.select("bundle_fqid", "titles", F.explode_outer("body").alias("line"))
+    return found.select("bundle_fqid", "titles", cut(F.col("line")).alias("fields"))
 
 
 _TEXTS = "bundle_fqid string, value string"
@@ -174,30 +176,32 @@ class Landing:
     chunks: DataFrame
     axis: DataFrame
 
-    def restrict(self, bundles: DataFrame) -> Landing:
-        """Only the given bundles."""
-        wanted = build_side(bundles.select("bundle_fqid").distinct())
-
-        def keep(frame: DataFrame) -> DataFrame:
-            return frame.join(wanted, "bundle_fqid", "left_semi")
-
+    def each(self, change: Callable[[DataFrame], DataFrame]) -> Landing:
+        """Every frame changed in the same way."""
         return Landing(
-            {kind: keep(frame) for kind, frame in self.documents.items()},
-            *(keep(f) for f in (self.manifests, self.genes, self.isoforms, self.calls, self.chunks, self.axis)),
+            {kind: change(frame) for kind, frame in self.documents.items()},
+            *(change(f) for f in (self.manifests, self.genes, self.isoforms, self.calls, self.chunks, self.axis)),
         )
 
+    def restrict(self, bundles: DataFrame) -> Landing:
+        """Only the given bundles. What lies outside their range of names is left out before any row is moved."""
+        wanted = build_side(bundles.select("bundle_fqid").distinct())
+        low, high = bundles.agg(F.min("bundle_fqid"), F.max("bundle_fqid")).first()
+        within = F.lit(False) if low is None else F.col("bundle_fqid").between(F.lit(low), F.lit(high))
+        return self.each(lambda frame: frame.filter(within).join(wanted, "bundle_fqid", "left_semi"))
+
+    def kept(self) -> Landing:
+        """The same rows, written once, so that what reads them many times neither parses nor selects them again."""
+        parts = {**self.documents, **{name: getattr(self, name) for name in _PARTS}}
+        spark = self.manifests.sparkSession
+        written = together(spark, [lambda n=name, f=frame: durable(f, f"kept-{n}") for name, frame in parts.items()], threads=3)
+        found = dict(zip(parts, written))
+        return Landing({kind: found[kind] for kind in self.documents}, *(found[name] for name in _PARTS))
 
     def without(self, bundles: DataFrame) -> Landing:
         """All but the given bundles."""
         unwanted = build_side(bundles)
-
-        def keep(frame: DataFrame) -> DataFrame:
-            return frame.join(unwanted, "bundle_fqid", "left_anti")
-
-        return Landing(
-            {kind: keep(frame) for kind, frame in self.documents.items()},
-            *(keep(f) for f in (self.manifests, self.genes, self.isoforms, self.calls, self.chunks, self.axis)),
-        )
+        return self.each(lambda frame: frame.join(unwanted, "bundle_fqid", "left_anti"))
 
 
 CHUNKS = "bundle_fqid string, cell_id string, values array<float>"

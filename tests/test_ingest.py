@@ -312,3 +312,23 @@ def test_bundle_selection_refuses_other_taxa_processes_and_versions(spark, tmp_p
     )
     chosen = select_bundles(bundle_summary(read_bundles(spark, str(tmp_path))))
     assert sorted(r[0] for r in chosen.collect()) == ["mixed.1", "ok.1"]
+
+
+def test_a_bundle_is_summed_up_after_one_shuffle(spark, tmp_path):
+    files.write_plate(tmp_path, "one.1", "one")
+    files.write_plate(tmp_path, "two.1", "two")
+    major, minor = {"schema_major_version": 9, "schema_minor_version": 2}, {"schema_major_version": 9}
+    files.write_documents(
+        tmp_path, "two.1", "specimen_from_organism",
+        *((name, files.specimen(provenance=dict(version))) for name, version in (("s", major), ("t", minor), ("u", major), ("v", {}))),
+    )
+    files.write_documents(tmp_path, "two.1", "donor_organism", *((name, files.donor(biomaterial_core={"ncbi_taxon_id": taxa})) for name, taxa in (("d", [9606, 10090]), ("e", [9606]))))
+    files.write_documents(tmp_path, "three.1", "project", ("p", {"project_core": {}}))  # without a process it isn't listed
+    summary = bundle_summary(read_bundles(spark, str(tmp_path)))
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    rows = {r["bundle_fqid"]: r for r in summary.collect()}
+    assert set(rows) == {"one.1", "two.1"}
+    assert sorted(rows["two.1"]["taxa"]) == [9606, 10090] and rows["one.1"]["organoid"] is None
+    assert sorted(map(str, (tuple(v) for v in rows["two.1"]["specimen_from_organism"]))) == ["(9, 2)", "(9, None)"]
+    assert rows["one.1"]["method_labels"] is not None and None not in rows["one.1"]["method_labels"]

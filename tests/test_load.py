@@ -121,6 +121,27 @@ def test_a_load_that_was_stopped_goes_on(spark, labels, tmp_path, monkeypatch):
     assert [r[0] for r in audits.missing_bundles(listed, loaded, "b").collect()] == ["66666666-ffff.1"]
 
 
+def test_a_wave_is_parsed_once(spark, labels, tmp_path, monkeypatch):
+    """What a wave reads many times are rows that were parsed and picked before, of its bundles alone."""
+    bundles(tmp_path / "landing")
+    landing = read_bundles(spark, str(tmp_path / "landing"))
+    given = []
+    monkeypatch.setattr("cellframe.plans.load.ingest_bundles", lambda wave, labels: given.append(wave) or ingest_bundles(wave, labels))
+    store, log = Store(spark, str(tmp_path / "store"), buckets=2), FailureLog(spark, str(tmp_path / "log"))
+    listed = spark.createDataFrame([(files.PLATE,), (files.DROPLET,), ("66666666-ffff.1",), ("not there.1",)], "b string")
+    load = Load(spark, str(tmp_path / "run"), bundles_per_wave=2)
+    load.run(store, landing, labels, log, bundles=listed)
+    assert len(given) == 2
+    selected = load.select(landing)
+    for number, wave in enumerate(given):
+        frames = [*wave.documents.values(), wave.manifests, wave.genes, wave.isoforms, wave.calls, wave.chunks, wave.axis]
+        plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in frames]
+        assert not any(word in plan for plan in plans for word in ("from_json", "Generate", "Join"))
+        assert parts_of(wave) == parts_of(landing.restrict(selected.filter(F.col("wave") == number)))
+    assert parts_of(landing.restrict(listed.limit(0).withColumnRenamed("b", "bundle_fqid"))).keys() == parts_of(landing).keys()
+    assert landing.restrict(listed.limit(0).withColumnRenamed("b", "bundle_fqid")).genes.isEmpty()
+
+
 def test_a_load_that_loses_a_bundle_is_not_published(spark, labels, tmp_path, monkeypatch):
     bundles(tmp_path / "landing")
     landing = read_bundles(spark, str(tmp_path / "landing"))
